@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import money
-
 FULL_WEEK = 40
 
 
 def margin_columns(bill_rate: Column, pay_rate: Column) -> tuple[Column, Column]:
     """margin and margin_pct (percent, one decimal); the percentage is null for a zero bill rate."""
-    margin = money(bill_rate) - money(pay_rate)
-    pct = F.round(margin * 100 / F.nullif(money(bill_rate), F.lit(0).cast("decimal(18,2)")), 1)
-    return margin.cast("double").alias("margin"), pct.cast("double").alias("margin_pct")
+    bill, pay = bill_rate.cast("decimal(18,4)"), pay_rate.cast("decimal(18,4)")
+    pct = F.round((bill - pay) * 100 / F.nullif(bill, F.lit(0).cast("decimal(18,4)")), 1)
+    return (bill - pay).cast("double").alias("margin"), pct.cast("double").alias("margin_pct")
 
 
 def with_margins(df: DataFrame) -> DataFrame:

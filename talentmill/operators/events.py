@@ -39,8 +39,8 @@ def query_level(duration_ms: Column) -> Column:
     return F.when(is_slow(duration_ms), F.lit("WARNING")).otherwise(F.lit("DEBUG"))
 
 
-def event_records(fields: DataFrame) -> DataFrame:
-    """Typed event rows from raw fields and an event kind.
+def event_records(fields: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Typed event rows from raw fields and an event kind, after the columns to keep.
 
     Fields that do not belong to the kind become null, durations get two decimals,
     scores four, and queries their slow flag and level.
@@ -69,12 +69,12 @@ def event_records(fields: DataFrame) -> DataFrame:
         else:
             value = F.when(belongs(f.name), F.col(f.name))
         out.append(value.cast(f.dataType).alias(f.name))
-    return fields.select(*out)
+    return fields.select(*keep, *out)
 
 
-def to_lines(records: DataFrame) -> DataFrame:
-    """One JSON text per record."""
-    return records.select(F.to_json(F.struct(*records.columns)).alias("line"))
+def to_lines(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One JSON text per record, after the columns to keep."""
+    return records.select(*keep, F.to_json(F.struct(*EVENT_SCHEMA.names)).alias("line"))
 
 
 def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:

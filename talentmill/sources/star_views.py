@@ -248,25 +248,27 @@ def resume_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples (operation, elapsed_ms), most rows in few operations."""
-    return table(spark, sf_dir, "events").select(
-        F.col("event_type").alias("operation"), F.col("value").alias("elapsed_ms"),
-    ).unionByName(
-        table(spark, sf_dir, "events").select(
-            F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("operation"),
-            F.col("value").alias("elapsed_ms"),
-        ).where(F.col("elapsed_ms") > 60)
-    )
+    """Samples (operation, elapsed_ms): half of them in five large operations, half in many small ones."""
+    events = table(spark, sf_dir, "events")
+    large, ms = F.col("event_type"), F.col("value").alias("elapsed_ms")
+    small = F.concat_ws("_", F.lit("user"), F.col("user_id").cast("string"), large)
+    return events.select(large.alias("operation"), ms).unionByName(events.select(small.alias("operation"), ms))
+
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table as a file stream."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
-def event_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Application events with the fields of all four event kinds."""
+
+def event_fields(events: DataFrame) -> DataFrame:
+    """Application events, with the fields of all four event kinds, from the events table."""
     e, u = F.col("event_id"), F.col("user_id")
     kind = F
     for source, name in KIND_OF_EVENT.items():
         kind = kind.when(F.col("event_type") == source, F.lit(name))
     message = _pick(e, ("embed took 1200ms", "db_query", "Slow parse", "TIMEOUT on fetch", "ok", "done"))
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         e.alias("event_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.when(F.col("event_type") == "error", F.lit("ERROR"))
