@@ -32,7 +32,7 @@ def extract_email(text: Column) -> Column:
 def extract_phone(text: Column) -> Column:
     """First phone number in US notation, trimmed, or null."""
     hit = F.regexp_extract(text, vocab.PHONE, 0)
-    return F.when(text.rlike(r"\p{Nd}{3}"), strip(F.nullif(hit, F.lit(""))))
+    return F.when(text.rlike(vocab.PHONE_TAIL), strip(F.nullif(hit, F.lit(""))))
 
 
 def extract_name(text: Column) -> Column:
@@ -58,24 +58,41 @@ def normalise_skill(raw: Column) -> Column:
     return F.coalesce(alias, title_case(raw))
 
 
-def extract_skills(lowered: Column) -> Column:
-    """Sorted distinct skill labels found in a lower-cased text.
+def vocabulary_hits(lowered: Column) -> Column:
+    """The distinct tokens of a lower-cased text that occur in the skill vocabulary.
 
-    One-word terms are looked up among the tokens in a single hashed pass. Terms
-    with spaces or symbols are tested one by one, behind a plain substring guard;
-    a single alternation would consume overlapping hits.
+    One hashed pass over the tokens, whatever the size of the vocabulary.
+    """
+    known = sorted({w for term in vocab.skill_terms() for w in vocab.components(term)})
+    return F.array_intersect(words(lowered), F.array(*[F.lit(w) for w in known]))
+
+
+def extract_skills(lowered: Column, hits: Column) -> Column:
+    """Sorted distinct skill labels found in a lower-cased text, given its vocabulary hits.
+
+    A one-word term is found if it is a hit. A term with spaces or symbols is tested by
+    its own regex, and only if all its words are hits; a single alternation would
+    consume overlapping terms. The terms are one constant array, which keeps the
+    generated code small enough for the JVM to compile.
     """
     terms = vocab.skill_terms()
     single = {t: label for t, label in terms.items() if vocab.is_word(t)}
-    hits = F.array_intersect(words(lowered), F.array(*[F.lit(t) for t in single]))
+    phrases = F.array(*[
+        F.struct(
+            F.array(*[F.lit(w) for w in vocab.components(t)]).alias("words"),
+            F.lit(vocab.bounded(t)).alias("pattern"),
+            F.lit(label).alias("label"),
+        )
+        for t, label in terms.items() if t not in single
+    ])
+
+    def found(p: Column) -> Column:
+        has_all = F.forall(p["words"], lambda w: F.array_contains(hits, w))
+        return F.when(has_all, F.rlike(lowered, p["pattern"])).otherwise(F.lit(False))
+
     from_words = F.transform(hits, lambda w: F.element_at(_label_map(single), w))
-    from_phrases = F.array_compact(
-        F.array(*[
-            F.when(lowered.contains(t) & lowered.rlike(vocab.bounded(t)), F.lit(label))
-            for t, label in terms.items() if t not in single
-        ])
-    )
-    return F.array_sort(F.array_distinct(F.concat(from_words, from_phrases)))
+    from_phrases = F.transform(F.filter(phrases, found), lambda p: p["label"])
+    return F.array_sort(F.array_distinct(F.array_compact(F.concat(from_words, from_phrases))))
 
 
 def extract_yoe(text: Column, as_of_year: int) -> Column:
@@ -85,10 +102,7 @@ def extract_yoe(text: Column, as_of_year: int) -> Column:
     dropped whole. Without any counted year, a stated "N years of experience"
     counts; else 0.
     """
-    found = F.when(
-        text.rlike(f"[0-9]{{4}}[{vocab.WS}]*[-–—]"),
-        F.regexp_extract_all(text, F.lit(vocab.YEAR_RANGE), F.lit(0)),
-    )
+    found = F.regexp_extract_all(text, F.lit(vocab.YEAR_RANGE), F.lit(0))
 
     def span(match: Column) -> Column:
         end = F.lower(F.regexp_extract(match, r"(?i)([0-9]{4}|[a-z]+)$", 1))

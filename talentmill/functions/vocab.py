@@ -5,6 +5,8 @@ The values below are fixed: results are only right with exactly these entries.
 
 from __future__ import annotations
 
+import re
+
 # Skill alias -> label.
 SKILL_ALIASES = {
     "reactjs": "React", "react.js": "React", "react js": "React",
@@ -102,8 +104,12 @@ WORD = r"\p{L}\p{N}_"
 # Contact and experience patterns.
 EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 PHONE = rf"(\+?1?[{WS}]?)?(\(?\p{{Nd}}{{3}}\)?[{WS}.\-]?)(\p{{Nd}}{{3}}[{WS}.\-]?\p{{Nd}}{{4}})"
+# At least this much of a phone number has to be there.
+PHONE_TAIL = rf"\p{{Nd}}{{3}}[{WS}.\-]?\p{{Nd}}{{4}}"
 MONTH = rf"(?:(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?[{WS}]+)?"
-YEAR_RANGE = rf"(?i){MONTH}([0-9]{{4}})[{WS}]*[-–—][{WS}]*{MONTH}([0-9]{{4}}|present|current|now)"
+# A month in front of the first year takes no part in the result; a pattern that
+# starts with a digit is found much faster.
+YEAR_RANGE = rf"(?i)([0-9]{{4}})[{WS}]*[-–—][{WS}]*{MONTH}([0-9]{{4}}|present|current|now)"
 YEARS_STATED = rf"(?i)([0-9]+)\+?[{WS}]+years?[{WS}]+(?:of[{WS}]+)?experience"
 OPEN_ENDED = ("present", "current", "now")
 FIRST_YEAR = 1980
@@ -130,6 +136,11 @@ def is_word(term: str) -> bool:
     return all(c.isalnum() or c == "_" for c in term)
 
 
+def components(term: str) -> list[str]:
+    """The word tokens of a term."""
+    return re.findall(r"\w+", term)
+
+
 def bounded(term: str) -> str:
     """Regex for a term with Unicode word boundaries on both sides.
 

@@ -128,9 +128,14 @@ def active_contractors(candidates: DataFrame) -> DataFrame:
 
 
 def skill_frequency(parsed: DataFrame) -> DataFrame:
-    """Number of resumes per skill."""
+    """Number of resumes per skill.
+
+    The outer form keeps the optimizer from adding a filter that would evaluate the
+    skill rules a second time.
+    """
     return (
-        parsed.select(F.explode("skills").alias("skill"))
+        parsed.select(F.explode_outer("skills").alias("skill"))
+        .where(F.col("skill").isNotNull())
         .groupBy("skill")
         .agg(F.count("*").alias("resumes"))
     )

@@ -15,24 +15,26 @@ PARSED = ("name", "email", "phone", "skills", "yoe", "visa_status")
 def parse_documents(documents: DataFrame, as_of_year: int, text: str = "text") -> DataFrame:
     """Adds name, email, phone, skills, yoe, visa_status, status and error.
 
-    A blank text yields status 'rejected' and null fields. One projection, no shuffle;
-    the lower-cased text is computed once per row.
+    A blank text yields status 'rejected' and null fields. Projections only, no shuffle;
+    the lower-cased text and its vocabulary hits are computed once per row.
     """
     body = F.col(text)
-    prepared = documents.withColumns({"_lower": F.lower(body), "_blank": rules.is_blank(body)})
-    lowered, blank = F.col("_lower"), F.col("_blank")
+    lowered, hits, blank = F.col("_lower"), F.col("_hits"), F.col("_blank")
+    prepared = documents.withColumns({
+        "_lower": F.lower(body), "_blank": rules.is_blank(body)
+    }).withColumn("_hits", rules.vocabulary_hits(lowered))
     fields = {
         "name": F.coalesce(rules.extract_name(body), F.lit("Unknown")),
         "email": rules.extract_email(body),
         "phone": rules.extract_phone(body),
-        "skills": rules.extract_skills(lowered),
+        "skills": rules.extract_skills(lowered, hits),
         "yoe": rules.extract_yoe(body, as_of_year),
         "visa_status": rules.extract_visa(lowered),
     }
     columns = {name: F.when(~blank, value) for name, value in fields.items()}
     columns["status"] = F.when(blank, F.lit("rejected")).otherwise(F.lit("parsed"))
     columns["error"] = F.when(blank, F.lit("no text"))
-    return prepared.withColumns(columns).drop("_lower", "_blank")
+    return prepared.withColumns(columns).drop("_lower", "_hits", "_blank")
 
 
 def accepted(parsed: DataFrame) -> DataFrame:

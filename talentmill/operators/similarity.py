@@ -1,10 +1,10 @@
 """Cosine similarity of given pairs, and exact nearest-neighbour search.
 
-The search partitions the corpus by its nearest pivot. A query visits a cell only if
-the triangle inequality on angles allows a hit there, so no pair of rows is formed
-outside visited cells, and inside one the pairs live in a matrix product of two
-bounded blocks: only hits leave the task. Cells with many rows (a third of all, or a
-pile of copies) are cut into blocks of about block_rows rows on both sides.
+The search first folds exact copies of a vector into one. It partitions the corpus by
+its nearest pivot; a query visits a cell only if the triangle inequality on angles
+allows a hit there. No pair of rows is formed outside visited cells, and inside one
+the pairs live in a matrix product of two bounded blocks: only hits leave the task.
+Cells with many rows are cut into blocks of about block_rows rows on both sides.
 """
 
 from __future__ import annotations
@@ -38,6 +38,21 @@ def similarity_of_pairs(
     )
 
 
+def _directed(vectors: DataFrame) -> DataFrame:
+    """(id, embedding) of the vectors that have a direction."""
+    return vectors.select(F.col("id").cast("long"), "embedding").where(norm(F.col("embedding")) > 0)
+
+
+def _distinct(rows: DataFrame) -> DataFrame:
+    """One row per distinct vector: its smallest id and its number of copies.
+
+    Combines on the map side, so a pile of copies costs one row per input partition.
+    """
+    return rows.groupBy("embedding").agg(F.min("id").alias("id"), F.count("*").alias("copies")).select(
+        "id", "embedding", "copies"
+    )
+
+
 def _unit(vectors: pd.Series) -> np.ndarray:
     m = np.stack(vectors.to_numpy()).astype(np.float64)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
@@ -47,6 +62,9 @@ def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
 
 
+ROW = "id long, embedding array<float>, copies long"
+
+
 class _Cells:
     """Corpus cut into cells around pivots, with the few numbers the search needs.
 
@@ -54,23 +72,22 @@ class _Cells:
     cell, never data rows.
     """
 
-    def __init__(self, corpus: DataFrame, pivots: int | None, block_rows: int) -> None:
-        self.rows = corpus.select(F.col("id").cast("long"), "embedding").where(norm(F.col("embedding")) > 0)
+    def __init__(self, rows: DataFrame, pivots: int | None, block_rows: int) -> None:
         if pivots is None:
-            pivots = int(min(MAX_PIVOTS, max(8, corpus.count() ** 0.5 / 4)))
-        spread = self.rows.orderBy(F.xxhash64("id"), "id").limit(min(pivots, MAX_PIVOTS))
-        picked = spread.toPandas()
-        self.pivots = _unit(picked["embedding"]) if len(picked) else np.zeros((0, 1))
+            pivots = int(min(MAX_PIVOTS, max(8, rows.count() ** 0.5 / 4)))
+        picked = rows.orderBy(F.xxhash64("id"), "id").limit(min(pivots, MAX_PIVOTS)).toPandas()
+        self.empty = picked.empty
         self.block_rows = block_rows
-        self.assigned = self._assign() if len(picked) else None
+        self.pivots = np.zeros((0, 1)) if self.empty else _unit(picked["embedding"])
         self.count = np.zeros(len(picked), dtype=np.int64)
         self.radius = np.zeros(len(picked))
-        if self.assigned is not None:
-            for r in self.assigned.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r")).collect():
-                self.count[r["cell"]], self.radius[r["cell"]] = r["n"], r["r"]
-        self.blocks = np.maximum(1, np.ceil(self.count / block_rows)).astype(np.int64)
+        self.assigned = rows if self.empty else self._assign(rows)
+        if not self.empty:
+            stats = self.assigned.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r"))
+            for cell in stats.collect():
+                self.count[cell["cell"]], self.radius[cell["cell"]] = cell["n"], cell["r"]
 
-    def _assign(self) -> DataFrame:
+    def _assign(self, rows: DataFrame) -> DataFrame:
         pivots = self.pivots
 
         def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,10 +97,10 @@ class _Cells:
                     cell = angles.argmin(axis=1)
                     yield batch.assign(cell=cell, angle=angles[np.arange(len(batch)), cell])
 
-        return self.rows.mapInPandas(nearest, "id long, embedding array<float>, cell int, angle double")
+        return rows.mapInPandas(nearest, f"{ROW}, cell int, angle double")
 
     def visits(self, queries: DataFrame, choose: Callable[[np.ndarray, pd.DataFrame], np.ndarray]) -> DataFrame:
-        """(id, embedding, cell) for every cell a query has to visit.
+        """The queries with one row per cell they have to visit.
 
         choose maps the lower bounds (queries x cells) and the query rows to a mask.
         """
@@ -95,12 +112,11 @@ class _Cells:
                     continue
                 low = np.maximum(0.0, _angles(_unit(batch["embedding"]), pivots) - radius)
                 low[:, count == 0] = np.inf
-                mask = choose(low, batch)
-                cells = [np.flatnonzero(row).astype(np.int32) for row in mask]
-                yield pd.DataFrame({"id": batch["id"], "embedding": batch["embedding"], "cells": cells})
+                cells = [np.flatnonzero(row).astype(np.int32) for row in choose(low, batch)]
+                yield batch[["id", "embedding", "copies"]].assign(cells=cells)
 
-        found = queries.mapInPandas(probe, "id long, embedding array<float>, cells array<int>")
-        return found.select("id", "embedding", F.explode("cells").alias("cell"))
+        found = queries.mapInPandas(probe, f"{ROW}, cells array<int>")
+        return found.select("id", "embedding", "copies", F.explode("cells").alias("cell"))
 
     def meet(self, visits: DataFrame, scan: Callable, schema: str) -> DataFrame:
         """Run scan on every (query block, corpus block) of the visited cells.
@@ -108,57 +124,42 @@ class _Cells:
         A cell's blocks come from a hash of the ids, so their sizes stay near
         block_rows whatever the cell's size.
         """
-        n_corpus = F.array(*[F.lit(int(b)) for b in self.blocks])
-        per_cell = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-        n_query = F.array(*[
-            F.lit(max(1, ceil(per_cell.get(c, 0) / self.block_rows))) for c in range(len(self.blocks))
-        ])
+        def blocks(rows: np.ndarray | list[int]) -> Column:
+            return F.array(*[F.lit(max(1, ceil(n / self.block_rows))) for n in rows])
+
+        asked = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+        of_corpus = blocks(self.count.tolist())
+        of_query = blocks([asked.get(c, 0) for c in range(len(self.count))])
 
         def own(n: Column) -> Column:
             return F.pmod(F.xxhash64("id"), F.get(n, F.col("cell"))).cast("int")
 
         def every(n: Column) -> Column:
-            return F.explode(F.sequence(F.lit(0), (F.get(n, F.col("cell")) - 1).cast("int")))
-
-        visited = [int(c) for c in per_cell]
-        q = visits.withColumn("qb", own(n_query)).withColumn("cb", every(n_corpus))
-        c = (
-            self.assigned.where(F.col("cell").isin(visited))
-            .select("id", "embedding", "cell")
-            .withColumn("cb", own(n_corpus)).withColumn("qb", every(n_query))
-        )
+            return F.explode(F.sequence(F.lit(0), F.get(n, F.col("cell")) - 1))
+
+        q = visits.withColumn("qb", own(of_query)).withColumn("cb", every(of_corpus))
+        c = self.assigned.where(F.col("cell").isin(list(asked))).drop("angle")
+        c = c.withColumn("cb", own(of_corpus)).withColumn("qb", every(of_query))
         keys = ("cell", "qb", "cb")
         return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(scan, schema)
 
 
 def _similarities(q: pd.DataFrame, c: pd.DataFrame) -> np.ndarray:
-    """Rounded cosines, with the pair of a row and itself taken out."""
-    s = np.round(_unit(q["embedding"]) @ _unit(c["embedding"]).T, 6)
-    s[q["id"].to_numpy()[:, None] == c["id"].to_numpy()[None, :]] = -np.inf
-    return s
+    """Cosines with six decimals."""
+    return np.round(_unit(q["embedding"]) @ _unit(c["embedding"]).T, 6)
 
 
-def cosine_topk(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int,
-    pivots: int | None = None,
-    block_rows: int = 4096,
-) -> DataFrame:
-    """The k most similar corpus rows of every query, exactly; ties go to the smaller id.
+def _search(queries: DataFrame, corpus: DataFrame, k: int, pivots: int | None, block_rows: int) -> DataFrame:
+    """(id, rank, neighbour, similarity): the k best corpus rows per query, in two rounds.
 
-    Tables are (id, embedding); a row is not its own neighbour; zero vectors have no
-    direction and take no part. Similarity has six decimals. The first round visits the
-    closest cells that hold enough rows and yields a bound per query; the second visits
-    every other cell that could still beat it. The first round's result, k rows per
-    query, is written to the shared folder because the second round needs it twice.
+    The first round visits the closest cells that hold k rows and yields a bound per
+    query; the second visits every other cell that could still beat it.
     """
     cells = _Cells(corpus, pivots, block_rows)
-    asked = queries.select(F.col("id").cast("long"), "embedding").where(norm(F.col("embedding")) > 0)
-    schema = "id long, neighbour long, similarity double"
-    if cells.assigned is None:
-        return asked.select("id", F.lit(0).cast("long").alias("neighbour"), F.lit(0.0).alias("similarity"), F.lit(0).alias("rank")).limit(0)
     count = cells.count
+    schema = "id long, neighbour long, similarity double"
+    if cells.empty:
+        return queries.sparkSession.createDataFrame([], "id long, rank int, neighbour long, similarity double")
 
     def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
@@ -166,33 +167,35 @@ def cosine_topk(
         c = c.sort_values("id", kind="stable")
         s = _similarities(q, c)
         order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        value = np.take_along_axis(s, order, axis=1)
-        keep = np.isfinite(value)
-        rows = np.repeat(q["id"].to_numpy(), keep.sum(axis=1))
-        return pd.DataFrame({"id": rows, "neighbour": c["id"].to_numpy()[order[keep]], "similarity": value[keep]})
+        return pd.DataFrame({
+            "id": np.repeat(q["id"].to_numpy(), order.shape[1]),
+            "neighbour": c["id"].to_numpy()[order].ravel(),
+            "similarity": np.take_along_axis(s, order, axis=1).ravel(),
+        })
 
     def nearest_full(low: np.ndarray) -> np.ndarray:
-        """Closest cells, until they hold k rows besides the query itself."""
+        """Mask of the closest cells, until they hold k rows."""
         order = np.argsort(low, axis=1, kind="stable")
         held = np.cumsum(count[order], axis=1)
-        enough = np.concatenate([np.zeros((len(low), 1), bool), held[:, :-1] > k], axis=1)
+        wanted = np.concatenate([np.ones((len(low), 1), bool), held[:, :-1] < k], axis=1)
         mask = np.zeros_like(low, dtype=bool)
-        np.put_along_axis(mask, order, ~enough, axis=1)
+        np.put_along_axis(mask, order, wanted, axis=1)
         return mask & np.isfinite(low)
 
     ranked = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
 
     def leaders(hits: DataFrame) -> DataFrame:
+        """Spark cuts each map output to k rows per query before the shuffle."""
         return hits.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
     first = materialise(
-        leaders(cells.meet(cells.visits(asked, lambda low, _: nearest_full(low)), best, schema)),
+        leaders(cells.meet(cells.visits(queries, lambda low, _: nearest_full(low)), best, schema)),
         "topk-round",
     )
     bound = first.groupBy("id").agg(
         F.when(F.count("*") >= k, F.min("similarity")).otherwise(F.lit(-1.0)).alias("floor")
     )
-    bounded = asked.join(bound, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(-1.0)))
+    bounded = queries.join(bound, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(-1.0)))
 
     def may_beat(low: np.ndarray, rows: pd.DataFrame) -> np.ndarray:
         reach = np.arccos(np.clip(rows["floor"].to_numpy() - SLACK, -1.0, 1.0)) + SLACK
@@ -204,35 +207,82 @@ def cosine_topk(
     )
 
 
+def cosine_topk(
+    corpus: DataFrame,
+    k: int,
+    queries: DataFrame | None = None,
+    pivots: int | None = None,
+    block_rows: int = 4096,
+) -> DataFrame:
+    """The k most similar corpus rows of every query, exactly; ties go to the smaller id.
+
+    Tables are (id, embedding). Without queries the corpus is searched for its own rows
+    and a row is not its own neighbour. Zero vectors have no direction and take no part.
+    Similarity has six decimals.
+
+    Copies: of equal corpus vectors only the k + 1 smallest ids can be in a result, and
+    equal queries are searched once; both cuts are exact.
+    """
+    own = queries is None
+    rows = _directed(corpus)
+    by_id = Window.partitionBy("embedding").orderBy("id")
+    few = rows.withColumn("nth", F.row_number().over(by_id)).where(F.col("nth") <= k + 1)
+    few = few.select("id", "embedding", F.lit(1).cast("long").alias("copies"))
+    asked = rows if own else _directed(queries)
+    distinct = _distinct(asked)
+    found = _search(distinct, few, k + 1 if own else k, pivots, block_rows)
+    entry = F.struct("rank", "neighbour", "similarity")
+    lists = found.groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("list"))  # k + 1 entries
+    per_vector = distinct.join(lists, "id").select("embedding", "list")
+    others = F.filter("list", lambda x: x["neighbour"] != F.col("id")) if own else F.col("list")
+    return (
+        asked.join(per_vector, "embedding")
+        .select("id", F.posexplode(F.slice(others, 1, k)).alias("pos", "hit"))
+        .select("id", (F.col("pos") + 1).alias("rank"), "hit.neighbour", "hit.similarity")
+    )
+
+
 def neighbour_counts(
-    queries: DataFrame,
     corpus: DataFrame,
     threshold: float,
+    queries: DataFrame | None = None,
     pivots: int | None = None,
     block_rows: int = 4096,
 ) -> DataFrame:
     """Per query: how many corpus rows reach the similarity threshold, and the highest one.
 
     One row per query, zero hits included: listing all similar pairs would be quadratic
-    on a pile of near copies, their number is not.
+    on a pile of copies, their number is not. Copies are folded into one vector with a
+    weight. Without queries the corpus is compared with its own rows, each without itself.
     """
-    cells = _Cells(corpus, pivots, block_rows)
-    asked = queries.select(F.col("id").cast("long"), "embedding").where(norm(F.col("embedding")) > 0)
+    own = queries is None
+    rows = _directed(corpus)
+    asked = rows if own else _directed(queries)
+    folded = _distinct(rows)
+    distinct = folded if own else _distinct(asked)
+    cells = _Cells(folded, pivots, block_rows)
     reach = float(np.arccos(np.clip(threshold - SLACK, -1.0, 1.0))) + SLACK
+    schema = "id long, hits long, top double"
 
     def tally(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
             return pd.DataFrame({"id": [], "hits": [], "top": []})
         s = _similarities(q, c)
-        hits = (s >= threshold).sum(axis=1)
+        if own:
+            s[q["id"].to_numpy()[:, None] == c["id"].to_numpy()[None, :]] = -np.inf
+        reached = s >= threshold
+        hits = reached @ c["copies"].to_numpy()
         return pd.DataFrame({"id": q["id"], "hits": hits, "top": s.max(axis=1)})[hits > 0]
 
-    if cells.assigned is None:
-        found = asked.select("id", F.lit(0).cast("long").alias("hits"), F.lit(0.0).alias("top")).limit(0)
+    if cells.empty:
+        found = corpus.sparkSession.createDataFrame([], schema)
     else:
-        visits = cells.visits(asked, lambda low, _: low <= reach)
-        found = cells.meet(visits, tally, "id long, hits long, top double")
-    per_query = found.groupBy("id").agg(F.sum("hits").alias("similar"), F.max("top").alias("highest"))
-    return asked.select("id").join(per_query, "id", "left").select(
-        "id", F.coalesce("similar", F.lit(0)).alias("similar"), "highest"
+        found = cells.meet(cells.visits(distinct, lambda low, _: low <= reach), tally, schema)
+    per_query = found.groupBy("id").agg(F.sum("hits").alias("hits"), F.max("top").alias("top"))
+    twins = (F.col("copies") - 1) if own and threshold <= 1 else F.lit(0)
+    per_vector = distinct.join(per_query, "id", "left").select(
+        "embedding",
+        (F.coalesce("hits", F.lit(0)) + twins).alias("similar"),
+        F.when(twins > 0, F.lit(1.0)).otherwise(F.col("top")).alias("highest"),
     )
+    return asked.join(per_vector, "embedding").select("id", "similar", "highest")

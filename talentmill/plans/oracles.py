@@ -350,7 +350,7 @@ def visa_of(lowered: str) -> str:
 
 def spans_of(t: str) -> str:
     """Plausible year ranges of a text in document order, as structs s, e."""
-    p = lit(vocab.YEAR_RANGE)
+    p = lit("(?i)" + vocab.MONTH + vocab.YEAR_RANGE.removeprefix("(?i)"))
     pairs = f"list_zip(regexp_extract_all({t}, {p}, 1), regexp_extract_all({t}, {p}, 2))"
     spans = f"""list_transform({pairs}, lambda z: {{'s': CAST(z[1] AS INT),
         'e': CASE WHEN lower(z[2]) IN ('present', 'current', 'now') THEN {AS_OF_YEAR} ELSE TRY_CAST(z[2] AS INT) END}})"""

@@ -236,6 +236,8 @@ def contract_violations(spark, sf):
 
 def _resume_fields(spark, sf, **fields: Column) -> DataFrame:
     rows = v.resumes(spark, sf).withColumn("lowered", F.lower("text"))
+    if any(name == "skills" for name in fields):
+        rows = rows.withColumn("hits", rules.vocabulary_hits(F.col("lowered")))
     return rows.select("doc_id", *[c.alias(name) for name, c in fields.items()])
 
 
@@ -256,7 +258,7 @@ def extract_name(spark, sf):
 
 @query
 def extract_skills(spark, sf):
-    return _resume_fields(spark, sf, skills=rules.extract_skills(F.col("lowered")))
+    return _resume_fields(spark, sf, skills=rules.extract_skills(F.col("lowered"), F.col("hits")))
 
 
 @query
@@ -377,7 +379,7 @@ def slow_ops(spark, sf):
 @query
 def log_stats(spark, sf):
     """Lines and bytes of the documents' text, one log per source."""
-    lines = v.table(spark, sf, "documents").select(
+    lines = v.documents(spark, sf).select(
         F.col("source").alias("log"), F.explode(F.split("text", "\n")).alias("line")
     )
     return events.log_stats(lines)
@@ -465,7 +467,8 @@ def flag_anomalies(spark, sf):
 # Vectors
 
 def _vectors(spark, sf) -> DataFrame:
-    return v.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    rows = v.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return v.spread(rows, "id")
 
 
 def _nonzero(df: DataFrame, key: str) -> DataFrame:
@@ -476,7 +479,7 @@ def _nonzero(df: DataFrame, key: str) -> DataFrame:
 
 @query
 def hash_embedding(spark, sf):
-    return _nonzero(hash_embed(v.table(spark, sf, "documents"), "doc_id"), "doc_id")
+    return _nonzero(hash_embed(v.documents(spark, sf), "doc_id"), "doc_id")
 
 
 @query
@@ -486,14 +489,12 @@ def embedding_check(spark, sf):
 
 @query
 def cosine_topk(spark, sf):
-    vectors = _vectors(spark, sf)
-    return similarity.cosine_topk(vectors, vectors, 3)
+    return similarity.cosine_topk(_vectors(spark, sf), 3)
 
 
 @query
 def cosine_neighbour_counts(spark, sf):
-    vectors = _vectors(spark, sf)
-    return similarity.neighbour_counts(vectors, vectors, NEIGHBOUR_THRESHOLD)
+    return similarity.neighbour_counts(_vectors(spark, sf), NEIGHBOUR_THRESHOLD)
 
 
 @query

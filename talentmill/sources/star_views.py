@@ -25,6 +25,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a table with fewer splits than cores out to all cores.
+
+    The test tables are one file with one row group each, so one task. A table with
+    enough splits is left alone: a large input is never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
+
+
 def _pick(key: Column, values: tuple[str, ...]) -> Column:
     """Value by key modulo the number of values."""
     return F.get(F.array(*[F.lit(v) for v in values]), F.pmod(key, F.lit(len(values))).cast("int"))
@@ -229,7 +243,7 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
                    4: "CI/CD, GitHub Actions, Power BI",
                    5: "Apache Spark, Apache Kafka, PostgreSQL"}),
     ]
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", F.concat_ws("\n", *lines, "text").alias("text"), "source",
     )
 
@@ -240,7 +254,7 @@ def resume_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ext = _pick(d, ("pdf", "docx", "doc", "PDF", "txt", "png"))
     folder = F.when(d % 7 == 0, F.lit("resumes/old")).otherwise(F.lit("resumes"))
     text = F.when(d % 13 == 0, F.lit(" \n\t ")).otherwise(F.col("text"))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.concat(folder, F.lit("/cv "), d.cast("string"), F.lit("."), ext).alias("path"),
         d.alias("doc_id"),
         text.alias("text"),

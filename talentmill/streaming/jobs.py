@@ -86,7 +86,9 @@ def incremental_load(
         stored = _stored_keys(batch.sparkSession, store, key)
         fresh = batch.dropDuplicates([key])
         if stored is not None:
-            fresh = fresh.join(stored, key, "left_anti")
+            # A small batch is broadcast against the store, which is then not shuffled.
+            seen = stored.join(fresh.select(key), key, "left_semi")
+            fresh = fresh.join(seen, key, "left_anti")
         job(fresh).write.mode("append").parquet(store)
 
     query = (
