@@ -220,6 +220,9 @@ def cosine_topk(
     and a row is not its own neighbour. Zero vectors have no direction and take no part.
     Similarity has six decimals.
 
+    The search reads its inputs several times, so the reduced inputs and the first round
+    are written to the shared folder once.
+
     Copies: of equal corpus vectors only the k + 1 smallest ids can be in a result, and
     equal queries are searched once; both cuts are exact.
     """
@@ -227,9 +230,9 @@ def cosine_topk(
     rows = _directed(corpus)
     by_id = Window.partitionBy("embedding").orderBy("id")
     few = rows.withColumn("nth", F.row_number().over(by_id)).where(F.col("nth") <= k + 1)
-    few = few.select("id", "embedding", F.lit(1).cast("long").alias("copies"))
+    few = materialise(few.select("id", "embedding", F.lit(1).cast("long").alias("copies")), "topk-corpus")
     asked = rows if own else _directed(queries)
-    distinct = _distinct(asked)
+    distinct = materialise(_distinct(asked), "topk-queries")
     found = _search(distinct, few, k + 1 if own else k, pivots, block_rows)
     entry = F.struct("rank", "neighbour", "similarity")
     lists = found.groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("list"))  # k + 1 entries
@@ -258,8 +261,8 @@ def neighbour_counts(
     own = queries is None
     rows = _directed(corpus)
     asked = rows if own else _directed(queries)
-    folded = _distinct(rows)
-    distinct = folded if own else _distinct(asked)
+    folded = materialise(_distinct(rows), "count-corpus")
+    distinct = folded if own else materialise(_distinct(asked), "count-queries")
     cells = _Cells(folded, pivots, block_rows)
     reach = float(np.arccos(np.clip(threshold - SLACK, -1.0, 1.0))) + SLACK
     schema = "id long, hits long, top double"

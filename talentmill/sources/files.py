@@ -16,7 +16,10 @@ _ANY_CASE = ",".join("".join(f"[{c}{c.upper()}]" for c in ext) for ext in RESUME
 
 
 def read_resume_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length, modificationTime, content) of the accepted files directly in a folder."""
+    """(path, length, modificationTime, content) of the accepted files directly in a folder.
+
+    Spark plans no split for a file of zero bytes, so such a file gives no row.
+    """
     return spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{_ANY_CASE}}}").load(folder)
 
 
