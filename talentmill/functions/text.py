@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,13 +50,17 @@ def title_case(raw: Column) -> Column:
     return F.array_join(F.transform(runs, F.initcap), "")
 
 
-def _label_map(terms: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(v) for pair in terms.items() for v in pair])
+def _constant(value: object, kind: str) -> Column:
+    """A constant of a nested type, folded once by the optimizer.
+
+    One call instead of one per element keeps the plan quick to build.
+    """
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
 def normalise_skill(raw: Column) -> Column:
     """Alias label of a free-form skill, else the skill in title case."""
-    alias = F.element_at(_label_map(vocab.SKILL_ALIASES), strip(F.lower(raw)))
+    alias = F.element_at(_constant(vocab.SKILL_ALIASES, "map<string,string>"), strip(F.lower(raw)))
     return F.coalesce(alias, title_case(raw))
 
 
@@ -64,7 +70,7 @@ def vocabulary_hits(lowered: Column) -> Column:
     One hashed pass over the tokens, whatever the size of the vocabulary.
     """
     known = sorted({w for term in vocab.skill_terms() for w in vocab.components(term)})
-    return F.array_intersect(words(lowered), F.array(*[F.lit(w) for w in known]))
+    return F.array_intersect(words(lowered), _constant(known, "array<string>"))
 
 
 def extract_skills(lowered: Column, hits: Column) -> Column:
@@ -77,20 +83,20 @@ def extract_skills(lowered: Column, hits: Column) -> Column:
     """
     terms = vocab.skill_terms()
     single = {t: label for t, label in terms.items() if vocab.is_word(t)}
-    phrases = F.array(*[
-        F.struct(
-            F.array(*[F.lit(w) for w in vocab.components(t)]).alias("words"),
-            F.lit(vocab.bounded(t)).alias("pattern"),
-            F.lit(label).alias("label"),
-        )
-        for t, label in terms.items() if t not in single
-    ])
+    labels = _constant(single, "map<string,string>")
+    phrases = _constant(
+        [
+            {"words": vocab.components(t), "pattern": vocab.bounded(t), "label": label}
+            for t, label in terms.items() if t not in single
+        ],
+        "array<struct<words:array<string>,pattern:string,label:string>>",
+    )
 
     def found(p: Column) -> Column:
         has_all = F.forall(p["words"], lambda w: F.array_contains(hits, w))
         return F.when(has_all, F.rlike(lowered, p["pattern"])).otherwise(F.lit(False))
 
-    from_words = F.transform(hits, lambda w: F.element_at(_label_map(single), w))
+    from_words = F.transform(hits, lambda w: F.element_at(labels, w))
     from_phrases = F.transform(F.filter(phrases, found), lambda p: p["label"])
     return F.array_sort(F.array_distinct(F.array_compact(F.concat(from_words, from_phrases))))
 
@@ -139,9 +145,8 @@ def extract_visa(lowered: Column) -> Column:
     """Visa status by keyword substring in fixed priority, else 'unknown'."""
     status = F  # chain of F.when(...).when(...)
     for name in vocab.VISA_PRIORITY:
-        hit = F.lit(False)
-        for keyword in vocab.VISA_KEYWORDS[name]:
-            hit = hit | lowered.contains(keyword)
+        keywords = _constant(vocab.VISA_KEYWORDS[name], "array<string>")
+        hit = F.exists(keywords, lambda k: F.contains(lowered, k))
         status = status.when(hit, F.lit(name))
     return status.otherwise(F.lit("unknown"))
 

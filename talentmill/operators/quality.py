@@ -63,10 +63,10 @@ def contract_violations(tables: Mapping[str, DataFrame]) -> DataFrame:
             if c in df.columns and parent in tables
         ]
     reports = [r for r in reports if r is not None]
-    out = reports[0]
-    for r in reports[1:]:
-        out = out.unionByName(r)
-    return out
+    while len(reports) > 1:  # in pairs: each union analyses its whole plan anew
+        pairs = [a.union(b) for a, b in zip(reports[::2], reports[1::2])]
+        reports = pairs + reports[len(pairs) * 2:]
+    return reports[0]
 
 
 def split_valid(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:

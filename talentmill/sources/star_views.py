@@ -6,6 +6,9 @@ with the data. plans/oracles.py states the same views in SQL.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +24,26 @@ KIND_OF_EVENT = {
 }
 
 
+# Schemas of the supplied tables, so that no footer is read while a plan is built.
+SOURCE_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -39,9 +60,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
 
 
-def _pick(key: Column, values: tuple[str, ...]) -> Column:
+def _pick(key: Column, values: Sequence[str | None]) -> Column:
     """Value by key modulo the number of values."""
-    return F.get(F.array(*[F.lit(v) for v in values]), F.pmod(key, F.lit(len(values))).cast("int"))
+    options = F.from_json(F.lit(json.dumps(values)), "array<string>")
+    return F.get(options, F.pmod(key, F.lit(len(values))).cast("int"))
 
 
 def _days_after_2024(key: Column) -> Column:
@@ -223,11 +245,8 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with resume lines in front, chosen by doc_id."""
     d = F.col("doc_id")
 
-    def choose(mod: int, values: dict[int, str | None]) -> Column:
-        out = F
-        for k, v in values.items():
-            out = out.when(d % mod == k, F.lit(v))
-        return out
+    def choose(mod: int, values: dict[int, str]) -> Column:
+        return _pick(d, [values.get(i) for i in range(mod)])
 
     email = F.concat(F.lit("User."), d.cast("string"), F.lit("+cv@Example.CO.UK"))
     lines = [
@@ -271,8 +290,7 @@ def timings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table as a file stream."""
-    schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(SOURCE_SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def event_fields(events: DataFrame) -> DataFrame:
