@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import micros, money, rounded_ratio
+from .joins import join_per_key
 from .ranks import nth_value
 from .scans import equals
 
@@ -63,15 +64,16 @@ def margin_leakage(
     pairs = placements.groupBy("candidate_id", "client_id").agg(
         weight.cast("decimal(10,0)").alias("w")
     )
-    per_client = (
-        pairs.join(pay, F.col("candidate_id") == F.col("contractor_id"))
+    per_candidate = (
+        pairs.groupBy("candidate_id").agg(F.count("*").alias("links"))
+        .join(pay, F.col("candidate_id") == F.col("contractor_id"))
         .join(candidates.select(F.col("id").alias("candidate_id")), "candidate_id", "left_semi")
-        .groupBy("client_id")
-        .agg(
-            F.sum(F.col("w") * F.col("pct_sum")).alias("pct_sum"),
-            F.sum(F.col("w") * F.col("bill_sum")).alias("bill_sum"),
-            F.sum(F.col("w") * F.col("n")).alias("n"),
-        )
+        .drop("contractor_id")
+    )
+    per_client = join_per_key(pairs, per_candidate, "candidate_id", "links").groupBy("client_id").agg(
+        F.sum(F.col("w") * F.col("pct_sum")).alias("pct_sum"),
+        F.sum(F.col("w") * F.col("bill_sum")).alias("bill_sum"),
+        F.sum(F.col("w") * F.col("n")).alias("n"),
     )
     average = F.col("pct_sum").cast("double") / F.col("n").cast("double")
     return (

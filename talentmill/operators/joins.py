@@ -6,6 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# A key is hot if it holds at least this part of all rows; so there are at most as many.
+HOT_PARTS = 10_000
+
+
+def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join of rows to a table with one row per key, which holds the key's row count n.
+
+    Rows of hot keys meet a broadcast of the hot keys' figures where they are: at most
+    HOT_PARTS keys can hold 1 / HOT_PARTS of all rows, so its size is bounded whatever
+    the data. All other rows are shuffled by key. Spark's own skew handling cannot split
+    such a join, because an aggregate on the same key shares its shuffle.
+    """
+    total = per_key.agg(F.sum(n)).scalar()
+    is_hot = F.col(n) * HOT_PARTS >= total
+    hot = F.broadcast(per_key.where(is_hot))
+    cold_rows = rows.join(F.broadcast(per_key.where(is_hot).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(cold_rows.join(per_key.where(~is_hot), key))
+
+
 def placement_detail(
     placements: DataFrame,
     candidates: DataFrame,

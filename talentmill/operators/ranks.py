@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import join_per_key
+
 
 def nth_value(
     df: DataFrame,
@@ -24,7 +26,8 @@ def nth_value(
     ranges, the ranges are counted, and only the range that holds the rank is ordered,
     as (value, count) pairs. The counts make the result exact for any splitters; good
     ones leave about 6 / accuracy of the group's rows. Every pass combines on the map
-    side, so a group with most of the rows still spreads over all tasks.
+    side and joins large groups by broadcast, so a group with most of the rows still
+    spreads over all tasks.
     """
     rows = df.select(group, value).where(F.col(value).isNotNull())
     slack = 3.0 / accuracy
@@ -38,13 +41,15 @@ def nth_value(
         .where(F.col("_n") >= min_rows)
         .select(
             group,
+            "_n",
             rank(F.col("_n")).cast("long").alias("_rank"),
             F.col("_cuts")[0].alias("_low"),
             F.col("_cuts")[1].alias("_high"),
         )
     )
     part = F.when(F.col(value) < F.col("_low"), 0).when(F.col(value) <= F.col("_high"), 1).otherwise(2)
-    counted = rows.join(splitters, group).groupBy(group).agg(
+    counted = join_per_key(rows, splitters, group, "_n").groupBy(group).agg(
+        F.first("_n").alias("_n"),
         F.first("_rank").alias("_rank"),
         F.first("_low").alias("_low"),
         F.first("_high").alias("_high"),
@@ -53,7 +58,7 @@ def nth_value(
     )
     upto = F.col("_below") + F.col("_inside")
     target = counted.select(
-        group, "_low", "_high",
+        group, "_n", "_low", "_high",
         F.when(F.col("_rank") <= F.col("_below"), 0).when(F.col("_rank") <= upto, 1).otherwise(2).alias("_part"),
         F.when(F.col("_rank") <= F.col("_below"), F.col("_rank"))
         .when(F.col("_rank") <= upto, F.col("_rank") - F.col("_below"))
@@ -61,7 +66,7 @@ def nth_value(
     )
     in_order = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        rows.join(target, group)
+        join_per_key(rows, target, group, "_n")
         .where(part == F.col("_part"))
         .groupBy(group, value)
         .agg(F.count("*").alias("_count"), F.first("_rest").alias("_rest"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import money
 from ..operators.aggregates import margin_leakage_clients
+from ..operators.joins import join_per_key
 from ..schemas import STAGES
 
 
@@ -106,21 +107,23 @@ def timesheet_findings(timesheets: DataFrame, z_limit: float = 3.0, hour_limit:
     """Sheets whose hours lie z_limit standard deviations above their contractor's mean, or reach hour_limit.
 
     The sums per contractor are exact decimals and combine on the map side; they join
-    back as one row per contractor.
+    back as one row per contractor, those of contractors with many sheets by broadcast.
     """
     h = F.col("hours")
     stats = timesheets.groupBy("contractor_id").agg(
+        F.count("*").alias("sheets"),
         F.count("hours").alias("n"),
         F.sum(money(h)).cast("double").alias("s1"),
         F.sum((money(h) * money(h)).cast("decimal(28,4)")).cast("double").alias("s2"),
     ).select(
         "contractor_id",
+        "sheets",
         (F.col("s1") / F.col("n")).alias("mean"),
         F.sqrt(F.greatest(F.col("s2") / F.col("n") - (F.col("s1") / F.col("n")) * (F.col("s1") / F.col("n")), F.lit(0.0))).alias("sd"),
     )
     z = (h - F.col("mean")) / F.nullif(F.col("sd"), F.lit(0.0))
     return (
-        timesheets.join(stats, "contractor_id")
+        join_per_key(timesheets, stats, "contractor_id", "sheets")
         .withColumn("score", F.round(z, 6))
         .where((h >= hour_limit) | (F.col("score") >= z_limit))
         .select(

@@ -103,3 +103,17 @@ def test_filters_reach_the_scan(spark, small_dir):
     plan = scans.get_payroll(v.payroll(spark, small_dir), 5)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(l_suppkey,5)" in plan
     assert "l_returnflag" not in plan
+
+
+@pytest.mark.parametrize("parts", [1, 3, 10_000])
+def test_hot_and_cold_keys_join_alike(spark, monkeypatch, parts):
+    """Whatever counts as hot, the union of both ways is the plain join."""
+    from talentmill.operators import joins
+
+    monkeypatch.setattr(joins, "HOT_PARTS", parts)
+    key = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 11)
+    rows = spark.range(400).select("id", F.when(F.col("id") != 7, key).alias("k"))
+    per_key = rows.where("k <> 5").groupBy("k").agg(F.count("*").alias("n"))
+    want = rows_of(rows.join(per_key, "k").select("id", "k", "n"))
+    assert rows_of(joins.join_per_key(rows, per_key, "k", "n").select("id", "k", "n")) == want
+    assert joins.join_per_key(rows, per_key.where("n < 0"), "k", "n").count() == 0
