@@ -18,10 +18,10 @@ from talentmill.plans.queries import QUERIES
 from talentmill.session import build_session
 
 HEADLINE = (
-    "parse_documents", "extract_skills", "skill_frequency", "hash_embedding",
+    "parse_documents", "extract_skills", "skill_frequency", "hash_embed",
     "monthly_revenue", "margin_leakage_fanout", "op_latency_stats", "weekly_hours",
     "placement_detail", "match_scores", "upsert_entities", "timesheet_findings",
-    "contract_violations", "cosine_topk", "cosine_neighbour_counts", "stream_event_metrics",
+    "stage_update", "cosine_topk", "cosine_neighbour_counts", "stream_event_metrics",
 )
 
 
@@ -52,7 +52,7 @@ def main() -> None:
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
         "cpus": cpus,
         "resumes_per_sec": round(resumes / seconds["parse_documents"], 1),
-        "embeds_per_sec": round(resumes / seconds["hash_embedding"], 1),
+        "embeds_per_sec": round(resumes / seconds["hash_embed"], 1),
     }))
     spark.stop()
 

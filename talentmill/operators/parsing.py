@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as rules
@@ -45,6 +45,17 @@ def rejected(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("status") != "parsed")
 
 
+def observed(parsed: DataFrame, metrics: Observation) -> DataFrame:
+    """The same rows; once they are written, metrics holds their number and the outcome counts.
+
+    The counts come with the job itself, without a second pass.
+    """
+    ok = F.col("status") == "parsed"
+    return parsed.observe(
+        metrics, F.count("*").alias("rows"), F.count_if(ok).alias("parsed"), F.count_if(~ok).alias("failed")
+    )
+
+
 def list_resume_files(files: DataFrame, folder: str) -> DataFrame:
     """Files of an accepted type directly in a folder, in path order.
 

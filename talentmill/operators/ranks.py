@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .joins import join_per_key
 
 
@@ -27,7 +28,8 @@ def nth_value(
     as (value, count) pairs. The counts make the result exact for any splitters; good
     ones leave about 6 / accuracy of the group's rows. Every pass combines on the map
     side and joins large groups by broadcast, so a group with most of the rows still
-    spreads over all tasks.
+    spreads over all tasks. The splitters and the ranges, one row per group, are written
+    to the shared folder between the passes.
     """
     rows = df.select(group, value).where(F.col(value).isNotNull())
     slack = 3.0 / accuracy
@@ -47,6 +49,7 @@ def nth_value(
             F.col("_cuts")[1].alias("_high"),
         )
     )
+    splitters = materialise(splitters, "splitters")
     part = F.when(F.col(value) < F.col("_low"), 0).when(F.col(value) <= F.col("_high"), 1).otherwise(2)
     counted = join_per_key(rows, splitters, group, "_n").groupBy(group).agg(
         F.first("_n").alias("_n"),
@@ -64,6 +67,7 @@ def nth_value(
         .when(F.col("_rank") <= upto, F.col("_rank") - F.col("_below"))
         .otherwise(F.col("_rank") - upto).alias("_rest"),
     )
+    target = materialise(target, "ranges")
     in_order = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return (
         join_per_key(rows, target, group, "_n")

@@ -551,8 +551,8 @@ def hashed(dim: int) -> str:
     FROM b JOIN n ON n.doc_id = b.doc_id WHERE s <> 0"""
 
 
-add("hash_embedding", "", hashed(384))
-add("embedding_check", "", """
+add("hash_embed", "", hashed(384))
+add("embedding_quality", "", """
     WITH e AS (SELECT len(embedding) AS n, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm,
                       embedding IS NULL AS missing FROM embeddings)
     SELECT count(*) AS vectors, count(*) FILTER (missing) AS missing, count(*) FILTER (NOT missing AND n <> 64) AS wrong_length,

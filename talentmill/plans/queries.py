@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as rules
-from ..functions.vectors import embedding_quality, hash_embed
+from ..functions import vectors
 from ..operators import aggregates, derived, events, joins, parsing, quality, scans, seed, similarity, writes
 from ..schemas import STAGES, TABLES
 from ..session import shared_dir
@@ -478,13 +478,13 @@ def _nonzero(df: DataFrame, key: str) -> DataFrame:
 
 
 @query
-def hash_embedding(spark, sf):
-    return _nonzero(hash_embed(v.documents(spark, sf), "doc_id"), "doc_id")
+def hash_embed(spark, sf):
+    return _nonzero(vectors.hash_embed(v.documents(spark, sf), "doc_id"), "doc_id")
 
 
 @query
-def embedding_check(spark, sf):
-    return embedding_quality(v.table(spark, sf, "embeddings"), 64)
+def embedding_quality(spark, sf):
+    return vectors.embedding_quality(v.table(spark, sf, "embeddings"), 64)
 
 
 @query
@@ -501,8 +501,8 @@ def cosine_neighbour_counts(spark, sf):
 def cosine_pairs_over(spark, sf):
     """Candidate-job pairs that occur as placements, with a similarity over the threshold."""
     pairs = v.placements(spark, sf).select("candidate_id", "job_id").distinct()
-    vectors = _vectors(spark, sf)
-    scored = similarity.similarity_of_pairs(pairs, vectors, vectors, "candidate_id", "job_id")
+    stored = _vectors(spark, sf)
+    scored = similarity.similarity_of_pairs(pairs, stored, stored, "candidate_id", "job_id")
     return scored.where(F.col("similarity") > PAIR_THRESHOLD)
 
 
@@ -654,6 +654,6 @@ def stream_incremental_embed(spark, sf):
     path = shared_dir(spark, "embed")
     rows = v.stream_table(spark, sf, "documents").select("doc_id", "text")
     streams.incremental_load(
-        rows, f"{path}/store", f"{path}/checkpoint", lambda b: hash_embed(b, "doc_id", dim=STREAM_DIM), "doc_id"
+        rows, f"{path}/store", f"{path}/checkpoint", lambda b: vectors.hash_embed(b, "doc_id", dim=STREAM_DIM), "doc_id"
     )
     return _nonzero(spark.read.parquet(f"{path}/store"), "doc_id")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from talentmill.functions import text as rules
 from talentmill.functions.vocab import KNOWN_SKILLS, SKILL_ALIASES, skill_terms
-from talentmill.operators.parsing import parse_documents
+from talentmill.operators.parsing import observed, parse_documents
 
 RESUME = """
 Jane Doe
@@ -178,6 +179,13 @@ def test_blank_documents_are_rejected(spark):
         assert (got[i]["status"], got[i]["error"], got[i]["name"], got[i]["skills"]) == ("rejected", "no text", None, None)
 
 
+def test_outcomes_are_observed_with_the_job(spark):
+    rows = spark.createDataFrame([(1, "Jane Doe"), (2, " "), (3, "x")], "id int, text string")
+    metrics = Observation("outcomes")
+    observed(parse_documents(rows, 2026), metrics).write.format("noop").mode("overwrite").save()
+    assert metrics.get == {"rows": 3, "parsed": 2, "failed": 1}
+
+
 def test_parsing_needs_no_shuffle(spark):
     rows = spark.range(10).select("id", F.lit("Jane Doe").alias("text"))
     plan = parse_documents(rows, 2026)._jdf.queryExecution().executedPlan().toString()
