@@ -34,21 +34,19 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 @lru_cache(maxsize=1 << 18)
-def _slot(token: str, dim: int) -> tuple[int, int]:
+def _slot(token: str, dim: int) -> int:
+    """Hash bucket of a token, moved up by dim if its sign is negative."""
     digest = md5(token.encode("utf-8"), usedforsecurity=False).hexdigest()
-    return int(digest[:8], 16) % dim, 1 if int(digest[8], 16) % 2 == 0 else -1
+    return int(digest[:8], 16) % dim + (int(digest[8], 16) % 2) * dim
 
 
 def _encode(text: str | None, dim: int) -> np.ndarray:
-    vector = np.zeros(dim)
-    slots = [_slot(t, dim) for t in TOKEN.findall(text.lower())] if text else []
-    if slots:
-        index, sign = np.array(slots).T
-        vector = np.bincount(index, weights=sign, minlength=dim)
-        length = np.sqrt((vector * vector).sum())
-        if length:
-            vector /= length
-    return vector.astype(np.float32)
+    tokens = TOKEN.findall(text.lower()) if text else []
+    slots = np.fromiter((_slot(t, dim) for t in tokens), dtype=np.int64, count=len(tokens))
+    counts = np.bincount(slots, minlength=2 * dim)
+    vector = (counts[:dim] - counts[dim:]).astype(float)
+    length = np.sqrt((vector * vector).sum())
+    return (vector / length if length else vector).astype(np.float32)
 
 
 def hash_embed(

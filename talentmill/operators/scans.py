@@ -104,9 +104,13 @@ def get_payroll(payroll: DataFrame, contractor_id: int | None = None) -> DataFra
 def get_latest_predictions(
     predictions: DataFrame, model_name: str, entity_type: str | None = None
 ) -> DataFrame:
-    """All predictions of a model, newest first, undated ones in front."""
+    """All predictions of a model, newest first, undated ones in front.
+
+    The id breaks ties, so that a pile of equal or missing times is still cut into
+    several sort ranges.
+    """
     rows = equals(predictions, model_name=model_name, entity_type=entity_type)
-    return project(rows, PREDICTION_COLUMNS).orderBy(F.desc_nulls_first("created_at"))
+    return project(rows, PREDICTION_COLUMNS).orderBy(F.desc_nulls_first("created_at"), F.desc("id"))
 
 
 def newest_per_entity(predictions: DataFrame, model_name: str | None = None) -> DataFrame:
