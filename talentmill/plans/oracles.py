@@ -416,11 +416,10 @@ add("candidate_embed_text", "resumes", f"""
         CASE WHEN source <> '' THEN 'Location: ' || source END,
         CASE WHEN visa_status <> '' THEN 'Visa: ' || visa_status END,
         CASE WHEN yoe <> 0 THEN 'Years of experience: ' || CAST(yoe AS VARCHAR) END) AS embed_text FROM p""")
-add("job_embed_text", "jobs", """
-    SELECT id, concat_ws(chr(10), 'Job title: ' || title, substring(jd_text, 1, 2000),
+JOB_TEXT = """concat_ws(chr(10), 'Job title: ' || title, substring(jd_text, 1, 2000),
         'Required skills: ' || array_to_string(required_skills, ', '), 'Location: ' || location,
-        CASE WHEN min_yoe <> 0 THEN 'Minimum experience: ' || CAST(min_yoe AS VARCHAR) || ' years' END) AS embed_text
-    FROM jobs""")
+        CASE WHEN min_yoe <> 0 THEN 'Minimum experience: ' || CAST(min_yoe AS VARCHAR) || ' years' END)"""
+add("job_embed_text", "jobs", f"SELECT id, {JOB_TEXT} AS embed_text FROM jobs")
 add("truncate_text", "resumes", """
     WITH h AS (SELECT doc_id, text, substring(text, 1, 800) AS head FROM resumes),
     d AS (SELECT *, list_max(list_filter(range(1, 801), lambda i: substring(head, i, 1) = '.')) AS dot FROM h)
@@ -541,14 +540,19 @@ add("flag_anomalies", "timesheets", f"""
 # Vectors
 
 
+def hashed_parts(source: str, key: str, dim: int, x: str = "") -> str:
+    """WITH parts that end in {x}w: the non-zero vector entries (key, bucket, weight) of a text source."""
+    return f"""{x}t AS (SELECT {key}, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS tok FROM {source}),
+    {x}h AS (SELECT {key}, ('0x' || substr(md5(tok), 1, 8))::BIGINT % {dim} AS bucket,
+                 CASE WHEN ('0x' || substr(md5(tok), 9, 1))::BIGINT % 2 = 0 THEN 1 ELSE -1 END AS sign FROM {x}t WHERE tok <> ''),
+    {x}b AS (SELECT {key}, bucket, sum(sign) AS s FROM {x}h GROUP BY {key}, bucket),
+    {x}n AS (SELECT {key}, sqrt(CAST(sum(s * s) AS DOUBLE)) AS length FROM {x}b GROUP BY {key}),
+    {x}w AS (SELECT {key}, bucket, CAST(CAST(CAST(s AS DOUBLE) / length AS FLOAT) AS DOUBLE) AS weight
+             FROM {x}b JOIN {x}n USING ({key}) WHERE s <> 0)"""
+
+
 def hashed(dim: int) -> str:
-    return f"""WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS tok FROM documents),
-    h AS (SELECT doc_id, ('0x' || substr(md5(tok), 1, 8))::BIGINT % {dim} AS bucket,
-                 CASE WHEN ('0x' || substr(md5(tok), 9, 1))::BIGINT % 2 = 0 THEN 1 ELSE -1 END AS sign FROM t WHERE tok <> ''),
-    b AS (SELECT doc_id, bucket, sum(sign) AS s FROM h GROUP BY doc_id, bucket),
-    n AS (SELECT doc_id, sqrt(CAST(sum(s * s) AS DOUBLE)) AS length FROM b GROUP BY doc_id)
-    SELECT b.doc_id, b.bucket, CAST(CAST(CAST(s AS DOUBLE) / length AS FLOAT) AS DOUBLE) AS weight
-    FROM b JOIN n ON n.doc_id = b.doc_id WHERE s <> 0"""
+    return f"WITH {hashed_parts('documents', 'doc_id', dim)} SELECT doc_id, bucket, weight FROM w"
 
 
 add("hash_embed", "", hashed(384))
@@ -700,6 +704,18 @@ add("match_scores", "placements candidates jobs", f"""
            || CASE WHEN len({MISSING}) = 0 THEN 'none' WHEN len({MISSING}) * 3 <= len(j.required_skills) THEN 'low'
                    WHEN len({MISSING}) * 3 <= len(j.required_skills) * 2 THEN 'medium' ELSE 'high' END || '"}}' AS skill_gap
     FROM placements p JOIN candidates k ON k.id = p.candidate_id JOIN jobs j ON j.id = p.job_id""")
+add("best_candidates", "jobs candidates", f"""
+    WITH job_texts AS (SELECT id AS job_id, {JOB_TEXT} AS text FROM jobs WHERE status = 'open'),
+    candidate_texts AS (SELECT id AS candidate_id, concat_ws(chr(10), 'Skills: ' || array_to_string(skills, ', '), 'Location: ' || location,
+        'Visa: ' || visa_status, CASE WHEN yoe <> 0 THEN 'Years of experience: ' || CAST(yoe AS VARCHAR) END) AS text FROM candidates),
+    {hashed_parts('job_texts', 'job_id', 384, 'j')}, {hashed_parts('candidate_texts', 'candidate_id', 384, 'c')},
+    jl AS (SELECT job_id, sqrt(sum(weight * weight)) AS l FROM jw GROUP BY job_id),
+    cl AS (SELECT candidate_id, sqrt(sum(weight * weight)) AS l FROM cw GROUP BY candidate_id),
+    d AS (SELECT job_id, candidate_id, sum(jw.weight * cw.weight) AS dot FROM jw JOIN cw ON jw.bucket = cw.bucket GROUP BY ALL),
+    p AS (SELECT job_id, candidate_id, round(coalesce(dot, 0) / (jl.l * cl.l), 6) AS similarity
+          FROM jl CROSS JOIN cl LEFT JOIN d USING (job_id, candidate_id))
+    SELECT job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY similarity DESC, candidate_id) AS INT) AS rank,
+           candidate_id, similarity FROM p QUALIFY rank <= 3""")
 add("client_refresh", "clients jobs placements", """
     SELECT c.id, c.name, CAST((SELECT count(*) FROM jobs j WHERE j.client_id = c.id AND j.status = 'open') AS INT) AS req_volume,
            m.pct AS margin_pct

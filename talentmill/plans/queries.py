@@ -560,6 +560,23 @@ def match_scores(spark, sf):
     return insights.match_scores(v.placements(spark, sf), v.candidates(spark, sf), v.jobs(spark, sf))
 
 
+@query
+def best_candidates(spark, sf):
+    """Candidates and open jobs embedded by their texts."""
+    jobs, people = v.jobs(spark, sf), v.candidates(spark, sf)
+    job_text = rules.job_embed_text(
+        F.col("title"), F.col("jd_text"), F.col("required_skills"), F.col("location"), F.col("min_yoe")
+    )
+    person_text = rules.candidate_embed_text(
+        F.lit(None).cast("string"), F.col("skills"), F.col("location"), F.col("visa_status"), F.col("yoe")
+    )
+    job_vectors = vectors.hash_embed(jobs.where(F.col("status") == "open").select("id", job_text.alias("text")))
+    return insights.best_candidates(
+        job_vectors.withColumn("status", F.lit("open")),
+        vectors.hash_embed(people.select("id", person_text.alias("text"))), 3,
+    )
+
+
 @query
 def client_refresh(spark, sf):
     return insights.refresh_clients(v.clients(spark, sf), v.jobs(spark, sf), v.placements(spark, sf)).select(
