@@ -7,7 +7,8 @@ from compare import connect, differences
 
 from __spark_entry__ import entry, oracle_sql, queries
 
-QUERIES, ORACLES = queries(), oracle_sql()
+from talentmill.plans.oracles import ORACLES
+from talentmill.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -22,6 +23,7 @@ def test_query_equals_sql(spark, small_dir, con, name):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
 
 
 def test_entry(spark):
