@@ -4,14 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode
 from .chat import rotate_perspectives
 from .common import read
+from .packing import pack
 from .quality import quality_rules
 from .sharding import assign_shards
 
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = encode(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), decoded=True)
+    return tokens.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
 
 def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
@@ -19,6 +31,12 @@ def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc.doc_id").alias("doc_id"), "n_bytes", "shard", "depth", "shard_bytes", "shard_rows")
 
 
+def op6_differencing_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
@@ -30,7 +48,9 @@ def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_bpe_round_trip": op3_bpe_round_trip,
     "op5_extendible_shards": op5_extendible_shards,
+    "op6_differencing_windows": op6_differencing_windows,
     "op8_quality_rules": op8_quality_rules,
     "op10_perspective_rotation": op10_perspective_rotation,
 }
