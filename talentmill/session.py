@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,7 +38,28 @@ def build_session(
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per Spark context.
+
+    Workers unpickle functions by module name, so they must be able to import it wherever
+    the job was started. Spark's own file server hands the archive out.
+    """
+    context = spark.sparkContext
+    if not getattr(context, "_talentmill_shipped", False):
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="talentmill-"), "talentmill.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for folder, _, names in os.walk(package):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        z.write(path, os.path.relpath(path, os.path.dirname(package)))
+        context.addPyFile(archive)
+        context._talentmill_shipped = True
+    return spark
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
