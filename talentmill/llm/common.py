@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 #: Words are runs of anything but these six ASCII white-space characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
@@ -39,7 +41,8 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 16) -> None:
-    """Bound the Arrow batches of a Python stage by rows and by bytes, so that long texts fit."""
+    """Make ready for a Python stage: workers get the package, Arrow batches a bound in rows and bytes."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
