@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,24 +54,22 @@ def words_of(text: Column) -> Column:
     return F.array_remove(parts, "")
 
 
-def running_total(sizes: Column) -> Column:
-    """Exclusive running totals of an array of longs, in O(n * sqrt(n)) with no shuffle.
+def running(values: Column, start: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Fold of all items before each one, for an array of longs, in O(n * sqrt(n)) with no shuffle.
 
     A fold that appends to an array copies it at every step. Folding within blocks of
-    sqrt(n) items keeps that copy small; a block starts from the sum of what precedes it.
+    sqrt(n) items keeps that copy small; a block starts from the fold of what precedes it.
     """
-    n = F.size(sizes)
+    n, empty = F.size(values), F.array().cast("array<bigint>")
     block = F.greatest(F.ceil(F.sqrt(n.cast("double"))).cast("int"), F.lit(1))
-    zero = F.lit(0).cast("long")
 
     def within(b: Column) -> Column:
-        before = F.aggregate(F.slice(sizes, F.lit(1), b * block), zero, lambda s, x: s + x)
-        start = F.struct(before.alias("s"), F.array().cast("array<bigint>").alias("out"))
+        before = F.aggregate(F.slice(values, F.lit(1), b * block), start, lambda s, x: op(s, x))
         return F.aggregate(
-            F.slice(sizes, b * block + 1, block), start,
-            lambda acc, x: F.struct((acc.s + x).alias("s"), F.array_append(acc.out, acc.s).alias("out")),
+            F.slice(values, b * block + 1, block), F.struct(before.alias("s"), empty.alias("out")),
+            lambda acc, x: F.struct(op(acc.s, x).alias("s"), F.array_append(acc.out, acc.s).alias("out")),
             lambda acc: acc.out,
         )
 
     blocks = F.sequence(F.lit(0), F.greatest(F.ceil(n / block).cast("int") - 1, F.lit(0)))
-    return F.when(n > 0, F.flatten(F.transform(blocks, within))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n > 0, F.flatten(F.transform(blocks, within))).otherwise(empty)

@@ -12,12 +12,21 @@ from .bpe import encode
 from .chat import rotate_perspectives
 from .common import read
 from .packing import pack
+from .pii import KINDS, find_pii, span_list
 from .quality import quality_rules
 from .sharding import assign_shards
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op2_pii_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s.base)
+    counts = (F.size(F.filter("spans", lambda s, k=k: s.base & (s.kind == k))).cast("long").alias(f"n_{kind}")
+              for k, kind in enumerate(KINDS))
+    return found.select("doc.doc_id", *counts, F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("spans")).alias("spans"))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = encode(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), decoded=True)
     return tokens.select(
@@ -48,6 +57,7 @@ def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii_boosted_candidates": op2_pii_boosted_candidates,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op5_extendible_shards": op5_extendible_shards,
     "op6_differencing_windows": op6_differencing_windows,
