@@ -3,12 +3,36 @@
 from __future__ import annotations
 
 from .chat import PART_TURNS
+from .lines import SHORT
 from .quality import RULES, STOP_WORDS
 from .sharding import SHARD_BYTES
 
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+def _lines() -> str:
+    """Pairs meet on an equal half; one edit is checked position by position."""
+    return f"""
+    with l as (select doc_id, i - 1 as p, l[i] as line, regexp_matches(l[i], '[^\x20\x09-\x0D]') as word
+               from (select doc_id, l, unnest(generate_series(1, len(l))) as i
+                     from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents))),
+    f as (select line, len(line) as n, min((doc_id, p)) as pos from l where word group by line),
+    h as (select line, n, pos, g, 0 as side, substr(line, 1, g // 2) as half from f, unnest([n, n + 1]) u(g) where n >= {SHORT}
+          union all
+          select line, n, pos, g, 1, substr(line, n - (g - 1 - g // 2) + 1) from f, unnest([n, n + 1]) u(g) where n >= {SHORT}),
+    pair as (select distinct a.pos as pos, a.line as x, b.line as y from h a join h b
+             on a.g = b.g and a.side = b.side and a.half = b.half and greatest(a.n, b.n) = a.g and b.pos < a.pos),
+    gone as (select distinct pos from pair where case when len(x) = len(y)
+               then len(list_filter(generate_series(1, len(x)), lambda i: x[i] <> y[i])) = 1
+               when len(x) < len(y) then len(list_filter(generate_series(1, len(y)), lambda i: substr(y, 1, i - 1) || substr(y, i + 1) = x)) > 0
+               else len(list_filter(generate_series(1, len(x)), lambda i: substr(x, 1, i - 1) || substr(x, i + 1) = y)) > 0 end),
+    kept as (select pos from f where pos not in (select pos from gone)),
+    m as (select l.*, not word or k.pos is not null as stay from l left join kept k on k.pos = (l.doc_id, l.p))
+    select doc_id, count(*) filter (word) as n_lines, count(*) filter (not stay) as n_removed,
+           sha256(coalesce(string_agg(line, chr(10) order by p) filter (stay), '')) as kept_sha256
+    from m group by doc_id"""
+
+
 def _sharding() -> str:
     return f"""
     with sized as (
@@ -78,6 +102,7 @@ def _chat() -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op1_deletion_line_dedup": _lines(),
     "op5_extendible_shards": _sharding(),
     "op8_quality_rules": _quality(),
     "op10_perspective_rotation": _chat(),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .bpe import encode
 from .chat import rotate_perspectives
 from .common import read
+from .lines import dedup_lines
 from .packing import pack
 from .pii import KINDS, find_pii, span_list
 from .quality import quality_rules
@@ -19,6 +20,11 @@ from .sharding import assign_shards
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_deletion_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc.doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_pii_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(read(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s.base)
@@ -57,6 +63,7 @@ def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_deletion_line_dedup": op1_deletion_line_dedup,
     "op2_pii_boosted_candidates": op2_pii_boosted_candidates,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op5_extendible_shards": op5_extendible_shards,
