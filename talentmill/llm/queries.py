@@ -12,6 +12,7 @@ from .bpe import encode
 from .chat import rotate_perspectives
 from .common import read
 from .lines import dedup_lines
+from .minhash import near_duplicates
 from .packing import pack
 from .pii import KINDS, find_pii, span_list
 from .quality import quality_rules
@@ -40,6 +41,11 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_signature_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc.doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
     return assign_shards(docs, size=F.col("size")).select(
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_deletion_line_dedup": op1_deletion_line_dedup,
     "op2_pii_boosted_candidates": op2_pii_boosted_candidates,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op4_signature_near_duplicates": op4_signature_near_duplicates,
     "op5_extendible_shards": op5_extendible_shards,
     "op6_differencing_windows": op6_differencing_windows,
     "op8_quality_rules": op8_quality_rules,
