@@ -48,6 +48,17 @@ def bounded_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 16)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 
+def where_last(df: DataFrame, condition: Column | str) -> DataFrame:
+    """Filter on derived columns without the optimizer writing their whole derivation into the filter.
+
+    A filter is not pushed through a projection with a row number, so long chains of derived
+    columns are evaluated once per row and planned in linear time.
+    """
+    condition = F.expr(condition) if isinstance(condition, str) else condition
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    return numbered.where(condition & (F.col("_row") >= 0)).drop("_row")
+
+
 def words_of(text: Column) -> Column:
     """Words of a text as an array; null and blank texts have none."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+")

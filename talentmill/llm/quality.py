@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, words_of
+from .common import SPACE_CLASS, where_last, words_of
 
 SYMBOLS = "[#*$%&|<>]"
 
@@ -142,4 +142,4 @@ def quality_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ..
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The input rows that pass, with the input's columns."""
-    return quality_rules(docs, text_col, rules).where("kept").select("doc.*")
+    return where_last(quality_rules(docs, text_col, rules), "kept").select("doc.*")
