@@ -6,6 +6,7 @@ from .chat import PART_TURNS
 from .lines import SHORT
 from .quality import RULES, STOP_WORDS
 from .sharding import SHARD_BYTES
+from .substrings import WINDOW
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -51,6 +52,22 @@ def _sharding() -> str:
           from marks m join buckets b using (shard, depth)) where k = 1"""
 
 
+def _substrings() -> str:
+    return f"""
+    with w as (select row_number() over () as rid, doc_id,
+                 list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACES}'), lambda x: x <> '') as w from documents),
+    g as (select rid, doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') as gram
+          from (select rid, doc_id, w, unnest(generate_series(1, len(w) - {WINDOW - 1})) as i from w)),
+    f as (select gram, min(doc_id) as first from g group by gram),
+    hit as (select rid, i from g join f using (gram) where first < doc_id),
+    gone as (select distinct rid, i + k as i from hit, range(0, {WINDOW}) r(k)),
+    words as (select rid, i, w[i] as word from (select rid, w, unnest(generate_series(1, len(w))) as i from w)),
+    kept as (select words.rid, count(*) as n, string_agg(word, ' ' order by i) as kept_text
+             from words anti join gone on words.rid = gone.rid and words.i = gone.i group by words.rid)
+    select doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(kept_text, '')) as kept_sha256
+    from w left join kept using (rid)"""
+
+
 def _quality() -> str:
     checks = []
     for rule in RULES:
@@ -104,6 +121,7 @@ def _chat() -> str:
 ORACLES: dict[str, str] = {
     "op1_deletion_line_dedup": _lines(),
     "op5_extendible_shards": _sharding(),
+    "op7_fm_index_substrings": _substrings(),
     "op8_quality_rules": _quality(),
     "op10_perspective_rotation": _chat(),
 }

@@ -17,6 +17,7 @@ from .packing import pack
 from .pii import KINDS, find_pii, span_list
 from .quality import quality_rules
 from .sharding import assign_shards
+from .substrings import drop_repeated_windows
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -58,6 +59,11 @@ def op6_differencing_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_fm_index_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_windows(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_signature_near_duplicates": op4_signature_near_duplicates,
     "op5_extendible_shards": op5_extendible_shards,
     "op6_differencing_windows": op6_differencing_windows,
+    "op7_fm_index_substrings": op7_fm_index_substrings,
     "op8_quality_rules": op8_quality_rules,
     "op10_perspective_rotation": op10_perspective_rotation,
 }
