@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import PART_TURNS
 from .lines import SHORT
 from .quality import RULES, STOP_WORDS
+from .search import DECIMALS, K1, TOP, B
 from .sharding import SHARD_BYTES
 from .substrings import WINDOW
 
@@ -99,6 +100,21 @@ def _quality() -> str:
            not base_failed and len(failed) = 0 as kept, array_to_string(failed, ',') as failed_rules from v"""
 
 
+def _search() -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+    with w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '{SPACES}'),
+                 lambda x: x <> '') as w from documents),
+    s as (select count(*) as n, avg(len(w)) as mean from w),
+    p as (select doc_id, len as dl, term, count(*) as tf from (select doc_id, len(w) as len, unnest(w) as term from w) group by all),
+    d as (select term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) as idf from p, s group by term, n),
+    q as (select doc_id as query_id, term, tf as times from p where doc_id % 50 = 0),
+    r as (select query_id, p.doc_id, round(sum(times * idf * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * dl / mean))), {DECIMALS}) as score
+          from q join p using (term) join d using (term), s where p.doc_id <> query_id group by all)
+    select query_id, doc_id, score, rank from (
+      select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from r) where rank <= {TOP}"""
+
+
 def _chat() -> str:
     return f"""
     with r as (select distinct conv_id, turn, coalesce(role, 'unknown') as speaker, coalesce(text, '') as text
@@ -123,5 +139,6 @@ ORACLES: dict[str, str] = {
     "op5_extendible_shards": _sharding(),
     "op7_fm_index_substrings": _substrings(),
     "op8_quality_rules": _quality(),
+    "op9_block_max_search": _search(),
     "op10_perspective_rotation": _chat(),
 }

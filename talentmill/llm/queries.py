@@ -16,6 +16,7 @@ from .minhash import near_duplicates
 from .packing import pack
 from .pii import KINDS, find_pii, span_list
 from .quality import quality_rules
+from .search import top_documents
 from .sharding import assign_shards
 from .substrings import drop_repeated_windows
 
@@ -70,6 +71,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("failed", ",").alias("failed_rules"))
 
 
+def op9_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return top_documents(docs, docs.where("doc_id % 50 = 0"))
+
+
 def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(read(spark, sf_dir, "conversations"))
 
@@ -83,5 +89,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_differencing_windows": op6_differencing_windows,
     "op7_fm_index_substrings": op7_fm_index_substrings,
     "op8_quality_rules": op8_quality_rules,
+    "op9_block_max_search": op9_block_max_search,
     "op10_perspective_rotation": op10_perspective_rotation,
 }
