@@ -10,12 +10,13 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from talentmill.plans.queries import QUERIES
-from talentmill.session import build_session
+from talentmill.session import build_session, drop_intermediates
 
 HEADLINE = (
     "parse_documents", "extract_skills", "skill_frequency", "hash_embed",
@@ -31,7 +32,7 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = build_session(
         "bench", master=f"local[{cpus}]", shuffle_partitions=int(cpus) if cpus.isdigit() else None,
-        extra={"spark.ui.enabled": "false", "spark.driver.memory": os.environ.get("BENCH_MEMORY", "6g")},
+        extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-shared-"), "spark.ui.enabled": "false", "spark.driver.memory": os.environ.get("BENCH_MEMORY", "6g")},
     )
     spark.sparkContext.setLogLevel("OFF")
     seconds = {}
@@ -41,6 +42,7 @@ def main() -> None:
             start = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - start)
+            drop_intermediates(spark)
         seconds[name] = round(statistics.median(times[1:]), 3)
         print(f"{name}: {seconds[name]}", file=sys.stderr)
     resumes = spark.read.parquet(f"{sf_dir}/documents.parquet").count()

@@ -165,17 +165,21 @@ def _present(value: Column) -> Column:
     return value.isNotNull() & (value != F.lit(""))
 
 
+def _head(text: Column, max_chars: int | None) -> Column:
+    return text if max_chars is None else F.substring(text, 1, max_chars)
+
+
 def candidate_embed_text(
     resume_text: Column, skills: Column, location: Column, visa: Column, yoe: Column,
-    max_chars: int = 2000,
+    max_chars: int | None = None,
 ) -> Column:
     """Text that represents a candidate in embeddings; empty parts are left out.
 
-    The resume part is by definition the first max_chars characters.
+    The whole resume counts; an encoder with an input limit passes max_chars.
     """
     return F.concat_ws(
         "\n",
-        F.when(_present(resume_text), F.substring(resume_text, 1, max_chars)),
+        F.when(_present(resume_text), _head(resume_text, max_chars)),
         F.when(F.size(skills) > 0, F.concat(F.lit("Skills: "), F.array_join(skills, ", "))),
         F.when(_present(location), F.concat(F.lit("Location: "), location)),
         F.when(_present(visa), F.concat(F.lit("Visa: "), visa)),
@@ -185,13 +189,13 @@ def candidate_embed_text(
 
 def job_embed_text(
     title: Column, jd_text: Column, skills: Column, location: Column, min_yoe: Column,
-    max_chars: int = 2000,
+    max_chars: int | None = None,
 ) -> Column:
     """Text that represents a job in embeddings; empty parts are left out."""
     return F.concat_ws(
         "\n",
         F.when(_present(title), F.concat(F.lit("Job title: "), title)),
-        F.when(_present(jd_text), F.substring(jd_text, 1, max_chars)),
+        F.when(_present(jd_text), _head(jd_text, max_chars)),
         F.when(F.size(skills) > 0, F.concat(F.lit("Required skills: "), F.array_join(skills, ", "))),
         F.when(_present(location), F.concat(F.lit("Location: "), location)),
         F.when(

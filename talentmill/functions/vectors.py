@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from hashlib import md5
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import EMBEDDING_DIM, VECTOR
+from ..session import ship_package
 
 TOKEN = re.compile(r"\w+")
 
@@ -40,13 +41,19 @@ def _slot(token: str, dim: int) -> int:
     return int(digest[:8], 16) % dim + (int(digest[8], 16) % 2) * dim
 
 
-def _encode(text: str | None, dim: int) -> np.ndarray:
-    tokens = TOKEN.findall(text.lower()) if text else []
-    slots = np.fromiter((_slot(t, dim) for t in tokens), dtype=np.int64, count=len(tokens))
-    counts = np.bincount(slots, minlength=2 * dim)
-    vector = (counts[:dim] - counts[dim:]).astype(float)
-    length = np.sqrt((vector * vector).sum())
-    return (vector / length if length else vector).astype(np.float32)
+def _encode(texts: Sequence[str | None], dim: int) -> np.ndarray:
+    """Unit vectors of signed token counts, one row per text: one count over (row, slot) for all."""
+    tokens = [TOKEN.findall(t.lower()) if t else [] for t in texts]
+    slots = np.fromiter((_slot(t, dim) for row in tokens for t in row), np.int64)
+    rows = np.repeat(np.arange(len(tokens)), [len(row) for row in tokens])
+    counts = np.bincount(rows * (2 * dim) + slots, minlength=len(tokens) * 2 * dim).reshape(-1, 2, dim)
+    vectors = (counts[:, 0] - counts[:, 1]).astype(float)
+    length = np.sqrt((vectors * vectors).sum(1, keepdims=True))
+    return np.divide(vectors, length, out=vectors, where=length > 0).astype(np.float32)
+
+
+#: Rows that are counted together.
+ENCODE_ROWS = 512
 
 
 def hash_embed(
@@ -61,12 +68,14 @@ def hash_embed(
     """
     body = F.col(text) if max_chars is None else F.substring(text, 1, max_chars)
     slim = df.select(F.col(key).alias("key"), body.alias("text"))
+    ship_package(df.sparkSession)
     schema = T.StructType([slim.schema["key"], T.StructField("embedding", VECTOR)])
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            vectors = [_encode(t, dim) for t in batch["text"]]
-            yield pd.DataFrame({"key": batch["key"], "embedding": vectors})
+            for lo in range(0, len(batch), ENCODE_ROWS):
+                part = batch.iloc[lo:lo + ENCODE_ROWS]
+                yield pd.DataFrame({"key": part["key"], "embedding": list(_encode(part["text"].tolist(), dim))})
 
     return slim.mapInPandas(encode, schema).withColumnRenamed("key", key)
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, norm
-from ..session import materialise
+from ..session import materialise, ship_package
 
 SLACK = 1e-6
 MAX_PIVOTS = 4096
@@ -73,6 +73,7 @@ class _Cells:
     """
 
     def __init__(self, rows: DataFrame, pivots: int | None, block_rows: int) -> None:
+        ship_package(rows.sparkSession)
         if pivots is None:
             pivots = int(min(MAX_PIVOTS, max(8, rows.count() ** 0.5 / 4)))
         picked = rows.orderBy(F.xxhash64("id"), "id").limit(min(pivots, MAX_PIVOTS)).toPandas()
@@ -81,7 +82,7 @@ class _Cells:
         self.pivots = np.zeros((0, 1)) if self.empty else _unit(picked["embedding"])
         self.count = np.zeros(len(picked), dtype=np.int64)
         self.radius = np.zeros(len(picked))
-        self.assigned = rows if self.empty else self._assign(rows)
+        self.assigned = rows if self.empty else materialise(self._assign(rows), "cells")
         if not self.empty:
             stats = self.assigned.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r"))
             for cell in stats.collect():

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import STAGES, Table, check_domain
+from ..schemas import STAGES, Table
 
 
 def assign_ids(batch: DataFrame, natural_key: str, start: int | Column = 0, hex_digits: int = 3) -> DataFrame:
@@ -102,19 +102,19 @@ def rejected_stages(placements: DataFrame, changes: DataFrame) -> DataFrame:
     return bad.unionByName(lost)
 
 
-def change_stage(placements: DataFrame, placement_id: int, stage: str, at: Column) -> DataFrame:
-    """Placements with one stage set."""
-    check_domain(stage, STAGES, "placement stage")
-    hit = F.col("id") == placement_id
-    return placements.withColumns({
-        "stage": F.when(hit, F.lit(stage)).otherwise(F.col("stage")),
-        "updated_at": F.when(hit, at).otherwise(F.col("updated_at")),
-    })
+def _targets(df: DataFrame, key: str = "id") -> DataFrame:
+    """How many rows each key has; a keyed update needs exactly one."""
+    return df.groupBy(key).agg(F.count("*").alias("_rows"))
 
 
 def flag_anomalies(timesheets: DataFrame, findings: DataFrame) -> DataFrame:
-    """Timesheets with findings (id, score, reason) applied: flagged, scored, explained."""
+    """Timesheets with findings (id, score, reason) applied: flagged, scored, explained.
+
+    Of several findings for a sheet the highest score counts. Findings that match no sheet, or
+    more than one, change nothing: rejected_findings returns them.
+    """
     best = findings.groupBy("id").agg(F.max(F.struct("score", "reason")).alias("_f"))
+    best = best.join(_targets(timesheets).where("_rows = 1"), "id", "left_semi")
     hit = F.col("_f").isNotNull()
     return (
         timesheets.join(best, "id", "left")
@@ -126,3 +126,10 @@ def flag_anomalies(timesheets: DataFrame, findings: DataFrame) -> DataFrame:
         })
         .select(*timesheets.columns)
     )
+
+
+def rejected_findings(timesheets: DataFrame, findings: DataFrame) -> DataFrame:
+    """Findings that flag_anomalies cannot apply, with `rejected`: unknown id or ambiguous id."""
+    found = findings.join(_targets(timesheets), "id", "left")
+    why = F.when(F.col("_rows").isNull(), F.lit("unknown id")).when(F.col("_rows") > 1, F.lit("ambiguous id"))
+    return found.withColumn("rejected", why).where(F.col("rejected").isNotNull()).select(*findings.columns, "rejected")

@@ -54,8 +54,16 @@ def after_2024(key: str) -> str:
 
 PRICE = "CAST(l_extendedprice AS DECIMAL(18,2))"
 PAY = f"({PRICE} * (1 - CAST(l_discount AS DECIMAL(4,2))))"
-RATES = f"""l_extendedprice AS bill_rate, CAST({PAY} AS DOUBLE) AS pay_rate,
-    CAST({PRICE} - {PAY} AS DOUBLE) AS margin"""
+RATES = """CAST(bill AS DOUBLE) AS bill_rate, CAST(pay AS DOUBLE) AS pay_rate, CAST(bill - pay AS DOUBLE) AS margin"""
+
+
+def lines(*keys: str) -> str:
+    """Order lines summed per key, and the largest line as `l`."""
+    k = ", ".join(keys)
+    return f"""(SELECT {k}, sum({PRICE}) AS bill, sum({PAY}) AS pay, sum(l_quantity) AS hours, max(l_shipdate) AS shipped,
+        max({{'price': l_extendedprice, 'supp': l_suppkey, 'part': l_partkey, 'line': l_linestatus, 'back': l_returnflag}}) AS l
+        FROM lineitem GROUP BY {k})"""
+
 
 VIEWS = {
     "clients": f"""SELECT c_custkey AS id, c_name AS name, c_mktsegment AS industry,
@@ -90,27 +98,26 @@ VIEWS = {
         CAST(p_size % 8 AS DOUBLE) AS min_yoe, CAST(p_size % 8 + 6 AS DOUBLE) AS max_yoe,
         {pick('p_partkey', v.JOB_STATUS_CYCLE)} AS status, {after_2024('p_partkey')} AS created_at
         FROM part""",
-    "placements": f"""SELECT o_orderkey AS id, l_suppkey AS candidate_id, l_partkey AS job_id,
+    "placements": f"""SELECT o_orderkey AS id, l.supp AS candidate_id, l.part AS job_id,
         CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey % 25 END AS recruiter_id, o_custkey AS client_id,
         CASE WHEN o_orderstatus = 'O' THEN 'submitted'
-             WHEN o_orderstatus = 'P' AND l_linestatus = 'O' THEN 'interview' WHEN o_orderstatus = 'P' THEN 'offer'
-             WHEN l_returnflag = 'R' THEN 'rejected' ELSE 'hire' END AS stage,
+             WHEN o_orderstatus = 'P' AND l.line = 'O' THEN 'interview' WHEN o_orderstatus = 'P' THEN 'offer'
+             WHEN l.back = 'R' THEN 'rejected' ELSE 'hire' END AS stage,
         CAST(NULL AS DOUBLE) AS match_score, CAST(NULL AS VARCHAR) AS skill_gap, {RATES},
         o_orderdate AS submitted_at, o_orderdate AS updated_at
-        FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey, l_partkey, l_extendedprice,
-                     l_discount, l_linestatus, l_returnflag) AS rn FROM lineitem WHERE l_linenumber = 1) AS l
-        JOIN orders ON l_orderkey = o_orderkey WHERE rn = 1""",
-    "payroll": f"""SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS contractor_id,
-        CAST(l_shipdate AS DATE) AS period, {RATES},
-        CAST(CAST(l_discount AS DECIMAL(4,2)) * 100 AS DOUBLE) AS margin_pct, l_shipdate AS created_at FROM lineitem""",
-    "timesheets": """SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS contractor_id,
-        CAST(date_trunc('week', l_shipdate) AS DATE) AS week_start, l_quantity AS hours,
-        greatest(l_quantity - 40, 0.0::DOUBLE) AS overtime_hours,
-        CASE WHEN l_quantity > 48 THEN 'flagged' ELSE 'approved' END AS status,
-        CASE WHEN l_linenumber <> 7 THEN l_quantity > 48 END AS anomaly_flag,
-        CASE WHEN l_quantity > 48 THEN l_quantity / 64 END AS anomaly_score,
-        CASE WHEN l_quantity > 48 THEN 'Unusually high weekly hours' END AS anomaly_reason,
-        l_shipdate AS created_at FROM lineitem""",
+        FROM {lines('l_orderkey')} JOIN orders ON l_orderkey = o_orderkey""",
+    "payroll": f"""SELECT l_orderkey * 10 + l_linenumber AS id, l.supp AS contractor_id,
+        CAST(shipped AS DATE) AS period, {RATES},
+        CAST(bill - pay AS DOUBLE) / CAST(bill AS DOUBLE) * 100 AS margin_pct, shipped AS created_at
+        FROM {lines('l_orderkey', 'l_linenumber')}""",
+    "timesheets": f"""SELECT l_orderkey * 10 + l_linenumber AS id, l.supp AS contractor_id,
+        CAST(date_trunc('week', shipped) AS DATE) AS week_start, hours,
+        greatest(hours - 40, 0.0::DOUBLE) AS overtime_hours,
+        CASE WHEN hours > 48 THEN 'flagged' ELSE 'approved' END AS status,
+        CASE WHEN l_linenumber <> 7 THEN hours > 48 END AS anomaly_flag,
+        CASE WHEN hours > 48 THEN hours / 64 END AS anomaly_score,
+        CASE WHEN hours > 48 THEN 'hours beyond a usual week' END AS anomaly_reason,
+        shipped AS created_at FROM {lines('l_orderkey', 'l_linenumber')}""",
     "predictions": f"""SELECT event_id AS id, {pick('user_id', v.ENTITY_CYCLE)} AS entity_type, user_id AS entity_id,
         event_type AS model_name, value AS score, props AS features,
         CASE WHEN event_id % 50 <> 0 THEN ts END AS created_at FROM events""",
@@ -411,12 +418,12 @@ add("parse_documents", "resumes", f"""
            CASE WHEN blank THEN 'rejected' ELSE 'parsed' END AS status, CASE WHEN blank THEN 'no text' END AS error FROM p""")
 add("candidate_embed_text", "resumes", f"""
     WITH {parsed('resumes')}
-    SELECT doc_id, concat_ws(chr(10), CASE WHEN text <> '' THEN substring(text, 1, 2000) END,
+    SELECT doc_id, concat_ws(chr(10), CASE WHEN text <> '' THEN text END,
         CASE WHEN len(skills) > 0 THEN 'Skills: ' || array_to_string(skills, ', ') END,
         CASE WHEN source <> '' THEN 'Location: ' || source END,
         CASE WHEN visa_status <> '' THEN 'Visa: ' || visa_status END,
         CASE WHEN yoe <> 0 THEN 'Years of experience: ' || CAST(yoe AS VARCHAR) END) AS embed_text FROM p""")
-JOB_TEXT = """concat_ws(chr(10), 'Job title: ' || title, substring(jd_text, 1, 2000),
+JOB_TEXT = """concat_ws(chr(10), 'Job title: ' || title, jd_text,
         'Required skills: ' || array_to_string(required_skills, ', '), 'Location: ' || location,
         CASE WHEN min_yoe <> 0 THEN 'Minimum experience: ' || CAST(min_yoe AS VARCHAR) || ' years' END)"""
 add("job_embed_text", "jobs", f"SELECT id, {JOB_TEXT} AS embed_text FROM jobs")
@@ -528,14 +535,18 @@ FINDINGS = """s AS (SELECT contractor_id, sum(hours) / count(*) AS mean,
           WHERE t.hours >= 60 OR round((t.hours - s.mean) / nullif(s.sd, 0), 6) >= 1.65::DOUBLE)"""
 add("timesheet_findings", "timesheets", f"WITH {FINDINGS} SELECT * FROM f")
 add("flag_anomalies", "timesheets", f"""
-    WITH {FINDINGS}, b AS (SELECT id, max(score) AS score FROM f GROUP BY id),
+    WITH {FINDINGS}, b AS (SELECT id, max({{'score': score, 'reason': reason}}) AS f FROM f GROUP BY id),
     u AS (SELECT t.contractor_id, CASE WHEN b.id IS NOT NULL THEN 'flagged' ELSE status END AS status,
                  CASE WHEN b.id IS NOT NULL THEN true ELSE anomaly_flag END AS anomaly_flag,
-                 CASE WHEN b.id IS NOT NULL THEN 'far above own mean' ELSE anomaly_reason END AS anomaly_reason,
-                 coalesce(b.score, anomaly_score) AS anomaly_score
+                 CASE WHEN b.id IS NOT NULL THEN b.f.reason ELSE anomaly_reason END AS anomaly_reason,
+                 CASE WHEN b.id IS NOT NULL THEN b.f.score ELSE anomaly_score END AS anomaly_score
           FROM timesheets t LEFT JOIN b ON b.id = t.id)
     SELECT contractor_id, status, anomaly_flag, anomaly_reason, count(*) AS sheets, max(anomaly_score) AS top_score
     FROM u GROUP BY contractor_id, status, anomaly_flag, anomaly_reason""")
+add("flag_rejects", "timesheets", f"""
+    WITH {FINDINGS}
+    SELECT -id AS id, reason, 'unknown id' AS rejected FROM f WHERE id % 7 = 0
+    UNION ALL SELECT id, reason, 'ambiguous id' FROM f WHERE id % 7 <> 0 AND id % 5 = 0""")
 
 # Vectors
 
@@ -785,10 +796,9 @@ add("executive_summary", "jobs candidates placements clients payroll", f"""
 add("stream_slow_ops", "fields", f"SELECT event_id, level, msg FROM fields WHERE {SLOW}")
 add("stream_without_duplicates", "fields", "SELECT event_id, event FROM fields")
 add("stream_incremental_embed", "", hashed(STREAM_DIM))
-# A window is final, hence written, once the watermark (last event minus delay) has passed its end.
+# All windows, those still open at the end of the files too.
 add("stream_event_metrics", "fields", f"""
-    WITH g AS (SELECT date_trunc('hour', ts) AS w, event, count(*) AS calls, count(error) AS errors,
-                      CAST(sum(CAST(took AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS avg_ms, max(took) AS max_ms
-               FROM fields GROUP BY ALL)
-    SELECT {ts('w')} AS window_start, {ts('w + INTERVAL 1 HOUR')} AS window_end, event, calls, errors, avg_ms, max_ms FROM g
-    WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+    SELECT {ts("date_trunc('hour', ts)")} AS window_start, {ts("date_trunc('hour', ts) + INTERVAL 1 HOUR")} AS window_end, event,
+           count(*) AS calls, count(error) AS errors,
+           CAST(sum(CAST(took AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS avg_ms, max(took) AS max_ms
+    FROM fields GROUP BY ALL""")

@@ -464,6 +464,16 @@ def flag_anomalies(spark, sf):
     ).agg(F.count("*").alias("sheets"), F.max("anomaly_score").alias("top_score"))
 
 
+@query
+def flag_rejects(spark, sf):
+    """Findings whose id is unknown (every seventh is made so), or not unique (every fifth sheet is there twice)."""
+    sheets = v.timesheets(spark, sf)
+    findings = insights.timesheet_findings(sheets, z_limit=1.65)
+    findings = findings.withColumn("id", F.when(F.col("id") % 7 == 0, -F.col("id")).otherwise(F.col("id")))
+    twice = sheets.unionByName(sheets.where("id % 5 = 0"))
+    return writes.rejected_findings(twice, findings).select("id", "reason", "rejected")
+
+
 # Vectors
 
 def _vectors(spark, sf) -> DataFrame:
@@ -651,7 +661,10 @@ def _event_stream(spark, sf) -> DataFrame:
 
 @query
 def stream_event_metrics(spark, sf):
-    return _run_stream(spark, streams.event_metrics(_event_stream(spark, sf))).drop("p95_ms")
+    path = shared_dir(spark, "stream")
+    metrics = streams.event_metrics(_event_stream(spark, sf))
+    streams.run_updates(metrics, f"{path}/out", f"{path}/checkpoint")
+    return streams.newest_state(spark, f"{path}/out", ["window_start", "window_end", "event"]).drop("p95_ms")
 
 
 @query
@@ -673,4 +686,4 @@ def stream_incremental_embed(spark, sf):
     streams.incremental_load(
         rows, f"{path}/store", f"{path}/checkpoint", lambda b: vectors.hash_embed(b, "doc_id", dim=STREAM_DIM), "doc_id"
     )
-    return _nonzero(spark.read.parquet(f"{path}/store"), "doc_id")
+    return _nonzero(streams.read_store(spark, f"{path}/store"), "doc_id")

@@ -131,9 +131,12 @@ class Warehouse:
         tables.replace_table(writes.change_stages(current, changes), self.root, "placements")
         return lost
 
-    def flag_timesheet_anomalies(self, findings: DataFrame) -> None:
-        flagged = writes.flag_anomalies(self.table("timesheets"), findings)
-        tables.replace_table(flagged, self.root, "timesheets")
+    def flag_timesheet_anomalies(self, findings: DataFrame) -> DataFrame:
+        """Flag the sheets with findings; returns the findings that match no sheet or several."""
+        sheets = self.table("timesheets")
+        lost = materialise(writes.rejected_findings(sheets, findings), "lost-findings")
+        tables.replace_table(writes.flag_anomalies(sheets, findings), self.root, "timesheets")
+        return lost
 
     def ingest_resumes(self, files: DataFrame, as_of_year: int) -> DataFrame:
         """Parse (path, text) files into candidates; returns the outcome of every file."""

@@ -63,17 +63,30 @@ def ship_package(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new path in the cluster's shared folder (spark.checkpoint.dir).
+    """A new path in the cluster's shared folder (spark.checkpoint.dir), until drop_intermediates.
 
-    Only a local session may fall back to a temporary folder: on a cluster such
-    a folder would be invisible to the other machines.
+    Only a local session without the setting gets one: on a cluster a folder of this machine
+    would be invisible to the others.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="talentmill-")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        root = os.path.join(tempfile.gettempdir(), "talentmill-shared")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _intermediates.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+_intermediates: dict[str, list[str]] = {}
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Delete what this application has put into the shared folder; call it when results are read."""
+    for path in _intermediates.pop(spark.sparkContext.applicationId, []):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def materialise(df: DataFrame, purpose: str) -> DataFrame:

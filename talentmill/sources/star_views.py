@@ -47,13 +47,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal a table with fewer splits than cores out to all cores.
-
-    The test tables are one file with one row group each, so one task. A table with
-    enough splits is left alone: a large input is never shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    """Deal a test table out by its key: the supplied files are one split each, so one task."""
+    return df.repartition(key)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,13 +69,25 @@ def _cents(col: str) -> Column:
     return F.col(col).cast("decimal(18,2)")
 
 
+def _pay() -> Column:
+    return _cents("l_extendedprice") * (F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)"))
+
+
+def _lines(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    """Order lines summed per key: exact sums over all lines, and the largest line as `l` (ties by larger ids)."""
+    return table(spark, sf_dir, "lineitem").groupBy(*keys).agg(
+        F.sum(_cents("l_extendedprice")).alias("bill"), F.sum(_pay()).alias("pay"),
+        F.sum("l_quantity").alias("hours"), F.max("l_shipdate").alias("shipped"),
+        F.max(F.struct("l_extendedprice", "l_suppkey", "l_partkey", "l_linestatus", "l_returnflag")).alias("l"),
+    )
+
+
 def _rates() -> list[Column]:
-    """bill_rate, pay_rate and margin of an order line, exact before the final cast."""
-    pay = _cents("l_extendedprice") * (F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)"))
+    """bill_rate, pay_rate and margin of summed lines, exact before the final cast."""
     return [
-        F.col("l_extendedprice").alias("bill_rate"),
-        pay.cast("double").alias("pay_rate"),
-        (_cents("l_extendedprice") - pay).cast("double").alias("margin"),
+        F.col("bill").cast("double").alias("bill_rate"),
+        F.col("pay").cast("double").alias("pay_rate"),
+        (F.col("bill") - F.col("pay")).cast("double").alias("margin"),
     ]
 
 
@@ -164,17 +171,11 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One placement per order that has a first line; the smallest one if there are several.
+    """One placement per order with lines: rates of all its lines, candidate and job of the largest.
 
-    The deduplication and the join share the hash partitioning of l_orderkey.
+    The aggregate and the join share the hash partitioning of the order key.
     """
-    line = (
-        table(spark, sf_dir, "lineitem")
-        .where(F.col("l_linenumber") == 1)
-        .groupBy("l_orderkey")
-        .agg(F.min(F.struct("l_suppkey", "l_partkey", "l_extendedprice", "l_discount", "l_linestatus", "l_returnflag")).alias("l"))
-        .select("l_orderkey", "l.*")
-    )
+    line = _lines(spark, sf_dir, "l_orderkey").select("l_orderkey", "bill", "pay", "l.*")
     stage = (
         F.when(F.col("o_orderstatus") == "O", F.lit("submitted"))
         .when(F.col("o_orderstatus") == "P", F.when(F.col("l_linestatus") == "O", F.lit("interview")).otherwise(F.lit("offer")))
@@ -197,35 +198,37 @@ def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _line_id() -> Column:
-    """Unique-enough id of an order line for display; keyed jobs use placements."""
+    """Unique id of the lines that share an order and a line number (1 to 7)."""
     return F.col("l_orderkey") * 10 + F.col("l_linenumber")
 
 
 def payroll(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(
+    """One row per order and line number: sums of all such lines, contractor of the largest."""
+    return _lines(spark, sf_dir, "l_orderkey", "l_linenumber").select(
         _line_id().alias("id"),
-        F.col("l_suppkey").alias("contractor_id"),
-        F.col("l_shipdate").cast("date").alias("period"),
+        F.col("l.l_suppkey").alias("contractor_id"),
+        F.col("shipped").cast("date").alias("period"),
         *_rates(),
-        (F.col("l_discount").cast("decimal(4,2)") * 100).cast("double").alias("margin_pct"),
-        F.col("l_shipdate").cast("timestamp").alias("created_at"),
+        ((F.col("bill") - F.col("pay")).cast("double") / F.col("bill").cast("double") * 100).alias("margin_pct"),
+        F.col("shipped").cast("timestamp").alias("created_at"),
     )
 
 
 def timesheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hours = F.col("l_quantity")
+    """One sheet per order and line number, with the hours of all such lines."""
+    hours = F.col("hours")
     over = hours > 48
-    return table(spark, sf_dir, "lineitem").select(
+    return _lines(spark, sf_dir, "l_orderkey", "l_linenumber").select(
         _line_id().alias("id"),
-        F.col("l_suppkey").alias("contractor_id"),
-        F.date_trunc("week", F.col("l_shipdate").cast("timestamp")).cast("date").alias("week_start"),
+        F.col("l.l_suppkey").alias("contractor_id"),
+        F.date_trunc("week", F.col("shipped").cast("timestamp")).cast("date").alias("week_start"),
         hours.alias("hours"),
         F.greatest(hours - 40, F.lit(0.0)).alias("overtime_hours"),
         F.when(over, F.lit("flagged")).otherwise(F.lit("approved")).alias("status"),
         F.when(F.col("l_linenumber") != 7, over).alias("anomaly_flag"),
         F.when(over, hours / 64).alias("anomaly_score"),
-        F.when(over, F.lit("Unusually high weekly hours")).alias("anomaly_reason"),
-        F.col("l_shipdate").cast("timestamp").alias("created_at"),
+        F.when(over, F.lit("hours beyond a usual week")).alias("anomaly_reason"),
+        F.col("shipped").cast("timestamp").alias("created_at"),
     )
 
 

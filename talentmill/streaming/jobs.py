@@ -61,13 +61,38 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
     return query
 
 
-def _stored_keys(spark: SparkSession, store: str, key: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(store).select(key)
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+def run_updates(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Process everything that is there in update mode: every batch writes the rows that it changed.
+
+    A batch overwrites its own folder, so a replayed batch leaves the same files. Windows that
+    are still open appear at once and are corrected by later batches.
+    """
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = (
+        df.writeStream.outputMode("update").foreachBatch(save)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return query
+
+
+def newest_state(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The latest row per key of what run_updates has written."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
+    return newest.select(*keys, "_row.*")
+
+
+#: Key buckets of a store: a batch looks only into the buckets that it touches.
+STORE_BUCKETS = 64
+
+
+def read_store(spark: SparkSession, store: str) -> DataFrame:
+    """The rows that incremental_load has stored."""
+    return spark.read.parquet(store).drop("batch", "bucket")
 
 
 def incremental_load(
@@ -77,19 +102,26 @@ def incremental_load(
     job: Callable[[DataFrame], DataFrame],
     key: str = "id",
 ) -> StreamingQuery:
-    """Run job on the rows of a stream whose key is not stored yet, and append the result.
+    """Run job on the rows of a stream whose key is not stored yet, and store the result.
 
-    The stream's checkpoint skips files that were processed; the anti join on the key
-    column makes a repeated batch harmless. Each batch is one atomic file commit.
+    Each batch overwrites a folder of its own number, so a replayed batch stores the same rows once. Keys
+    of other batches are looked up in the buckets that the batch touches (at most STORE_BUCKETS).
     """
-    def load(batch: DataFrame, _: int) -> None:
-        stored = _stored_keys(batch.sparkSession, store, key)
+    bucket = F.pmod(F.xxhash64(key), F.lit(STORE_BUCKETS))
+
+    def load(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         fresh = batch.dropDuplicates([key])
-        if stored is not None:
-            # A small batch is broadcast against the store, which is then not shuffled.
-            seen = stored.join(fresh.select(key), key, "left_semi")
-            fresh = fresh.join(seen, key, "left_anti")
-        job(fresh).write.mode("append").parquet(store)
+        try:
+            before = spark.read.parquet(store).where(F.col("batch") != number)
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            touched = [r[0] for r in fresh.select(bucket.alias("b")).distinct().collect()]
+            seen = before.where(F.col("bucket").isin(touched)).select(key)
+            fresh = fresh.join(seen.join(fresh.select(key), key, "left_semi"), key, "left_anti")
+        job(fresh).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch={number}")
 
     query = (
         rows.writeStream.foreachBatch(load)
@@ -98,8 +130,3 @@ def incremental_load(
     )
     query.awaitTermination()
     return query
-
-
-def missing_rows(rows: DataFrame, stored: DataFrame, key: str = "id", force: bool = False) -> DataFrame:
-    """Batch form: rows without a stored result, or all of them if forced."""
-    return rows if force else rows.join(stored.select(key), key, "left_anti")

@@ -8,7 +8,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from talentmill.session import build_session  # noqa: E402
+from talentmill.session import build_session, drop_intermediates  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -25,6 +25,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_intermediates(session)
     session.stop()
 
 

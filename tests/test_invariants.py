@@ -80,12 +80,27 @@ def test_last_change_per_field_wins(spark):
     assert sorted(map(tuple, got.collect())) == [(1, "late", "kept"), (2, "x", "y")]
 
 
-def test_single_stage_change(spark):
-    rows = spark.sql("select 1L id, 'submitted' stage, timestamp'2024-01-01' updated_at")
-    got = writes.change_stage(rows, 1, "offer", F.lit("2024-02-01").cast("timestamp")).first()
-    assert (got["stage"], str(got["updated_at"])) == ("offer", "2024-02-01 00:00:00")
-    with pytest.raises(ValueError):
-        writes.change_stage(rows, 1, "lost", F.current_timestamp())
+def test_only_the_sheet_with_a_finding_is_flagged(spark):
+    sheets = spark.sql("""
+        select * from values (1L, 7L, 'approved', false, null, null), (2L, 7L, 'approved', false, null, null),
+          (3L, 8L, 'approved', false, null, null), (3L, 9L, 'approved', false, null, null)
+        as t(id, contractor_id, status, anomaly_flag, anomaly_score, anomaly_reason)""")
+    findings = spark.createDataFrame([(1, 0.5, "low"), (1, 0.9, "high"), (3, 1.0, "whose?"), (4, 1.0, "lost")], "id long, score double, reason string")
+    got = writes.flag_anomalies(sheets, findings).where("anomaly_flag").collect()
+    assert [(r["id"], r["status"], r["anomaly_score"], r["anomaly_reason"]) for r in got] == [(1, "flagged", 0.9, "high")]
+    lost = writes.rejected_findings(sheets, findings).collect()
+    assert sorted((r["id"], r["rejected"]) for r in lost) == [(3, "ambiguous id"), (4, "unknown id")]
+
+
+def test_views_read_all_lines_under_unique_ids(spark, small_dir):
+    lines = v.table(spark, small_dir, "lineitem")
+    orders = v.table(spark, small_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").count()
+    assert v.placements(spark, small_dir).count() == orders
+    hours = lines.agg(F.sum("l_quantity")).first()[0]
+    for view in (v.timesheets, v.payroll):
+        rows = view(spark, small_dir)
+        assert rows.select("id").distinct().count() == rows.count()
+    assert v.timesheets(spark, small_dir).agg(F.sum("hours")).first()[0] == hours
 
 
 def test_violations_count_rows(spark):
@@ -101,8 +116,9 @@ def test_violations_count_rows(spark):
 
 def test_filters_reach_the_scan(spark, small_dir):
     plan = scans.get_payroll(v.payroll(spark, small_dir), 5)._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(l_suppkey,5)" in plan
-    assert "l_returnflag" not in plan
+    assert "l_tax" not in plan
+    plan = v.clients(spark, small_dir).where("id = 5").select("name")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(c_custkey,5)" in plan and "c_mktsegment" not in plan
 
 
 @pytest.mark.parametrize("parts", [1, 3, 10_000])

@@ -77,6 +77,4 @@ def test_incremental_embedding_is_idempotent(spark, tmp_path):
     load("check")
     load("fresh-check")  # a lost checkpoint replays every file
     assert stored() == list(range(35))
-    missing = jobs.missing_rows(spark.range(40).toDF("id"), spark.read.parquet(store))
-    assert missing.count() == 5
-    assert jobs.missing_rows(spark.range(40).toDF("id"), spark.read.parquet(store), force=True).count() == 40
+    assert jobs.read_store(spark, store).columns == ["id", "embedding"]
