@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import TABLES, Table
@@ -69,20 +69,58 @@ def contract_violations(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reports[0]
 
 
-def split_valid(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Rows that meet the null, domain and length rules, and the rest with the broken rules."""
+def _broken_rules(name: str, columns: Collection[str]) -> list[tuple[str, str, Column]]:
+    """(column, rule, condition under which a row breaks it) for the null, domain and length rules."""
     table = TABLES[name]
-    have = set(df.columns)
-    broken = [F.when(F.col(c).isNull(), F.lit(f"{c} not null")) for c in table.required if c in have]
-    broken += [
-        F.when(~F.col(c).isin(*d), F.lit(f"{c} in domain")) for c, d in table.domains.items() if c in have
-    ]
-    broken += [
-        F.when(F.length(c) > n, F.lit(f"{c} length <= {n}"))
-        for c, n in table.max_length.items() if c in have
-    ]
+    rules = [(c, f"{c} not null", F.col(c).isNull()) for c in table.required]
+    rules += [(c, f"{c} in domain", ~F.col(c).isin(*d)) for c, d in table.domains.items()]
+    rules += [(c, f"{c} length <= {n}", F.length(c) > n) for c, n in table.max_length.items()]
+    return [r for r in rules if r[0] in columns]
+
+
+def _split(df: DataFrame, broken: list[Column]) -> tuple[DataFrame, DataFrame]:
     checked = df.withColumn("_broken", F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>"))
     return (
         checked.where(F.size("_broken") == 0).drop("_broken"),
         checked.where(F.size("_broken") > 0).withColumnRenamed("_broken", "broken_rules"),
     )
+
+
+def split_valid(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that meet the null, domain and length rules, and the rest with the broken rules."""
+    return _split(df, [F.when(bad, F.lit(rule)) for _, rule, bad in _broken_rules(name, df.columns)])
+
+
+def split_changes(changes: DataFrame, name: str, fields: Collection[str]) -> tuple[DataFrame, DataFrame]:
+    """Changes whose set values meet the rules of their columns, and the rest with the broken rules."""
+    return _split(changes, [
+        F.when(F.array_contains("set_fields", c) & bad, F.lit(rule)) for c, rule, bad in _broken_rules(name, fields)
+    ])
+
+
+def split_insertable(
+    batch: DataFrame, name: str, stored: DataFrame, parents: Mapping[str, DataFrame], order: str,
+) -> tuple[DataFrame, DataFrame]:
+    """Rows that may be inserted beside the stored ones, and the rest with the broken rules.
+
+    Beyond split_valid: a unique column may not repeat a stored value, nor one of an earlier row of
+    the batch (by the column `order`, unique in the batch); a link needs its parent. Keys are reduced
+    to one row each before they meet, so a value that fills the batch costs one row per task.
+    """
+    table = TABLES[name]
+    valid, broken = split_valid(batch, name)
+    marks, checks = [], valid
+    for c in (c for c in table.unique if c != "id" and c in batch.columns):
+        first = valid.where(F.col(c).isNotNull()).groupBy(c).agg(F.min(order).alias(f"_first_{c}"))
+        known = stored.select(F.col(c).alias("_k")).where("_k is not null").distinct()
+        per_key = first.join(known, F.col(c) == F.col("_k"), "left").select(
+            F.col(c).alias(f"_key_{c}"), f"_first_{c}", F.col("_k").isNotNull().alias(f"_known_{c}"))
+        checks = checks.join(per_key, F.col(c) == F.col(f"_key_{c}"), "left")
+        marks.append(F.when(F.col(f"_known_{c}") | (F.col(order) > F.col(f"_first_{c}")), F.lit(f"{c} unique")))
+    for c, parent in table.links.items():
+        if c in batch.columns and parent in parents:
+            ids = parents[parent].select(F.col("id").alias(f"_parent_{c}")).distinct()
+            checks = checks.join(ids, F.col(c) == F.col(f"_parent_{c}"), "left")
+            marks.append(F.when(F.col(c).isNotNull() & F.col(f"_parent_{c}").isNull(), F.lit(f"{c} in {parent}")))
+    good, bad = _split(checks, marks)
+    return good.select(*batch.columns), broken.unionByName(bad.select(*batch.columns, "broken_rules"))

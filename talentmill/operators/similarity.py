@@ -27,12 +27,15 @@ MAX_PIVOTS = 4096
 def similarity_of_pairs(
     pairs: DataFrame, left: DataFrame, right: DataFrame, left_key: str, right_key: str,
 ) -> DataFrame:
-    """Cosine of each given pair, from (id, embedding) tables; two key joins, linear in the pairs."""
+    """Cosine of each given pair, from (id, embedding) tables; two key joins, linear in the pairs.
+
+    A pair without both vectors stays, with a null similarity.
+    """
     a = left.select(F.col("id").alias(left_key), F.col("embedding").alias("_a"))
     b = right.select(F.col("id").alias(right_key), F.col("embedding").alias("_b"))
     return (
-        pairs.join(a, left_key)
-        .join(b, right_key)
+        pairs.join(a, left_key, "left")
+        .join(b, right_key, "left")
         .withColumn("similarity", F.round(cosine(F.col("_a"), F.col("_b")), 6))
         .drop("_a", "_b")
     )

@@ -515,6 +515,27 @@ add("upsert_entities", "candidates", f"""
     SELECT c.id, c.name, coalesce(l.location, c.location) AS location,
            CASE WHEN r.id IS NOT NULL THEN r.rate ELSE c.rate END AS rate, {ts('coalesce(u.at, c.created_at)')} AS updated_at
     FROM candidates c LEFT JOIN l ON l.id = c.id LEFT JOIN r ON r.id = c.id LEFT JOIN u ON u.id = c.id""")
+add("insert_rejects", "recruiters clients", """
+    WITH m AS (SELECT c_custkey AS k, c_name AS name, CASE WHEN c_custkey % 50 = 0 THEN 'nation_0@example.com'
+                      WHEN c_custkey % 9 <> 0 THEN 'm' || (c_custkey % 700) || '@example.com' END AS email FROM customer),
+    r AS (SELECT k, CASE WHEN email IS NULL THEN 'email not null'
+                 WHEN email IN (SELECT email FROM recruiters) OR k > min(k) OVER (PARTITION BY email) THEN 'email unique' END AS rules FROM m),
+    j AS (SELECT p_partkey AS k, concat_ws(',', CASE WHEN p_partkey % 31 = 0 THEN 'title not null' END,
+                 CASE WHEN p_partkey % 17 = 0 THEN 'status in domain' END) AS own,
+                 CASE WHEN p_partkey * 3 NOT IN (SELECT id FROM clients) THEN 'client_id in clients' END AS link FROM part)
+    SELECT 'recruiters' AS "table", k AS "order", rules FROM r WHERE rules IS NOT NULL
+    UNION ALL SELECT 'jobs', k, CASE WHEN own <> '' THEN own ELSE link END FROM j WHERE own <> '' OR link IS NOT NULL""")
+add("update_rejects", "", """
+    WITH x AS (SELECT user_id AS id, event_id AS seq, concat_ws(',',
+        CASE WHEN event_id % 3 <> 0 AND event_id % 5 = 0 THEN 'name not null' END,
+        CASE WHEN event_id % 3 = 0 AND event_id % 4 = 0 THEN 'visa_status in domain' END,
+        CASE WHEN event_id % 3 = 1 AND event_id % 60 > 32 THEN 'phone length <= 32' END) AS rules FROM events)
+    SELECT * FROM x WHERE rules <> ''""")
+add("written_predictions", "predictions", "SELECT id, entity_type, entity_id, score FROM predictions WHERE model_name = 'purchase'")
+add("stored_embeddings", "", """
+    WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN list_reverse(embedding) ELSE embedding END AS v FROM embeddings),
+    x AS (SELECT id, unnest(range(0, len(v))) AS bucket, unnest(v)::DOUBLE AS weight FROM e)
+    SELECT id, bucket, weight FROM x WHERE weight <> 0""")
 add("upsert_rejects", "", """
     SELECT user_id AS id, event_id AS seq FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier)""")
 CHANGED_STAGE = pick("event_id", (*STAGES, "bogus"))

@@ -14,6 +14,7 @@ from ..operators import aggregates, derived, events, joins, parsing, quality, sc
 from ..schemas import STAGES, TABLES
 from ..session import shared_dir
 from ..sources import star_views as v
+from ..sources import tables
 from ..streaming import jobs as streams
 from . import insights
 
@@ -398,6 +399,59 @@ def append_with_defaults(spark, sf):
     )
 
 
+@query
+def insert_rejects(spark, sf):
+    """A batch of recruiters with repeated mails, and one of jobs of which many have no client."""
+    c, p = F.col("c_custkey"), F.col("p_partkey")
+    people = v.table(spark, sf, "customer").select(
+        c.alias("order"), F.col("c_name").alias("name"),
+        F.when(c % 50 == 0, F.concat(F.lower(F.lit("NATION_0")), F.lit("@example.com")))
+        .when(c % 9 != 0, F.concat(F.lit("m"), (c % 700).cast("string"), F.lit("@example.com"))).alias("email"))
+    parts = v.table(spark, sf, "part").select(
+        p.alias("order"), F.when(p % 31 != 0, F.col("p_name")).alias("title"), (p * 3).alias("client_id"),
+        F.when(p % 17 == 0, F.lit("lost")).otherwise(F.lit("open")).alias("status"))
+    stored = v.recruiters(spark, sf), v.jobs(spark, sf)
+    rejects = [
+        quality.split_insertable(batch, name, rows, {"clients": v.clients(spark, sf)}, "order")[1].select(
+            F.lit(name).alias("table"), "order", F.array_join("broken_rules", ",").alias("rules"))
+        for name, batch, rows in (("recruiters", people, stored[0]), ("jobs", parts, stored[1]))]
+    return rejects[0].unionByName(rejects[1])
+
+
+@query
+def update_rejects(spark, sf):
+    """Candidate changes that set an unknown visa status, an empty name or too long a phone number."""
+    e = F.col("event_id")
+    changes = v.table(spark, sf, "events").select(
+        F.col("user_id").alias("id"), e.alias("seq"),
+        F.when(e % 3 == 0, F.array(F.lit("visa_status"))).when(e % 3 == 1, F.array(F.lit("name"), F.lit("phone")))
+        .otherwise(F.array(F.lit("name"))).alias("set_fields"),
+        F.when(e % 4 == 0, F.lit("martian")).otherwise(F.lit("gc")).alias("visa_status"),
+        F.when(e % 5 != 0, F.col("event_type")).alias("name"), F.repeat(F.lit("5"), (e % 60).cast("int")).alias("phone"))
+    return quality.split_changes(changes, "candidates", ["visa_status", "name", "phone"])[1].select(
+        "id", "seq", F.array_join("broken_rules", ",").alias("rules"))
+
+
+@query
+def written_predictions(spark, sf):
+    """Predictions written to the shared folder by model, appended to, and read back for one model."""
+    path = shared_dir(spark, "predictions")
+    rows = v.predictions(spark, sf).withColumn("created_at", F.coalesce("created_at", F.lit("2000-01-01").cast("timestamp")))
+    tables.append_rows(rows.where("id % 2 = 0"), path, "predictions")
+    tables.append_rows(rows.where("id % 2 = 1"), path, "predictions")
+    return tables.read_table(spark, path, "predictions").where("model_name = 'purchase'").select("id", "entity_type", "entity_id", "score")
+
+
+@query
+def stored_embeddings(spark, sf):
+    """Two runs of embeddings appended for the documents, the second for every third one; the newest count."""
+    path = shared_dir(spark, "embeddings")
+    rows = _vectors(spark, sf)
+    tables.append_embeddings(rows, path, "documents")
+    tables.append_embeddings(rows.where("id % 3 = 0").withColumn("embedding", F.reverse("embedding")), path, "documents")
+    return _nonzero(tables.read_embeddings(spark, path, "documents"), "id")
+
+
 @query
 def predictions_written(spark, sf):
     scored = insights.attrition_risk(v.candidates(spark, sf)).join(

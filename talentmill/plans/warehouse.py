@@ -92,12 +92,17 @@ class Warehouse:
     def create(self, batch: DataFrame, name: str, natural_key: tuple[str, ...]) -> DataFrame:
         """Append a batch with defaults and new ids; returns the rows that break a rule.
 
-        The natural key must be unique in the batch. Valid rows are written to the shared
-        folder before ids are assigned, so that defaults such as the time are fixed.
+        The natural key must be unique in the batch. The filled batch is written to the shared
+        folder first, so that defaults such as the time are fixed, and a row number decides
+        which of two rows with one unique value is the earlier. Rejected are also rows that
+        repeat a unique value or link to no parent.
         """
-        filled = writes.with_defaults(batch.drop("id"), TABLES[name])
-        valid, broken = quality.split_valid(filled, name)
-        valid = materialise(valid.drop("id"), f"new-{name}")
+        filled = writes.with_defaults(batch.drop("id"), TABLES[name]).drop("id")
+        filled = materialise(filled.withColumn("_order", F.monotonically_increasing_id()), f"batch-{name}")
+        parents = {parent: self.table(parent).select("id") for parent in TABLES[name].links.values()}
+        valid, broken = quality.split_insertable(filled, name, self.table(name), parents, "_order")
+        valid = materialise(valid.drop("_order"), f"new-{name}")
+        broken = materialise(broken.drop("_order"), f"rejected-{name}")
         key = F.concat_ws("/", *[F.col(c).cast("string") for c in natural_key])
         last = F.coalesce(self.table(name).agg(F.max("id")).scalar(), F.lit(0))
         tables.append_rows(writes.assign_ids(valid.withColumn("_key", key), "_key", last), self.root, name)
@@ -116,10 +121,12 @@ class Warehouse:
         return self.create(rows, "predictions", ("entity_type", "entity_id", "model_name"))
 
     def update(self, changes: DataFrame, name: str, fields: list[str]) -> DataFrame:
-        """Apply keyed changes to a table; returns the changes without a row."""
+        """Apply keyed changes to a table; returns those without a row or with values that break a rule."""
         current = self.table(name)
-        lost = materialise(writes.unmatched_changes(current, changes), f"lost-{name}")
-        tables.replace_table(writes.apply_changes(current, changes, fields), self.root, name)
+        valid, broken = quality.split_changes(changes, name, fields)
+        lost = writes.unmatched_changes(current, valid).withColumn("broken_rules", F.array(F.lit("unknown id")))
+        lost = materialise(lost.unionByName(broken), f"lost-{name}")
+        tables.replace_table(writes.apply_changes(current, valid, fields), self.root, name)
         return lost
 
     def update_candidates(self, changes: DataFrame, fields: list[str]) -> DataFrame:
@@ -144,15 +151,18 @@ class Warehouse:
         self.create_candidates(parsing.candidate_rows(ingested))
         return ingested.select("path", "status", "error")
 
+    def embeddings(self, name: str) -> DataFrame:
+        """Newest stored embedding of every row of a table: id, embedding."""
+        return tables.read_embeddings(self.spark, self.root, name)
+
     def _embed(self, name: str, text: Column, force: bool) -> int:
+        """Embed rows without a stored embedding and append the vectors; the table itself is only read."""
         rows = self.table(name)
-        todo = rows if force else rows.where(F.col("embedding").isNull())
+        todo = rows if force else rows.join(self.embeddings(name).select("id"), "id", "left_anti")
         vectors = materialise(hash_embed(todo.select("id", text.alias("text")), dim=EMBEDDING_DIM), f"embed-{name}")
         done = vectors.count()
         if done:
-            fresh = vectors.withColumnRenamed("embedding", "_fresh")
-            merged = rows.join(fresh, "id", "left").withColumn("embedding", F.coalesce("_fresh", "embedding"))
-            tables.replace_table(merged, self.root, name)
+            tables.append_embeddings(vectors, self.root, name)
         return done
 
     def embed_candidates(self, force: bool = False) -> int:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..schemas import TABLES
 from ..session import materialise
@@ -33,9 +35,41 @@ def replace_table(df: DataFrame, root: str, name: str) -> None:
     _writer(staged, name, "overwrite").parquet(f"{root.rstrip('/')}/{name}")
 
 
+EMBEDDINGS = "id long, embedding array<float>, run long"
+
+
+def _embeddings_path(root: str, name: str) -> str:
+    return f"{root.rstrip('/')}/embeddings/entity={name}"
+
+
+def read_embeddings(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Newest embedding per row of a table (id, embedding); empty if none is stored."""
+    try:
+        rows = spark.read.schema(EMBEDDINGS).parquet(_embeddings_path(root, name))
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], EMBEDDINGS)
+    return rows.groupBy("id").agg(F.max_by("embedding", "run").alias("embedding"))
+
+
+def append_embeddings(vectors: DataFrame, root: str, name: str) -> None:
+    """Append a run of embeddings (id, embedding) to those of a table; nothing stored is rewritten."""
+    spark, path = vectors.sparkSession, _embeddings_path(root, name)
+    stored = spark.createDataFrame([], EMBEDDINGS)
+    try:
+        stored = spark.read.schema(EMBEDDINGS).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+    run = (stored.agg(F.max("run")).first()[0] or 0) + 1
+    vectors.select("id", "embedding", F.lit(run).cast("long").alias("run")).write.mode("append").parquet(path)
+
+
 def reset_tables(spark: SparkSession, root: str) -> None:
     """Empty all tables but users."""
     for name, table in TABLES.items():
         if name != "users":
             empty = spark.createDataFrame([], table.schema)
             empty.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}")
+            spark.createDataFrame([], EMBEDDINGS).write.mode("overwrite").parquet(_embeddings_path(root, name))

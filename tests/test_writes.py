@@ -97,7 +97,15 @@ def test_updates(spark, house):
     assert got == {"A": (None, "z", True), "B": (20.0, "y", False)}
 
 
+def parents(spark, house):
+    """Rows that links may name: one client, two candidates, one job."""
+    house.create_clients(spark.sql("select 'K' name"))
+    house.create_candidates(spark.sql("select 'A' name union all select 'B'"))
+    house.create_jobs(spark.sql("select 'driver' title, 1L client_id"))
+
+
 def test_stages_and_flags(spark, house):
+    parents(spark, house)
     house.create_placements(spark.sql(
         "select 1L candidate_id, 1L job_id, 1L client_id union all select 2L, 1L, 1L"
     ))
@@ -131,9 +139,22 @@ def test_ingest_and_embed(spark, house):
     assert house.embed_candidates() == 2
     assert house.embed_candidates() == 0
     assert house.embed_candidates(force=True) == 2
-    assert {len(r["embedding"]) for r in house.table("candidates").collect()} == {384}
+    assert [len(r["embedding"]) for r in house.embeddings("candidates").collect()] == [384, 384]
     house.reset()
-    assert house.get_candidates().count() == 0
+    assert house.get_candidates().count() == 0 and house.embeddings("candidates").count() == 0
+
+
+def test_inserts_keep_keys_and_links(spark, house):
+    batch = spark.createDataFrame([("Ann", "a@x.de"), ("Ben", "b@x.de"), ("Bob", "b@x.de"), ("Cy", None)], "name string, email string")
+    lost = house.create_recruiters(batch.coalesce(1))
+    assert {(r["name"], *r["broken_rules"]) for r in lost.collect()} == {("Bob", "email unique"), ("Cy", "email not null")}
+    again = house.create_recruiters(batch.where("name = 'Ann'"))
+    assert [r["broken_rules"] for r in again.collect()] == [["email unique"]]
+    assert sorted(r["name"] for r in house.get_recruiters().collect()) == ["Ann", "Ben"]
+    jobs = house.create_jobs(spark.createDataFrame([("driver", 99), ("cook", None)], "title string, client_id long"))
+    assert {tuple(r["broken_rules"]) for r in jobs.collect()} == {("client_id in clients",), ("client_id not null",)}
+    bad = spark.sql("select 1L id, timestamp'2030-01-01' changed_at, 1 seq, array('email') set_fields, cast(null as string) email")
+    assert [r["broken_rules"] for r in house.update(bad, "recruiters", ["email"]).collect()] == [["email not null"]]
 
 
 def test_seeded_tables_meet_the_contracts(spark):
