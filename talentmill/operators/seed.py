@@ -132,11 +132,16 @@ def seed_jobs(ids: DataFrame, n_clients: int | Column) -> DataFrame:
     )
 
 
-def seed_placements(ids: DataFrame, n_candidates: int, n_jobs: int, n_recruiters: int, jobs: DataFrame, as_of: str) -> DataFrame:
-    """Placements of drawn candidates in drawn jobs, at the job's client and inside its rate band."""
+def seed_placements(
+    ids: DataFrame, n_candidates: int | Column, n_jobs: int | Column, n_recruiters: int | Column, jobs: DataFrame, as_of: str,
+) -> DataFrame:
+    """Placements of drawn candidates in drawn jobs, at the job's client and inside its rate band.
+
+    The counts may be scalar subqueries over the tables that are linked to.
+    """
     k = F.col("id")
 
-    def link(purpose: str, n: int) -> Column:
+    def link(purpose: str, n: int | Column) -> Column:
         return F.floor(draw(k, purpose) * n).cast("long")
 
     drawn = ids.select(

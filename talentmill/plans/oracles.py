@@ -685,14 +685,14 @@ add("seed_jobs", "", f"""
 K = "o_orderkey"
 add("seed_placements", "", f"""
     WITH j AS ({SEEDED['jobs']}),
-    d AS (SELECT o_orderkey AS id, CAST(floor({draw(K, 'candidate')} * 100) AS BIGINT) AS candidate_id,
-                 CAST(floor({draw(K, 'job')} * 200) AS BIGINT) AS job_id,
-                 CAST(floor({draw(K, 'recruiter')} * 25) AS BIGINT) AS recruiter_id,
+    d AS (SELECT o_orderkey AS id, CAST(floor({draw(K, 'candidate')} * (SELECT count(*) FROM supplier)) AS BIGINT) AS candidate_id,
+                 CAST(floor({draw(K, 'job')} * (SELECT count(*) FROM part)) AS BIGINT) AS job_id,
+                 CAST(floor({draw(K, 'recruiter')} * (SELECT count(*) FROM nation)) AS BIGINT) AS recruiter_id,
                  {draw(K, 'bill')} AS u_bill, CAST({draw(K, 'pay')} * 0.2::DOUBLE + 0.65::DOUBLE AS DECIMAL(10,6)) AS factor,
                  {by_share(K, 'stage', seed.STAGE_SHARES)} AS stage, {tenths(K, 'match', 40, 98)} AS match_score,
                  ({some_skills(K, 'missing', 1, 3)})[1:{whole(K, 'n_missing', 0, 3)}] AS missing,
                  {whole(K, 'age', 0, 180)} AS age FROM orders),
-    b AS (SELECT d.*, j.client_draw % 100 AS client_id,
+    b AS (SELECT d.*, j.client_draw % (SELECT count(*) FROM customer) AS client_id,
                  CAST(CAST(rate_min + u_bill * (rate_max - rate_min) AS DECIMAL(18,6)) AS DECIMAL(18,2)) AS bill
           FROM d JOIN j ON j.id = d.job_id),
     p AS (SELECT *, CAST(bill * factor AS DECIMAL(18,2)) AS pay FROM b)

@@ -599,8 +599,12 @@ def seed_jobs(spark, sf):
 
 @query
 def seed_placements(spark, sf):
-    jobs = seed.seed_jobs(_ids(spark, sf, "part", "p_partkey"), 100)
-    return seed.seed_placements(_ids(spark, sf, "orders", "o_orderkey"), 100, 200, 25, jobs, AS_OF)
+    def rows(name: str) -> Column:
+        return v.table(spark, sf, name).agg(F.count("*")).scalar()
+
+    jobs = seed.seed_jobs(_ids(spark, sf, "part", "p_partkey"), rows("customer"))
+    return seed.seed_placements(
+        _ids(spark, sf, "orders", "o_orderkey"), rows("supplier"), rows("part"), rows("nation"), jobs, AS_OF)
 
 
 def _seed_contractors(spark, sf) -> DataFrame:
