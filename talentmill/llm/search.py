@@ -22,7 +22,7 @@ from .shingles import word_hashes
 K1, B = 1.2, 0.75
 TOP = 10
 #: Documents of a shard and of a block within it; words of a shard at most, but for one long document.
-SHARD_DOCS, BLOCK_DOCS, SHARD_WORDS = 8192, 64, 6_000_000
+SHARD_DOCS, BLOCK_DOCS, SHARD_WORDS = 4096, 64, 3_000_000
 #: Query words that are broadcast at a time: about 40 MB.
 QUERY_WORDS = 2_000_000
 #: Scores are compared at six decimals, equal ones by id.
@@ -199,37 +199,33 @@ class _Shard:
 
 def _score(index: DataFrame, ids: T.DataType, queries: list, spans: np.ndarray, terms: np.ndarray, place: np.ndarray, times: np.ndarray,
            idf: np.ndarray, mean_length: float, k: int) -> DataFrame:
-    """Top documents of every shard for one block of queries: q, doc, score."""
+    """Top documents of every task's shards for one block of queries: q, doc, score."""
     shared = index.sparkSession.sparkContext.broadcast((queries, spans, terms, place, times, idf))
     schema = T.StructType([T.StructField("q", ids), T.StructField("doc", ids), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, spans, terms, place, times, idf = shared.value
-        best = np.full((len(queries), k), -np.inf)
+        best: list[list[tuple]] = [[] for _ in queries]
+        kind = None
         for batch in batches:
             kind = batch.schema.field("ids").type.value_type
             for i in range(batch.num_rows):
-                shard, names = _Shard(_arrays(batch, i), terms, idf, mean_length), batch.column("ids")[i].values
-                qs, docs, scores = [], [], []
+                shard, names = _Shard(_arrays(batch, i), terms, idf, mean_length), batch.column("ids")[i].values.to_pylist()
                 for q, name in enumerate(queries):
-                    span = slice(spans[q], spans[q + 1])
+                    span, mine = slice(spans[q], spans[q + 1]), best[q]
                     # One more than k: the query's own document does not count.
-                    doc, score = shard.top(place[span], times[span], best[q, 0], k + 1)
-                    other = np.array([names[d].as_py() != name for d in doc.tolist()], bool)
-                    doc, score = doc[other], score[other]
-                    if len(doc):
-                        best[q] = np.sort(np.append(best[q], score))[-k:]
-                        keep = score >= best[q, 0]
-                        qs.append(np.full(int(keep.sum()), q))
-                        docs.append(doc[keep])
-                        scores.append(score[keep])
-                if qs:
-                    q = np.concatenate(qs)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(queries, kind).take(pa.array(q)), names.take(pa.array(np.concatenate(docs))),
-                        pa.array(np.concatenate(scores))], names=schema.names)
-
-    return index.mapInArrow(run, schema)
+                    doc, score = shard.top(place[span], times[span], -mine[-1][0] if len(mine) == k else -np.inf, k + 1)
+                    new = [(-s, names[d]) for d, s in zip(doc.tolist(), score.tolist()) if names[d] != name]
+                    if new:
+                        best[q] = sorted(mine + new)[:k]
+        rows = [(name, doc, -s) for name, mine in zip(queries, best) for s, doc in mine]
+        if rows:
+            q, doc, score = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(q, kind), pa.array(doc, kind), pa.array(score, pa.float64())], names=schema.names)
+
+    # A task goes through several shards: the scores that it has found prune the next ones.
+    tasks = index.sparkSession.sparkContext.defaultParallelism
+    return index.coalesce(tasks).mapInArrow(run, schema)
 
 
 def top_documents(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", k: int = TOP) -> DataFrame:
