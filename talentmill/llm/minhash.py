@@ -6,10 +6,12 @@ probability 0.75, and in fewer than 11 with probability 2.4e-7. Pairs that agree
 22 coordinate-value pairs, the rarest: the frequent ones, up to ten, are skipped. Values that only
 one document has take places in that prefix and need no posting at all.
 
-Within a posting list documents are not paired with each other but with one pivot, the document
-whose values are the most frequent. Only those that prove not similar to it, or belong
-to another component, are compared with the rest of their lists. All pairs that reach the
-match count are confirmed on the full shingle sets.
+Within a long posting list documents are not paired with each other but with one pivot, the
+document whose values are the most frequent: that joins a group of copies. Long lists whose
+documents then still belong to several components mostly share a passage, not their text. Their documents are
+posted once more, under the rarest quarter of their whole shingle sets, which a similar pair must
+share as well and a mere passage does not reach; ranks in that order bound what two sets can share.
+All pairs that reach the match count are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ WIDTH = 5
 PERCENT = 75
 COORDINATES, MATCHES = 32, 11
 PREFIX = COORDINATES - MATCHES + 1
+#: Lists of up to so many documents are paired in full.
+SHORT_LIST = 16
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
@@ -92,6 +96,60 @@ def _similar(pairs: DataFrame, tokens: DataFrame, sets: DataFrame, percent: int)
         100 * common >= percent * (F.size("su") + F.size("sv") - common)).select("u", "v")
 
 
+def _lists(posted: DataFrame, room: Column, length: Column, purpose: str) -> DataFrame:
+    """Posting lists of the rarest tokens of each document: token, node, length, rank, size, pivot.
+
+    A document is posted under its first `room` of `length` tokens, rarest first. Tokens that it has alone
+    take places but need no list. The pivot is the document whose tokens are the most frequent.
+    """
+    keyed = posted.select("node", "token", room.cast("int").alias("room"), length.cast("int").alias("length"))
+    often = keyed.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1")
+    ranked = keyed.join(often, "token").groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct("docs", "token"))).alias("t"), F.sum("docs").alias("central"),
+        F.max("room").alias("room"), F.max("length").alias("length"))
+    places = F.size("t") + F.col("room") - F.col("length")
+    prefix = stored(ranked.where(places > 0).select(
+        "node", "central", "length", (F.col("length") - F.size("t")).alias("alone"),
+        F.posexplode(F.slice("t", F.lit(1), places)).alias("at", "t")).select(
+        "node", "central", "length", (F.col("alone") + F.col("at")).alias("rank"), F.col("t.token").alias("token")), purpose)
+    pivots = prefix.groupBy("token").agg(F.count("*").alias("size"), F.max(F.struct("central", "node")).alias("p")) \
+        .where("size > 1").select("token", "size", F.col("p.node").alias("pivot"))
+    return stored(prefix.select("node", "token", "length", "rank").join(pivots, "token"), purpose)
+
+
+def _first_pairs(lists: DataFrame) -> DataFrame:
+    """All pairs of short lists, and the pairs of long lists with their pivot."""
+    short = lists.where(F.col("size") <= SHORT_LIST)
+    pairs = short.select("token", F.col("node").alias("u")).join(short.select("token", F.col("node").alias("v")), "token")
+    star = lists.where(F.col("size") > SHORT_LIST).select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"))
+    return pairs.select("u", "v").union(star).where("u < v").distinct()
+
+
+def _unsettled(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """Members of long lists that hold documents of more than one component, with their label."""
+    rows = lists.where(F.col("size") > SHORT_LIST).join(label.toDF("node", "label"), "node", "left") \
+        .select("token", "node", "length", "rank", F.coalesce("label", "node").alias("label"))
+    rows = stored(rows, "minhash-labels")
+    mixed = rows.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
+    return rows.join(mixed, "token", "left_semi")
+
+
+def _rest_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in lists of whole-set shingles that can still be similar.
+
+    Ranks bound the overlap: with a first common shingle at ranks i and j, no more than
+    1 + min(n_u - i - 1, n_v - j - 1) shingles are common, and similar sets need
+    percent * (n_u + n_v) / (100 + percent). The smaller set of a pair needs to be listed under fewer shingles.
+    """
+    x, y = (members.toDF(*(c if c == "token" else f"{c}_{side}" for c in members.columns)) for side in "xy")
+    need = percent * (F.col("length_x") + F.col("length_y"))
+    bound = (100 + percent) * F.least(F.col("length_x") - F.col("rank_x"), F.col("length_y") - F.col("rank_y"))
+    small = x.where((100 + percent) * (F.col("length_x") - F.col("rank_x")) >= 2 * percent * F.col("length_x"))
+    ordered = F.struct("length_x", "node_x") < F.struct("length_y", "node_y")
+    pairs = small.join(y, (x["token"] == y["token"]) & ordered & (F.col("label_x") != F.col("label_y")) & (bound >= need))
+    return pairs.select(F.least("node_x", "node_y").alias("u"), F.greatest("node_x", "node_y").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH,
                     percent: int = PERCENT) -> DataFrame:
     """Columns `doc` (struct of the input row), n_shingles, component_id, kept.
@@ -111,38 +169,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     folded = stored(folded, "minhash-fold")
     tokens = folded.select("node", "tokens")
 
-    posted = tokens.select("node", F.explode("tokens").alias("token"))
-    often = posted.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1")
-    ranked = posted.join(often, "token").groupBy("node").agg(
-        F.sort_array(F.collect_list(F.struct("docs", "token"))).alias("t"), F.sum("docs").alias("central"))
-    room = F.size("t") + PREFIX - COORDINATES
-    prefix = ranked.where(room > 0).select("node", "central", F.explode(F.slice("t", F.lit(1), room)).alias("t"))
-    prefix = stored(prefix.select("node", "central", F.col("t.token").alias("token")), "minhash-prefix")
-
-    pivots = prefix.groupBy("token").agg(F.count("*").alias("size"), F.max(F.struct("central", "node")).alias("p")) \
-        .where("size > 1").select("token", F.col("p.node").alias("pivot"))
-    listed = prefix.select("node", "token").join(pivots, "token")
-    near_pivot = listed.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
-
-    wanted = listed.select(F.col("node").alias("id")).distinct()
+    lists = _lists(tokens.select("node", F.explode("tokens").alias("token")), F.lit(PREFIX), F.lit(COORDINATES), "minhash-lists")
+    wanted = lists.select(F.col("node").alias("id")).distinct()
     sets = stored(_full_sets(source.join(wanted, "id", "left_semi"), width), "minhash-sets")
-    links = stored(_similar(near_pivot, tokens, sets, percent), "minhash-links")
+    links = stored(_similar(_first_pairs(lists), tokens, sets, percent), "minhash-links")
 
-    label = components(links)
-    named = listed.join(label.toDF("node", "mine"), "node", "left").withColumn("mine", F.coalesce("mine", "node"))
-    named = named.join(label.toDF("pivot", "theirs"), "pivot", "left").withColumn("theirs", F.coalesce("theirs", "pivot"))
-    named = stored(named.select("token", "node", "pivot", "mine", (F.col("mine") != F.col("theirs")).alias("open")), "minhash-named")
-    x = named.where("open").select("token", F.col("node").alias("u"), F.col("mine").alias("lu"))
-    y = named.where("node <> pivot").select("token", F.col("node").alias("v"), F.col("mine").alias("lv"), F.col("open").alias("ov"))
-    rest = x.join(y, "token").where("lu <> lv and (not ov or u < v)").select("u", "v").distinct()
-    links = links.union(_similar(rest, tokens, sets, percent))
+    left = _unsettled(lists, components(links)).select(F.col("node").alias("id")).distinct()
+    shingles = sets.join(left, "id", "left_semi").select(
+        F.col("id").alias("node"), F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    room = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
+    lists = _lists(shingles, room, F.col("n"), "minhash-sets-lists")
+    links = stored(links.union(_similar(_first_pairs(lists), tokens, sets, percent)), "minhash-links")
+    named = _unsettled(lists, components(links))
+    links = links.union(_similar(_rest_pairs(named, percent), tokens, sets, percent))
 
     label = components(links).toDF("node", "component")
     named = folded.select(*the_set, "node").join(label, "node", "left").select(
         *(F.col(c).alias(f"f_{c}") for c in the_set), F.coalesce("component", "node").alias("component"))
     same = [F.col(c) == F.col(f"f_{c}") for c in the_set]
     per_doc = sketch.select("id", *the_set).join(named, same, "left").groupBy("id").agg(
-        F.min(F.when(F.col("n") > 0, F.col("component"))).alias("component"), F.max("n").alias("n"))
+        F.min(F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component"))).alias("component"), F.max("n").alias("n"))
     per_doc = per_doc.select(F.col("id").alias("node_id"), "n", F.coalesce("component", "id").alias("component_id"))
     return _with_rows(docs, key, per_doc)
 
