@@ -28,7 +28,10 @@ WINDOW, RUN = 13, 5
 STRETCH, INDEX_WORDS = 64, 400_000
 #: Minimizers of more documents go window by window, each to the shard of its own hash: one shared passage has as many
 #: different surroundings as documents, which a single shard could not hold.
-HOT_DOCS = 1000
+HOT_DOCS = 20_000
+#: An odd multiplier and its inverse modulo 2^64.
+_STEP = np.uint64(0xA0761D6478BD642F)
+_BACK = np.uint64(pow(0xA0761D6478BD642F, -1, 1 << 64))
 
 
 def minimizers(words: np.ndarray, window: int) -> np.ndarray:
@@ -44,6 +47,15 @@ def minimizers(words: np.ndarray, window: int) -> np.ndarray:
     return np.minimum(low[:n], low[span - width:span - width + n]).view(np.int64)
 
 
+def span_hashes(words: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of spans of words, equal for equal spans wherever they stand."""
+    one = np.ones(1, np.uint64)
+    powers = np.cumprod(np.append(one, np.full(len(words), _STEP)), dtype=np.uint64)
+    backs = np.cumprod(np.append(one, np.full(len(words), _BACK)), dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers[:-1], dtype=np.uint64)])
+    return mix((sums[stop] - sums[start]) * backs[start] + (stop - start).astype(np.uint64)).view(np.int64)
+
+
 def _doc_hash(words: np.ndarray) -> int:
     place = mix(np.arange(len(words), dtype=np.uint64))
     return int(((words ^ place) * (place | np.uint64(1))).sum(dtype=np.uint64).view(np.int64))
@@ -71,33 +83,36 @@ def _stretches(docs: DataFrame, window: int) -> DataFrame:
     schema = T.StructType([longs["shard"], longs["h"], docs.schema["id"], longs["dh"],
                            T.StructField("start", T.IntegerType()), T.StructField("codes", T.BinaryType())])
 
-    def of_doc(words: np.ndarray, shared: np.ndarray, hot: np.ndarray) -> Iterator[tuple]:
+    def of_doc(words: np.ndarray, shared: np.ndarray, hot: np.ndarray) -> tuple | None:
         least = minimizers(words, window)
         at = np.flatnonzero(np.isin(least, shared))
         if not len(at):
-            return
+            return None
         is_hot = np.isin(least[at], hot)
-        grams = windows(words, window).view(np.int64)
-        codes, dh = (words >> np.uint64(32)).astype("<u4"), _doc_hash(words)
-        first = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(least[at]) != 0) | is_hot[1:]]))
-        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(at)]):
-            for lo in range(a, b, STRETCH):
-                start, last = int(at[lo]), int(at[min(lo + STRETCH, b) - 1])
-                shard = int(grams[start] if is_hot[a] else least[start])
-                span = words[start:last + window]
-                yield shard, _doc_hash(span), dh, start, codes[start:last + window].tobytes()
+        new = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(least[at]) != 0) | is_hot[1:]])
+        run_start = np.flatnonzero(new)[np.cumsum(new) - 1]
+        first = np.flatnonzero((np.arange(len(at)) - run_start) % STRETCH == 0)
+        start, stop = at[first], at[np.append(first[1:], len(at)) - 1] + window
+        shard = np.where(is_hot[first], windows(words, window).view(np.int64)[start], least[start])
+        codes = (words >> np.uint64(32)).astype("<u4").tobytes()
+        parts = [codes[a:b] for a, b in zip((4 * start).tolist(), (4 * stop).tolist())]
+        return shard, span_hashes(words, start, stop), np.full(len(start), _doc_hash(words)), start, parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            texts, shared, hot = (batch.column(i).to_pylist() for i in (1, 2, 3))
-            for i, words in enumerate(word_hashes(texts)):
-                rows += [(i, *x) for x in of_doc(words, np.array(shared[i], np.int64), np.array(hot[i], np.int64))]
-            for lo in range(0, len(rows), 200_000):
-                i, shard, h, dh, start, codes = zip(*rows[lo:lo + 200_000])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(shard, pa.int64()), pa.array(h, pa.int64()), batch.column(0).take(pa.array(i)),
-                    pa.array(dh, pa.int64()), pa.array(start, pa.int32()), pa.array(codes, pa.binary())], names=schema.names)
+            texts, shared, hot = batch.column(1).to_pylist(), batch.column(2), batch.column(3)
+            held, size, hashes = [], 0, word_hashes(texts)
+            for i, words in enumerate(hashes):
+                found = of_doc(words, shared[i].values.to_numpy(), hot[i].values.to_numpy())
+                if found:
+                    held.append((np.full(len(found[0]), i), *found))
+                    size += len(found[0])
+                if held and (size > 100_000 or i == len(hashes) - 1):
+                    i_, shard, h, dh, start = (np.concatenate(x) for x in list(zip(*held))[:5])
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(shard), pa.array(h), batch.column(0).take(pa.array(i_)), pa.array(dh),
+                        pa.array(start.astype(np.int32)), pa.array([c for x in held for c in x[5]], pa.binary())], names=schema.names)
+                    held, size = [], 0
 
     return docs.mapInArrow(run, schema)
 
