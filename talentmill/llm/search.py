@@ -165,10 +165,10 @@ class _Shard:
         self.local = np.full(len(terms), -1)
         self.local[known] = np.arange(len(known))
 
-    def top(self, terms: np.ndarray, times: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def top(self, terms: np.ndarray, times: np.ndarray, least: float, k: int, own: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Documents that may be in the top k with a score of at least `least`, and their scores.
 
-        The blocks of greatest possible score are scored first; the others only where their bound
+        Documents of `own` are no result and do not raise the bound. The blocks of greatest possible score are scored first; the others only where their bound
         reaches the k-th score found.
         """
         t = self.local[terms]
@@ -187,6 +187,7 @@ class _Shard:
             p = parts[keep]
             at, which = _ranges(self.part_starts[p], self.part_starts[p + 1])
             score = np.bincount(self.doc[at], self.impact[at] * times[keep][which], self.docs)
+            score[own] = 0
             hit = np.flatnonzero(score)
             hit, got = hit, np.round(score[hit], DECIMALS)
             found, scores = np.append(found, hit[got >= least]), np.append(scores, got[got >= least])
@@ -206,16 +207,20 @@ def _score(index: DataFrame, ids: T.DataType, queries: list, spans: np.ndarray,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, spans, terms, place, times, idf = shared.value
         best: list[list[tuple]] = [[] for _ in queries]
-        kind = None
+        asked, kind = set(queries), None
         for batch in batches:
             kind = batch.schema.field("ids").type.value_type
             for i in range(batch.num_rows):
                 shard, names = _Shard(_arrays(batch, i), terms, idf, mean_length), batch.column("ids")[i].values.to_pylist()
+                # Rows of the query's own id, however many, do not count.
+                own: dict = {}
+                for d, name in enumerate(names):
+                    if name in asked:
+                        own.setdefault(name, []).append(d)
                 for q, name in enumerate(queries):
                     span, mine = slice(spans[q], spans[q + 1]), best[q]
-                    # One more than k: the query's own document does not count.
-                    doc, score = shard.top(place[span], times[span], -mine[-1][0] if len(mine) == k else -np.inf, k + 1)
-                    new = [(-s, names[d]) for d, s in zip(doc.tolist(), score.tolist()) if names[d] != name]
+                    doc, score = shard.top(place[span], times[span], -mine[-1][0] if len(mine) == k else -np.inf, k, own.get(name, []))
+                    new = [(-s, names[d]) for d, s in zip(doc.tolist(), score.tolist())]
                     if new:
                         best[q] = sorted(mine + new)[:k]
         rows = [(name, doc, -s) for name, mine in zip(queries, best) for s, doc in mine]

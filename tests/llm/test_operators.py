@@ -391,6 +391,13 @@ def test_search_equals_brute_force(spark, monkeypatch):
     assert top_documents(table(spark, []), table(spark, [])).count() == 0
 
 
+def test_search_leaves_out_every_row_of_the_own_id(spark):
+    rows = [(0, "alpha beta gamma")] * 12 + [(0, "alpha beta delta")] * 3 + [(i, "alpha beta" + " pad" * i) for i in range(1, 9)]
+    docs = table(spark, rows).coalesce(1)
+    got = top_documents(docs, docs.where("doc_id = 0"), k=5).collect()
+    assert [(r["rank"], r.doc_id) for r in sorted(got, key=lambda r: r["rank"])] == [(i, i) for i in range(1, 6)]
+
+
 # Chat
 
 
