@@ -6,9 +6,11 @@ assistant and the others as named users; the loss mask covers the assistant's wo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Turns of a conversation that one row renders at most: longer ones go on in further parts.
 PART_TURNS = 256
 SYSTEM = "system"
@@ -26,6 +28,36 @@ def _tail(text: Column) -> Column:
     return F.concat(text, F.lit("<|end|>\n"))
 
 
+def _positions(rows: DataFrame) -> DataFrame:
+    """Distinct rows with `pos`, their place from 0 among the rows of their conversation and looseness.
+
+    Rows are sorted as a whole, so a conversation of any size, a null one too, and any number
+    of rows under one turn spread over tasks; only row counts meet per conversation.
+    """
+    order = rows.distinct().sort("conv_id", "loose", "turn", "speaker", "text")
+    placed = stored(order.withColumn("at", F.monotonically_increasing_id()), "chat-turns")
+    # The id has its partition above 33 bits of the place within it.
+    placed = placed.withColumn("chunk", F.shiftright("at", 33))
+    spans = placed.groupBy("conv_id", "loose", "chunk").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("conv_id", "loose").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(
+        F.col("conv_id").alias("span_id"), F.col("loose").alias("span_loose"), F.col("chunk").alias("span_chunk"),
+        (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    same = F.col("conv_id").eqNullSafe(F.col("span_id")) & (F.col("loose") == F.col("span_loose")) & (F.col("chunk") == F.col("span_chunk"))
+    return placed.join(spans, same).select(*rows.columns, (F.col("at") + F.col("shift")).alias("pos"))
+
+
+def _placed(rows: DataFrame, part_turns: int) -> DataFrame:
+    """Distinct rows with `pos`; it is 0 throughout where all rows of a conversation fit one part."""
+    keys = [F.col("conv_id").alias("long_id"), F.col("loose").alias("long_loose")]
+    long = stored(rows.groupBy("conv_id", "loose").count().where(F.col("count") > part_turns).select(*keys), "chat-long")
+    if long.isEmpty():
+        return rows.distinct().withColumn("pos", F.lit(0).cast("long"))
+    same = F.col("conv_id").eqNullSafe(F.col("long_id")) & (F.col("loose") == F.col("long_loose"))
+    short = rows.join(long, same, "left_anti").distinct().withColumn("pos", F.lit(0).cast("long"))
+    return short.unionByName(_positions(rows.join(long, same, "left_semi")))
+
+
 def rotate_perspectives(
     turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
     part_turns: int = PART_TURNS,
@@ -34,8 +66,10 @@ def rotate_perspectives(
 
     Columns: conv_id, perspective, part, n_turns, rendered, loss_spans (start:end of the
     trained characters, code points, comma-joined), n_loss_chars.
-    `part` is turn // part_turns, so a row never gathers a whole unbounded conversation;
-    each part renders on its own. Rows without a turn number form part -1.
+    Parts are cut by row: the n-th numbered row of a conversation, from 0 and in order of turn,
+    role and text, is in part n // part_turns, whatever its turn number. Rows without a
+    turn number are numbered by themselves and form the parts -1, -2 and so on. A row never
+    gathers more than part_turns rows; each part renders on its own.
     A null role is the speaker "unknown", a null text is empty, a null conv_id is a
     conversation of its own. System turns are instructions in every rendering and never a
     participant; a conversation with system turns only gives no row. Repeated rows
@@ -46,9 +80,10 @@ def rotate_perspectives(
         F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"),
         F.coalesce(F.col(role), F.lit("unknown")).alias("speaker"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
-    ).distinct()
-    parts = rows.groupBy("conv_id", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)).alias("part")).agg(
-        F.sort_array(F.collect_list(F.struct("turn", "speaker", "text"))).alias("turns"))
+    ).withColumn("loose", F.col("turn").isNull())
+    nth = F.floor(F.col("pos") / part_turns)
+    parts = _placed(rows, part_turns).groupBy("conv_id", F.when(F.col("loose"), -1 - nth).otherwise(nth).alias("part")).agg(
+        F.sort_array(F.collect_list(F.struct("pos", "turn", "speaker", "text"))).alias("turns"))
     cast = rows.where(F.col("speaker") != SYSTEM).select(
         F.col("conv_id").alias("cast_id"), F.col("speaker").alias("perspective")).distinct()
     me = F.col("perspective")

@@ -416,3 +416,20 @@ def test_every_participant_becomes_the_assistant(spark):
     long = spark.createDataFrame([(1, i, "ab"[i % 2], str(i)) for i in range(700)], "conv_id long, turn long, role string, text string")
     assert sorted((r.perspective, r.part, r.n_turns) for r in rotate_perspectives(long).collect())[:3] == [("a", 0, 256), ("a", 1, 256), ("a", 2, 188)]
     assert rotate_perspectives(long.limit(0)).count() == 0
+
+
+def test_parts_of_hot_turns_are_cut_by_row(spark):
+    rows = [(None, None, "ab"[i % 2], f"{i:04}") for i in range(70)] + [(None, 3, "ab"[i % 2], f"{i:04}") for i in range(50)]
+    rows += [(7, 1000 * i, "ab"[i % 2], f"{i:04}") for i in range(25)] + [(8, 5, "a", "x")]
+    turns = spark.createDataFrame(rows + rows[:30], "conv_id long, turn long, role string, text string").repartition(5)
+    got = {(r.conv_id, r.part): r for r in rotate_perspectives(turns, part_turns=20).collect() if r.perspective == "a"}
+    sizes = {k: r.n_turns for k, r in got.items()}
+    assert sizes == {(None, -1): 20, (None, -2): 20, (None, -3): 20, (None, -4): 10, (None, 0): 20, (None, 1): 20, (None, 2): 10,
+                     (7, 0): 20, (7, 1): 5, (8, 0): 1}
+
+    def own(conv, parts):
+        return [t for p in parts for t in re.findall(r"\n(\d{4})<", got[conv, p].rendered)[-sizes[conv, p]:]]
+
+    assert own(7, [0, 1]) == [f"{i:04}" for i in range(25)]
+    by_speaker = sorted((f"{i:04}" for i in range(70)), key=lambda t: (int(t) % 2, t))
+    assert own(None, [-1, -2, -3, -4]) == by_speaker and own(None, [0, 1, 2]) == [t for t in by_speaker if int(t) < 50]
