@@ -13,6 +13,8 @@ from .common import stored
 
 #: Turns of a conversation that one row renders at most: longer ones go on in further parts.
 PART_TURNS = 256
+#: Turns before a part that it renders as context, outside its mask.
+CONTEXT_TURNS = 32
 SYSTEM = "system"
 
 
@@ -60,7 +62,7 @@ def _placed(rows: DataFrame, part_turns: int) -> DataFrame:
 
 def rotate_perspectives(
     turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
-    part_turns: int = PART_TURNS,
+    part_turns: int = PART_TURNS, context_turns: int = CONTEXT_TURNS,
 ) -> DataFrame:
     """One row per conversation, participant and part, with the rendered text and its mask.
 
@@ -69,7 +71,11 @@ def rotate_perspectives(
     Parts are cut by row: the n-th numbered row of a conversation, from 0 and in order of turn,
     role and text, is in part n // part_turns, whatever its turn number. Rows without a
     turn number are numbered by themselves and form the parts -1, -2 and so on. A row never
-    gathers more than part_turns rows; each part renders on its own.
+    gathers more than part_turns turns of its own. It renders before them, outside the mask
+    and not counted in n_turns, the last context_turns turns ahead of the part and, ahead of
+    those, every earlier system turn of the conversation (of one text, the latest). System
+    turns without a number come before all numbered ones; parts of rows without a number
+    take all numbered system turns.
     A null role is the speaker "unknown", a null text is empty, a null conv_id is a
     conversation of its own. System turns are instructions in every rendering and never a
     participant; a conversation with system turns only gives no row. Repeated rows
@@ -81,15 +87,30 @@ def rotate_perspectives(
         F.coalesce(F.col(role), F.lit("unknown")).alias("speaker"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     ).withColumn("loose", F.col("turn").isNull())
-    nth = F.floor(F.col("pos") / part_turns)
-    parts = _placed(rows, part_turns).groupBy("conv_id", F.when(F.col("loose"), -1 - nth).otherwise(nth).alias("part")).agg(
-        F.sort_array(F.collect_list(F.struct("pos", "turn", "speaker", "text"))).alias("turns"))
+    nth, reach = F.floor(F.col("pos") / part_turns), F.floor((F.col("pos") + context_turns) / part_turns)
+    placed = _placed(rows, part_turns).withColumns({"nth": nth, "reach": reach})
+    # A row is context of all parts after its own up to `reach`.
+    shown = placed.withColumn("in_part", F.explode(F.sequence("nth", "reach")))
+    parts = shown.groupBy("conv_id", "loose", F.col("in_part").alias("nth")).agg(F.sort_array(F.collect_list(
+        F.struct("pos", "turn", "speaker", "text", (F.col("in_part") == F.col("nth")).alias("own")))).alias("turns"))
+    parts = parts.withColumn("n_turns", F.size(F.filter("turns", lambda t: t.own))).where("n_turns > 0")
+    # From the part after `reach` on, a system turn stands ahead of the context.
+    system = placed.where(F.col("speaker") == SYSTEM).groupBy("conv_id", "loose", "text", "reach").agg(
+        F.max(F.struct("pos", "turn")).alias("at")).groupBy(F.col("conv_id").alias("system_id")).agg(F.sort_array(F.collect_list(
+            F.struct((~F.col("loose")).alias("numbered"), "at", "text", "reach"))).alias("system"))
     cast = rows.where(F.col("speaker") != SYSTEM).select(
         F.col("conv_id").alias("cast_id"), F.col("speaker").alias("perspective")).distinct()
+    cast = cast.join(system, F.col("cast_id").eqNullSafe(F.col("system_id")), "left")
     me = F.col("perspective")
     per = parts.join(cast, F.col("conv_id").eqNullSafe(F.col("cast_id")))
-    heads = F.transform("turns", lambda t: F.struct(
-        _head(t.speaker, me).alias("head"), _tail(t.text).alias("tail"), (t.speaker == me).alias("mine")))
+    earlier = F.transform(F.filter(F.coalesce("system", F.array()), lambda t: (
+        t.numbered == F.col("loose")) | (t.reach < F.col("nth"))), lambda t: t.text)
+    orders = F.reverse(F.array_distinct(F.reverse(earlier)))
+    heads = F.concat(
+        F.transform(orders, lambda t: F.struct(
+            _head(F.lit(SYSTEM), me).alias("head"), _tail(t).alias("tail"), F.lit(False).alias("mine"))),
+        F.transform("turns", lambda t: F.struct(
+            _head(t.speaker, me).alias("head"), _tail(t.text).alias("tail"), ((t.speaker == me) & t.own).alias("mine"))))
 
     def step(acc: Column, s: Column) -> Column:
         start = acc.at + F.length(s.head)
@@ -102,7 +123,9 @@ def rotate_perspectives(
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"), F.lit(0).alias("n"))
     return (
-        per.select("conv_id", "perspective", "part", F.size("turns").cast("long").alias("n_turns"), heads.alias("segments"))
+        per.select(
+            "conv_id", "perspective", F.when(F.col("loose"), -1 - F.col("nth")).otherwise(F.col("nth")).alias("part"),
+            F.col("n_turns").cast("long").alias("n_turns"), heads.alias("segments"))
         .select("*", F.aggregate("segments", start, step).alias("mask"))
         .select(
             "conv_id", "perspective", "part", "n_turns",

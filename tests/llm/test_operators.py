@@ -433,3 +433,35 @@ def test_parts_of_hot_turns_are_cut_by_row(spark):
     assert own(7, [0, 1]) == [f"{i:04}" for i in range(25)]
     by_speaker = sorted((f"{i:04}" for i in range(70)), key=lambda t: (int(t) % 2, t))
     assert own(None, [-1, -2, -3, -4]) == by_speaker and own(None, [0, 1, 2]) == [t for t in by_speaker if int(t) < 50]
+
+
+def test_later_parts_have_the_system_turns_and_context(spark):
+    rows = [(1, 0, "system", "be kind"), *((1, i, "ab"[i % 2], f"t{i}") for i in range(1, 600)), (1, 300, "system", "be brief"),
+            (1, 310, "system", "be kind"), (1, None, "system", "no names"), (1, None, "b", "late")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    numbered = sorted(r[1:] for r in rows if r[1] is not None)
+    loose = [(None, "b", "late"), (None, "system", "no names")]
+
+    def want(me, system, context, own):
+        text, spans = "", []
+        for i, (_, role, words) in enumerate([*system, *context, *own]):
+            text += {"system": "<|system|>", me: "<|assistant|>"}.get(role, f"<|user name={role}|>") + "\n"
+            start = len(text)
+            text += words + "<|end|>\n"
+            if role == me and i >= len(system) + len(context):
+                spans.append((start, len(text)))
+        return len(own), text, ",".join(f"{a}:{b}" for a, b in spans), sum(b - a for a, b in spans)
+
+    kind, brief, names = numbered[0], (300, "system", "be brief"), loose[1]
+    again = (310, "system", "be kind")
+    got = {(r.perspective, r.part): tuple(r)[3:] for r in rotate_perspectives(turns).collect()}
+    assert len(got) == 8
+    for me in "ab":
+        assert got[me, 0] == want(me, [names], [], numbered[:256])
+        assert got[me, 1] == want(me, [names, kind], numbered[224:256], numbered[256:512])
+        assert got[me, 2] == want(me, [names, brief, again], numbered[480:512], numbered[512:])
+        assert got[me, -1] == want(me, [brief, again], [], loose)
+    some = {(r.perspective, r.part): tuple(r)[3:] for r in rotate_perspectives(turns, part_turns=4, context_turns=10).collect()}
+    assert some["a", 50] == want("a", [names, kind], numbered[190:200], numbered[200:204])
+    short = turns.where("turn < 20 and role <> 'a'")
+    assert {r.part for r in rotate_perspectives(short, context_turns=300).collect()} == {0}
