@@ -65,37 +65,40 @@ def deletion_hashes(line: str, low: bool, high: bool) -> tuple[np.ndarray, np.nd
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """Variant hashes of candidate lines: hv, q (deleted position, -1 for the line itself), d, p."""
+    """Variant hashes of candidate lines: hv, q (deleted position, -1 for the line itself), r."""
     bounded_batches(lines.sparkSession)
-    kind = lines.schema["d"].dataType
-    schema = T.StructType([T.StructField("hv", T.LongType()), T.StructField("q", T.IntegerType()),
-                           T.StructField("d", kind), T.StructField("p", T.IntegerType())])
+    schema = T.StructType([T.StructField("hv", T.LongType()), T.StructField("q", T.IntegerType()), T.StructField("r", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, todo = 0, []
-            rows = list(zip(*(batch.column(i).to_pylist() for i in range(2, 5))))
+            rows = list(zip(*(batch.column(i).to_pylist() for i in range(1, 4))))
             for i, (line, low, high) in enumerate(rows):
                 q, hv = deletion_hashes(line, low, high)
                 todo.append((np.full(len(q), i), q, hv))
                 size += len(q)
                 if size > 500_000 or i == len(rows) - 1:
                     row, q, hv = (np.concatenate(x) for x in zip(*todo))
-                    ids = batch.select([0, 1]).take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([pa.array(hv), pa.array(q), *ids.columns], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([pa.array(hv), pa.array(q), batch.column(0).take(pa.array(row))], names=schema.names)
                     size, todo = 0, []
 
-    return lines.select("d", "p", "line", "low", "high").mapInArrow(run, schema)
+    return lines.select("r", "line", "low", "high").mapInArrow(run, schema)
+
+
+def _row_key(key: Column, text: Column) -> Column:
+    """Id and 128-bit hash of the text: equal copies of a row share it, other rows of the id, null too, do not."""
+    text = F.coalesce(text, F.lit(""))
+    return F.struct(key.alias("id"), F.xxhash64(text).alias("h0"), F.xxhash64(F.lit(1), text).alias("h1"))
 
 
 def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", short: int = SHORT) -> DataFrame:
-    """Numbers of the lines that stay: d (document), kept (array of line numbers from 0).
+    """Numbers of the lines that stay: d (id and hash of the text), kept (array of line numbers from 0).
 
-    Order is (document id, line number); a null id comes first. A line goes if an earlier line
+    Order is (document id, hash of the text, line number); a null id comes first. A line goes if an earlier line
     of any document equals it, or is within one edit of it and both have `short` characters.
     Lines without a word are not compared.
     """
-    source = docs.select(docs[key].alias("d"), F.coalesce(docs[text], F.lit("")).alias("text"))
+    source = docs.select(_row_key(docs[key], docs[text]).alias("d"), F.coalesce(docs[text], F.lit("")).alias("text"))
     line, n = F.col("line"), F.col("n")
     exploded = source.select("d", F.posexplode(F.split("text", "\n")).alias("p", "line")).where(line.rlike(HAS_WORD))
     hashed = exploded.withColumn("n", F.length("line")).select(
@@ -105,30 +108,31 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", short:
         F.min(F.struct("d", "p")).alias("at"), F.min("n").alias("n"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4)),
     ).select("a", "b", "at.d", "at.p", "n", "k0", "k1", "k2", "k3"), "lines-first")
 
-    halves = firsts.where(n >= short).select("d", "p", "a", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("side", "k"))
+    long = firsts.where(n >= short)
+    halves = long.select("a", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("side", "k"))
     shared = halves.groupBy("k").agg(F.count("*").alias("lines")).where("lines > 1").select("k")
-    wanted = halves.join(shared, "k", "left_semi").groupBy("d", "p", "a").agg(
+    wanted = halves.join(shared, "k", "left_semi").groupBy("a").agg(
         F.max(F.col("side") % 2).alias("low"), F.min(F.col("side") % 2).alias("not_high"))
-    per_doc = wanted.groupBy("d").agg(F.collect_list(F.struct(
+    per_doc = wanted.join(long.select("a", "d", "p"), "a").groupBy("d").agg(F.collect_list(F.struct(
         "p", "a", (F.col("low") == 1).alias("low"), (F.col("not_high") == 0).alias("high"))).alias("w")).withColumnRenamed("d", "wd")
-    near = source.join(per_doc, F.col("d").eqNullSafe(F.col("wd"))).select(
+    near = source.join(per_doc, F.col("d") == F.col("wd")).select(
         "d", F.split("text", "\n").alias("lines"), "w").select("d", "lines", F.explode("w").alias("w")).select(
         "d", "w.p", "w.a", "w.low", "w.high", F.get("lines", F.col("w.p")).alias("line"))
-    near = stored(near.where(F.xxhash64("line") == F.col("a")), "lines-near")
+    # Equal copies of a row give their lines once; r numbers the lines in their order.
+    near = near.where(F.xxhash64("line") == F.col("a")).distinct().sort("d", "p")
+    near = stored(near.withColumn("r", F.monotonically_increasing_id()), "lines-near")
 
-    me, is_self = F.struct("d", "p"), F.col("q") < 0
+    me, is_self = F.col("r"), F.col("q") < 0
     group, place = Window.partitionBy("hv"), Window.partitionBy("hv", "q")
     met = _variants(near).select(
-        "d", "p", is_self.alias("self"), F.min(me).over(place).alias("peer"),
+        "r", is_self.alias("self"), F.min(me).over(place).alias("peer"),
         F.min(F.when(is_self, me)).over(group).alias("whole"), F.min(F.when(~is_self, me)).over(group).alias("cut"))
     earlier = F.when(F.col("self"), F.col("cut")).otherwise(F.least("peer", "whole"))
-    pairs = met.select("d", "p", earlier.alias("e")).where(F.col("e") < me).groupBy("d", "p").agg(F.min("e").alias("e"))
-    texts = near.select(F.col("d").alias("td"), F.col("p").alias("tp"), F.col("a").alias("ta"), F.col("line"))
-    left, right = texts.toDF("ld", "lp", "la", "left"), texts.toDF("rd", "rp", "ra", "right")
-    gone = pairs.join(left, F.col("d").eqNullSafe(F.col("ld")) & (F.col("p") == F.col("lp"))) \
-        .join(right, F.col("e.d").eqNullSafe(F.col("rd")) & (F.col("e.p") == F.col("rp"))) \
-        .where(F.levenshtein("left", "right", EDIT_BOUND) >= 0).select("ld", "lp", "la")
-    same = F.col("d").eqNullSafe(F.col("ld")) & (F.col("p") == F.col("lp")) & (F.col("a") == F.col("la"))
+    pairs = met.select("r", earlier.alias("e")).where(F.col("e") < me).groupBy("r").agg(F.min("e").alias("e"))
+    left = near.select("r", F.col("d").alias("ld"), F.col("p").alias("lp"), F.col("a").alias("la"), F.col("line").alias("left"))
+    right = near.select(F.col("r").alias("e"), F.col("line").alias("right"))
+    gone = pairs.join(left, "r").join(right, "e").where(F.levenshtein("left", "right", EDIT_BOUND) >= 0).select("ld", "lp", "la")
+    same = (F.col("d") == F.col("ld")) & (F.col("p") == F.col("lp")) & (F.col("a") == F.col("la"))
     return firsts.join(gone, same, "left_anti").groupBy("d").agg(F.collect_list("p").alias("kept"))
 
 
@@ -136,17 +140,17 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", short:
     """Columns `doc` (struct of the input row), `kept_text`, `n_lines`, `n_removed`.
 
     `kept_text` is the lines that stay and the lines without a word, in their order. n_lines
-    counts lines with a word. A null text has no line and gives the empty text. Rows that
-    share an id take decisions by line number together, so a repeated row is cleaned like its
-    first copy. Any other columns stay inside `doc`; an empty table gives an empty result.
+    counts lines with a word. A null text has no line and gives the empty text. Rows of
+    one id, null too, with different texts are documents each, in the order of a hash of the text; a
+    repeated row is cleaned like its first copy. Any other columns stay inside `doc`; an empty table gives an empty result.
     """
     kept = kept_lines(docs, key, text, short)
     rows = docs.select(F.struct("*").alias("doc"))
-    joined = rows.join(kept, F.col("doc")[key].eqNullSafe(F.col("d")), "left")
+    joined = rows.join(kept, _row_key(F.col("doc")[key], F.col("doc")[text]) == F.col("d"), "left")
     lines = F.split(F.coalesce(F.col("doc")[text], F.lit("")), "\n")
     blank = F.filter(F.transform(F.col("lines"), lambda x, i: F.when(~x.rlike(HAS_WORD), i)), lambda i: i.isNotNull())
-    df = joined.select("doc", "kept", lines.alias("lines")).select("doc", "lines", blank.alias("blank"), F.filter(
-        F.array_distinct(F.coalesce("kept", F.array().cast("array<int>"))), lambda p: p < F.size("lines")).alias("kept"))
+    df = joined.select("doc", "kept", lines.alias("lines")).select("doc", "lines", blank.alias("blank"), F.coalesce(
+        "kept", F.array().cast("array<int>")).alias("kept"))
     df = df.select("doc", "lines", "blank", "kept", F.sort_array(F.array_union("blank", "kept")).alias("stay"))
     n_lines, stay = F.size("lines") - F.size("blank"), F.col("stay")
     return df.select(

@@ -108,6 +108,19 @@ def test_line_dedup_of_odd_tables(spark):
     assert got == [(-1, "a long enough line of text"), (1, ""), (1, ""), (2, "")]
 
 
+def test_line_dedup_of_different_texts_of_one_id(spark):
+    same = [f"the {w} line stands in all of them" for w in ("first", "second", "third")]
+    rows = [(key, "\n".join(["own", f"text of {key} and {i}"] + same[i % 3:] + same[:i % 3])) for key in (None, 5) for i in range(12)] * 2
+    rows += [(5, "an edited line of text, one"), (5, "an edited line of text, one!")]
+    got = dedup_lines(table(spark, rows)).collect()
+    text_of = {(r.doc.doc_id, r.doc.text): r.kept_text for r in got}
+    assert len(got) == 50 and len(text_of) == 26
+    stay = [x for t in text_of.values() for x in t.split("\n") if x]
+    assert sorted(x for x in stay if x in same) == sorted(same) and stay.count("own") == 1
+    assert sum(x.startswith("an edited") for x in stay) == 1
+    assert all((r.doc.doc_id, r.kept_text) == (r.doc.doc_id, text_of[r.doc.doc_id, r.doc.text]) for r in got)
+
+
 # Personal data
 
 
