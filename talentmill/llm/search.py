@@ -1,4 +1,4 @@
-"""Exact BM25 top-k by block-max WAND over per-shard inverted indexes.
+"""Exact BM25 top-k by block maxima over per-shard inverted indexes, without the pivots of WAND.
 
 The corpus is cut into shards of documents, each with an inverted index whose posting lists
 are divided into blocks of neighbouring documents with their greatest impact. Document
