@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import PART_TURNS
+from .langid import FOLDS, HELD_OUT, LONGEST, PROFILE, UNKNOWN
 from .lines import SHORT
 from .quality import RULES, STOP_WORDS
 from .search import DECIMALS, K1, TOP, B
@@ -134,6 +135,95 @@ def _chat() -> str:
     from o group by conv_id, perspective, part"""
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _divergence() -> str:
+    return f"""
+    with d as (select row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                 regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as t from documents),
+    o as (select lang, source, term, count(*) as n, count(distinct rid) as docs
+          from (select rid, lang, source, unnest(t) as term from d) group by all),
+    k as (select lang, term, sum(n) as n from o group by all having sum(docs) >= 10),
+    l as (select lang, sum(n) + 2 * count(*) as total from k group by lang),
+    g as (select distinct lang, source from d),
+    c as (select g.lang, g.source, k.term, coalesce(o.n, 0) as n, k.n as lang_n
+          from g join k using (lang) left join o using (lang, source, term)),
+    m as (select lang, source, sum(n) + 2 * count(*) as total from c group by all),
+    p as (select c.*, 1 + (1000000000::hugeint * (c.n + 2)::hugeint) // m.total::hugeint as p,
+                 1 + (1000000000::hugeint * (lang_n + 2)::hugeint) // l.total::hugeint as q
+          from c join m using (lang, source) join l using (lang)),
+    pair as (select a.lang, a.source, b.source as item,
+                    coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) as value
+             from g a join g b on a.lang = b.lang and a.source <> b.source
+             left join p x on x.lang = a.lang and x.source = a.source
+             left join p y on y.lang = b.lang and y.source = b.source and y.term = x.term group by all),
+    both_parts as (select lang, source, 'pair' as part, item, value from pair
+             union all select lang, source, 'term', term, (p - q) * (p - q) // (p + q) from p where n > 0 and p > q)
+    select lang, source, part, item, value::bigint as value, rank::int as rank from (
+      select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from both_parts)
+    where part = 'pair' or rank <= 10"""
+
+
+#: CRC-32 of a list of bytes, by a table of 256 entries that is worked out from the polynomial.
+_CRC_TABLE = """(select list(v order by i) as tab from (select i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, z: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end) as v from range(256) r(i)))"""
+
+
+def _crc32(octets: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _octets(text: str) -> str:
+    return f"""flatten(list_transform(string_split({text}, ''), lambda ch: case when unicode(ch) < 128 then [unicode(ch)::bigint]
+        else [(192 + (unicode(ch) >> 6))::bigint, (128 + (unicode(ch) & 63))::bigint] end))"""
+
+
+def _spelling() -> str:
+    return f"""
+    with r as (select doc_id, run, count(*) as n from (
+            select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) as run
+            from documents) group by all),
+    h as (select run, n, {_crc32(_octets("coalesce(doc_id::varchar, '') || ':' || run"))} as h from r, {_CRC_TABLE} where length(run) >= 5),
+    s as (select case when h % 97 = 0 then substr(run, 1, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2) else run end as word, n from h),
+    w as (select word, sum(n)::bigint as n from s where length(word) >= 5 group by word having sum(n) >= 3),
+    cut as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest
+            from (select word, n, unnest(generate_series(1, length(word))) as i from w)),
+    pair as (select distinct a.word as word, b.word as near, b.n as near_n from cut a join cut b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+             union select a.word, b.word, b.n from cut a join w b on a.rest = b.word
+             union select a.word, b.word, b.n from w a join cut b on b.rest = a.word),
+    best as (select word, count(*) as n_near, min((-near_n, near)) as best from pair group by word),
+    f as (select w.word, w.n, coalesce(n_near, 0) as n_near,
+                 case when -best[1] >= 2 * w.n then best[2] end as form, case when -best[1] >= 2 * w.n then -best[1] end as form_n
+          from w left join best using (word)),
+    chain as (with recursive step as (select word, form as last from f where form is not null
+              union all select step.word, f.form from step join f on f.word = step.last where f.form is not null)
+              select step.word, last as root from step join f on f.word = step.last where f.form is null)
+    select word, form, coalesce(root, word) as root, n, n_near, form_n from f left join chain using (word)"""
+
+
+def _language() -> str:
+    sizes = ", ".join(str(k) for k in range(2, LONGEST + 1))
+    return f"""
+    with d as (select row_number() over () as rid, doc_id, lang, regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+') as w,
+                 {_crc32(_octets("coalesce(doc_id::varchar, '')"))} % {FOLDS} = {HELD_OUT} as held_out from documents, {_CRC_TABLE}),
+    v as (select rid, word, count(*) as n from (select rid, unnest(w) as word from d) group by all),
+    k as (select word, unnest(flatten([string_split(word, '')] || list_transform([{sizes}], lambda k: list_transform(
+                 generate_series(1, length(word) + 3 - k), lambda i: substr('_' || word || '_', i, k))))) as gram
+          from (select distinct word from v)),
+    c as (select rid, gram, sum(n)::bigint as n from v join k using (word) group by all),
+    mine as (select rid, gram, place from (select rid, gram, row_number() over (partition by rid order by n desc, gram) - 1 as place from c) where place < {PROFILE}),
+    learned as (select lang, gram, sum(n) as n from c join d using (rid) where not held_out and lang is not null group by all),
+    profile as (select lang, gram, place from (select lang, gram, row_number() over (partition by lang order by n desc, gram) - 1 as place from learned) where place < {PROFILE}),
+    size as (select rid, count(*) as m from mine group by rid),
+    hit as (select rid, lang, sum({PROFILE} - abs(mine.place - profile.place)) as nearer from mine join profile using (gram) group by all),
+    away as (select size.rid, m, l.lang, {PROFILE} * m - coalesce(nearer, 0) as distance
+             from size cross join (select distinct lang from profile) l left join hit on hit.rid = size.rid and hit.lang = l.lang),
+    best as (select rid, min((distance, lang)) as best, any_value(m) as m from away group by rid)
+    select doc_id, held_out, coalesce(best[2], '{UNKNOWN}') as lang_pred, coalesce(1 - best[1]::double / ({PROFILE} * m)::double, 0.0) as score
+    from d left join best using (rid)"""
+
+
 ORACLES: dict[str, str] = {
     "op1_deletion_line_dedup": _lines(),
     "op5_extendible_shards": _sharding(),
@@ -141,4 +231,7 @@ ORACLES: dict[str, str] = {
     "op8_quality_rules": _quality(),
     "op9_block_max_search": _search(),
     "op10_perspective_rotation": _chat(),
+    "op11_cube_source_divergence": _divergence(),
+    "op12_partenum_spelling_variants": _spelling(),
+    "op13_rank_order_language": _language(),
 }

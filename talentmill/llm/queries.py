@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .bpe import encode
 from .chat import rotate_perspectives
 from .common import read
+from .divergence import source_divergence
+from .langid import identify_language
 from .lines import dedup_lines
 from .minhash import near_duplicates
 from .packing import pack
@@ -18,6 +20,7 @@ from .pii import KINDS, find_pii, span_list
 from .quality import quality_rules
 from .search import top_documents
 from .sharding import assign_shards
+from .spelling import spelling_variants
 from .substrings import drop_repeated_windows
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -80,6 +83,18 @@ def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(read(spark, sf_dir, "conversations"))
 
 
+def op11_cube_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(read(spark, sf_dir, "documents"))
+
+
+def op12_partenum_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read(spark, sf_dir, "documents"))
+
+
+def op13_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_deletion_line_dedup": op1_deletion_line_dedup,
     "op2_pii_boosted_candidates": op2_pii_boosted_candidates,
@@ -91,4 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_block_max_search": op9_block_max_search,
     "op10_perspective_rotation": op10_perspective_rotation,
+    "op11_cube_source_divergence": op11_cube_source_divergence,
+    "op12_partenum_spelling_variants": op12_partenum_spelling_variants,
+    "op13_rank_order_language": op13_rank_order_language,
 }

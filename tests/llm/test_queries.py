@@ -43,7 +43,7 @@ def test_query_equals_sql(spark, small_dir, con, name):
 
 
 def test_there_is_one_query_for_each_operator():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
 
 
 def test_round_trip_equals_the_tokenizer(spark, small_dir, tokens):
