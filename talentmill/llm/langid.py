@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +20,17 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, stored
 
 #: Longest n-gram, and n-grams in a profile; an n-gram that a profile lacks is so many places off.
-LONGEST, PROFILE = 4, 400
+LONGEST, PROFILE = 3, 300
 #: Languages whose profiles are broadcast at a time: about 10 MB.
 LANGUAGES = 256
 #: One document in so many is held out.
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
-#: Words held by a counting task before it hands its n-grams on.
+#: Texts and characters whose n-grams are counted at a time; a longer text than LONG_TEXT is counted word by word.
+GROUP_TEXTS, GROUP_CHARS, LONG_TEXT = 128, 300_000, 2_000_000
+#: Possible n-grams of an alphabet up to which a table holds them all.
+DENSE = 1 << 21
+#: n-grams held by a counting task before it hands its counts on.
 HELD = 200_000
 
 _WORD_LIKE = re.compile(r"[^\W\d_]+")
@@ -41,7 +44,6 @@ def words_in(text: str | None) -> list[str]:
     return found if "".join(found).isalpha() else _LETTERS.findall((text or "").lower())
 
 
-@lru_cache(maxsize=100_000)
 def grams_of(word: str) -> tuple[str, ...]:
     """All n-grams of a word between blanks, shown as `_`; a lone blank is none."""
     w = f"_{word}_"
@@ -51,7 +53,7 @@ def grams_of(word: str) -> tuple[str, ...]:
 def gram_counts(words: Counter) -> Counter:
     counts: Counter = Counter()
     for word, n in words.items():
-        for g in grams_of(word) if len(word) <= 40 else grams_of.__wrapped__(word):
+        for g in grams_of(word):
             counts[g] += n
     return counts
 
@@ -61,27 +63,116 @@ def ranked(counts: Counter) -> list[str]:
     return sorted(sorted(counts), key=counts.__getitem__, reverse=True)[:PROFILE]
 
 
+def _letter_table(held: list = []) -> np.ndarray:  # noqa: B006
+    """For each 16-bit code, whether it is a letter."""
+    if not held:
+        held.append(np.array([chr(c).isalpha() for c in range(1 << 16)]))
+    return held[0]
+
+
+def quick(text: str) -> bool:
+    """Whether gram_matrix can count a lower-cased text: not too long, and no letter beyond 16 bits."""
+    if len(text) > LONG_TEXT:
+        return False
+    return text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text) or not any(c > "\uffff" and c.isalpha() for c in text)
+
+
+def gram_matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams of quick lower-cased texts in code-point order, as packed numbers, and a row of their counts for each text.
+
+    Letters and the blanks beside them stay; an n-gram is a window whose inner characters are letters.
+    """
+    data = [t.encode("utf-16-le") for t in texts]
+    codes = np.frombuffer(b"\n\0" + b"\n\0".join(data) + b"\n\0", "<u2")
+    letter = _letter_table()[codes]
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    keep[:-1] |= letter[1:]
+    doc = np.repeat(np.arange(len(texts) + 1), [*(len(d) // 2 + 1 for d in data), 1])[keep]
+    codes, letter = np.where(letter, codes, ord("_"))[keep], letter[keep]
+    if not letter.any():
+        return np.zeros(0, np.uint64), np.zeros((len(texts), 0))
+    used = np.zeros(1 << 16, bool)
+    used[codes] = True
+    alphabet = np.flatnonzero(used)
+    base = len(alphabet) + 1
+    rank = np.cumsum(used)[codes]
+    ids, docs = [], []
+    value, inner = np.zeros(len(codes), np.int64), np.ones(len(codes), bool)
+    for k in range(1, LONGEST + 1):
+        n = len(codes) - k + 1
+        value = value[:n] * base + rank[k - 1:]
+        if k > 2:
+            inner = inner[:n] & letter[k - 2:k - 2 + n]
+            starts = np.flatnonzero(inner)
+            docs.append(doc[starts + 1])
+        elif k == 2:
+            starts = np.flatnonzero(letter[:-1] | letter[1:])
+            docs.append(np.where(letter[starts], doc[starts], doc[starts + 1]))
+        else:
+            starts = np.flatnonzero(letter)
+            docs.append(doc[starts])
+        ids.append(value[starts] * base ** (LONGEST - k))
+    ids, docs = np.concatenate(ids), np.concatenate(docs)
+    if base ** LONGEST <= DENSE:
+        there = np.zeros(base ** LONGEST, bool)
+        there[ids] = True
+        distinct, which = np.flatnonzero(there), (np.cumsum(there) - 1)[ids]
+    else:
+        distinct, which = np.unique(ids, return_inverse=True)
+    counts = np.bincount(docs * len(distinct) + which, minlength=len(texts) * len(distinct)).reshape(len(texts), -1)
+    packed, letters = np.zeros(len(distinct), np.uint64), np.append(0, alphabet).astype(np.uint64)
+    for k in range(LONGEST):
+        packed |= letters[distinct // base ** (LONGEST - 1 - k) % base] << np.uint64(48 - 16 * k)
+    return packed, counts
+
+
+def unpacked(gram: int) -> str:
+    return "".join(chr(c) for k in range(48, -1, -16) if (c := gram >> k & 0xFFFF))
+
+
+def _groups(texts: list[str]) -> Iterator[list[int]]:
+    """Texts in groups whose counts fit in memory."""
+    group: list[int] = []
+    size = 0
+    for i, text in enumerate(texts):
+        if group and (len(group) >= GROUP_TEXTS or size + len(text) > GROUP_CHARS):
+            yield group
+            group, size = [], 0
+        group.append(i)
+        size += len(text)
+    if group:
+        yield group
+
+
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, Counter] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for lang, words in held.items():
-            counts = gram_counts(words)
+        for lang, counts in held.items():
             yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
-                names=["lang", "gram", "n"])
+                pa.array([lang] * len(counts), pa.string()), pa.array([g if isinstance(g, str) else unpacked(g) for g in counts], pa.string()),
+                pa.array(list(counts.values()), pa.int64())], names=["lang", "gram", "n"])
         held.clear()
 
-    size = 0
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = held.setdefault(lang, Counter())
-            before = len(words)
-            words.update(words_in(text))
-            size += len(words) - before
-            if size >= HELD:
+        texts = [(t or "").lower() for t in batch.column(1).to_pylist()]
+        langs = batch.column(0).to_pylist()
+        plain = [i for i, t in enumerate(texts) if not quick(t)]
+        for i in plain:
+            held.setdefault(langs[i], Counter()).update(gram_counts(Counter(words_in(texts[i]))))
+            texts[i] = ""
+        for group in _groups(texts):
+            packed, counts = gram_matrix([texts[i] for i in group])
+            kinds, of = np.unique(np.array([langs[i] for i in group], object), return_inverse=True)
+            for k, lang in enumerate(kinds):
+                n = counts[of == k].sum(0)
+                some = np.flatnonzero(n)
+                counter = held.setdefault(lang, Counter())
+                for g, c in zip(packed[some].tolist(), n[some].tolist()):
+                    counter[g] += c
+            if sum(map(len, held.values())) >= HELD:
                 yield from flush()
-                size = 0
     yield from flush()
 
 
@@ -91,8 +182,18 @@ def language_profiles(docs: DataFrame, text: str = "text", lang: str = "lang") -
     known = docs.where(docs[lang].isNotNull()).select(docs[lang].cast("string").alias("lang"), docs[text].alias("text"))
     counts = known.mapInArrow(_learn, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    places = counts.withColumn("place", F.row_number().over(order) - 1)
-    return places.where(F.col("place") < PROFILE).select("lang", "gram", "place")
+    places = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PROFILE)
+    return places.select("lang", "gram", (F.col("place") - 1).alias("place"))
+
+
+def _top(items: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The PROFILE items of greatest count, greatest first, equal ones in their order."""
+    if len(items) > PROFILE:
+        least = np.partition(counts, len(counts) - PROFILE)[len(counts) - PROFILE]
+        above, equal = counts > least, items[counts == least]
+        ahead = items[above][np.argsort(-counts[above], kind="stable")]
+        return np.concatenate([ahead, equal[:PROFILE - len(ahead)]])
+    return items[np.argsort(-counts, kind="stable")]
 
 
 class _Profiles:
@@ -108,27 +209,52 @@ class _Profiles:
         for lang, gram, place in rows:
             self.places[self.at[gram], column[lang]] = place
 
-    def nearest(self, grams: list[str]) -> tuple[int, str]:
-        """Least out-of-place distance, and its language (ties: the first in order)."""
-        found = [(r, k) for r, g in enumerate(grams) if (k := self.at.get(g)) is not None]
-        distance = np.full(len(self.langs), PROFILE * (len(grams) - len(found)))
-        if found:
-            rank, row = np.array(found).T
-            places = self.places[row]
-            distance = distance + np.where(places < 0, PROFILE, np.abs(places - rank[:, None])).sum(0)
-        best = int(np.argmin(distance))
-        return int(distance[best]), self.langs[best]
+        packed = sorted((sum(ord(c) << (48 - 16 * k) for k, c in enumerate(g)), i) for g, i in self.at.items() if max(g) <= "\uffff")
+        self.packed = np.array([g for g, _ in packed], np.uint64)
+        self.row = np.array([i for _, i in packed], np.int64)
+
+    def rows_of(self, grams: np.ndarray) -> np.ndarray:
+        """Places of packed n-grams in every profile, -1 where it lacks them."""
+        out = np.full((len(grams), len(self.langs)), -1)
+        if len(self.packed):
+            at = np.minimum(np.searchsorted(self.packed, grams), len(self.packed) - 1)
+            known = self.packed[at] == grams
+            out[known] = self.places[self.row[at[known]]]
+        return out
+
+    def nearest(self, places: np.ndarray) -> tuple[int, str]:
+        """Least out-of-place distance of ranked n-grams, given their places, and its language (ties: the first in order)."""
+        away = np.where(places < 0, PROFILE, np.abs(places - np.arange(len(places))[:, None])).sum(0)
+        best = int(np.argmin(away))
+        return int(away[best]), self.langs[best]
+
+    def judge(self, texts: list[str | None]) -> list[tuple[int, str, int] | None]:
+        """For each text: distance, language and number of n-grams; nothing where it has none."""
+        texts = [(t or "").lower() for t in texts]
+        out: list = [None] * len(texts)
+        for i in [i for i, t in enumerate(texts) if not quick(t)]:
+            if grams := ranked(gram_counts(Counter(words_in(texts[i])))):
+                out[i] = (*self.nearest(np.array([self.places[self.at[g]] if g in self.at else [-1] * len(self.langs) for g in grams])), len(grams))
+            texts[i] = ""
+        for group in _groups(texts):
+            packed, counts = gram_matrix([texts[i] for i in group])
+            places = self.rows_of(packed)
+            for i, row in zip(group, counts):
+                some = np.flatnonzero(row)
+                if len(some):
+                    top = _top(some, row[some])
+                    out[i] = (*self.nearest(places[top]), len(top))
+        return out
 
 
 def _score(profiles) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            texts, langs, distances = (batch.column(c).to_pylist() for c in ("text", "lang", "distance"))
             rows = []
-            for text, lang, distance in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "distance"))):
-                grams = ranked(gram_counts(Counter(words_in(text))))
-                if grams:
-                    here = profiles.value.nearest(grams)
-                    rows.append((*(here if distance is None else min(here, (distance, lang))), PROFILE * len(grams)))
+            for here, lang, distance in zip(profiles.value.judge(texts), langs, distances):
+                if here:
+                    rows.append((*(here[:2] if distance is None else min(here[:2], (distance, lang))), PROFILE * here[2]))
                 else:
                     rows.append((None, None, None))
             distance, lang, most = zip(*rows) if rows else ((), (), ())

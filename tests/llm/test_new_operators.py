@@ -193,6 +193,22 @@ def test_words_are_runs_of_letters():
     assert words_in(None) == words_in("²³ 12") == []
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from("abé_ \n1½Ⅷİ日本"), st.characters(exclude_categories=["Cs"])), max_size=30), min_size=1, max_size=4), st.booleans())
+def test_windows_count_what_words_count(texts, dense):
+    from unittest import mock
+    texts = [t.lower() for t in texts if langid.quick(t.lower())]
+    with mock.patch.object(langid, "DENSE", langid.DENSE if dense else 0):
+        packed, counts = langid.gram_matrix(texts) if texts else ([], [])
+    for text, row in zip(texts, counts):
+        assert {langid.unpacked(int(g)): n for g, n in zip(packed, row) if n} == gram_counts(Counter(langid._LETTERS.findall(text)))
+
+
+def test_letters_beyond_16_bits_are_counted_word_by_word(spark):
+    rows = [(0, "the 𐐨𐐩 garden 😀 is", "en", None), (3, "𐐨𐐩𐐨𐐩 𐐨𐐩", "xx", None), (2, "𐐨𐐩", None, None), (4, "the garden", "en", None)]
+    assert sorted(map(tuple, identify_language(table(spark, rows)).collect()), key=str) == plain_languages(rows)
+
+
 def test_language_without_anything_learned(spark):
     assert [tuple(r) for r in identify_language(table(spark, [(1, "text", None, None)])).collect()] == [(1, zlib.crc32(b"1") % 3 == 1, "und", 0.0)]
     assert identify_language(table(spark, [])).collect() == []
