@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,14 +33,14 @@ DENSE = 1 << 21
 HELD = 200_000
 
 _WORD_LIKE = re.compile(r"[^\W\d_]+")
-_LETTERS = regex.compile(r"\p{L}+")
 
 
 def words_in(text: str | None) -> list[str]:
     """Runs of letters, lower-cased."""
-    found = _WORD_LIKE.findall((text or "").lower())
+    text = (text or "").lower()
+    found = _WORD_LIKE.findall(text)
     # The quick pattern also takes numerals that are no digits.
-    return found if "".join(found).isalpha() else _LETTERS.findall((text or "").lower())
+    return found if "".join(found).isalpha() else "".join(c if c.isalpha() else " " for c in text).split()
 
 
 def grams_of(word: str) -> tuple[str, ...]:
