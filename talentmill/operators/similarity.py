@@ -56,11 +56,25 @@ def _distinct(rows: DataFrame) -> DataFrame:
     )
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
+def unit_rows(vectors: pd.Series) -> np.ndarray:
     m = np.stack(vectors.to_numpy()).astype(np.float64)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+def best_columns(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k best columns of each row, best first, equal ones by position; all columns if there are fewer."""
+    n = scores.shape[1]
+    if n > k:
+        least = np.partition(scores, n - k, axis=1)[:, n - k, None]
+        above, equal = scores > least, scores == least
+        room = k - above.sum(axis=1, keepdims=True)
+        chosen = np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= room)))[1].reshape(len(scores), k)
+    else:
+        chosen = np.broadcast_to(np.arange(n), scores.shape)
+    order = np.argsort(-np.take_along_axis(scores, chosen, axis=1), axis=1, kind="stable")
+    return np.take_along_axis(chosen, order, axis=1)
+
+
 def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
 
@@ -82,7 +96,7 @@ class _Cells:
         picked = rows.orderBy(F.xxhash64("id"), "id").limit(min(pivots, MAX_PIVOTS)).toPandas()
         self.empty = picked.empty
         self.block_rows = block_rows
-        self.pivots = np.zeros((0, 1)) if self.empty else _unit(picked["embedding"])
+        self.pivots = np.zeros((0, 1)) if self.empty else unit_rows(picked["embedding"])
         self.count = np.zeros(len(picked), dtype=np.int64)
         self.radius = np.zeros(len(picked))
         self.assigned = rows if self.empty else materialise(self._assign(rows), "cells")
@@ -97,7 +111,7 @@ class _Cells:
         def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if len(batch):
-                    angles = _angles(_unit(batch["embedding"]), pivots)
+                    angles = _angles(unit_rows(batch["embedding"]), pivots)
                     cell = angles.argmin(axis=1)
                     yield batch.assign(cell=cell, angle=angles[np.arange(len(batch)), cell])
 
@@ -114,7 +128,7 @@ class _Cells:
             for batch in batches:
                 if not len(batch):
                     continue
-                low = np.maximum(0.0, _angles(_unit(batch["embedding"]), pivots) - radius)
+                low = np.maximum(0.0, _angles(unit_rows(batch["embedding"]), pivots) - radius)
                 low[:, count == 0] = np.inf
                 cells = [np.flatnonzero(row).astype(np.int32) for row in choose(low, batch)]
                 yield batch[["id", "embedding", "copies"]].assign(cells=cells)
@@ -150,7 +164,7 @@ class _Cells:
 
 def _similarities(q: pd.DataFrame, c: pd.DataFrame) -> np.ndarray:
     """Cosines with six decimals."""
-    return np.round(_unit(q["embedding"]) @ _unit(c["embedding"]).T, 6)
+    return np.round(unit_rows(q["embedding"]) @ unit_rows(c["embedding"]).T, 6)
 
 
 def _search(queries: DataFrame, corpus: DataFrame, k: int, pivots: int | None, block_rows: int) -> DataFrame:
@@ -170,7 +184,7 @@ def _search(queries: DataFrame, corpus: DataFrame, k: int, pivots: int | None, b
             return pd.DataFrame({"id": [], "neighbour": [], "similarity": []})
         c = c.sort_values("id", kind="stable")
         s = _similarities(q, c)
-        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        order = best_columns(s, k)
         return pd.DataFrame({
             "id": np.repeat(q["id"].to_numpy(), order.shape[1]),
             "neighbour": c["id"].to_numpy()[order].ravel(),

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import money
 from ..operators.aggregates import margin_leakage_clients
+from ..operators.eligibility import eligible_topk
 from ..operators.joins import join_per_key
-from ..operators.similarity import cosine_topk
 from ..schemas import STAGES
 
 
@@ -65,11 +65,8 @@ def match_scores(placements: DataFrame, candidates: DataFrame, jobs: DataFrame)
 
 
 def best_candidates(jobs: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """The k candidates nearest to every open job by embedding, from tables with (id, embedding)."""
-    open_jobs = jobs.where(F.col("status") == "open").select("id", "embedding")
-    return cosine_topk(candidates.select("id", "embedding"), k, queries=open_jobs).select(
-        F.col("id").alias("job_id"), "rank", F.col("neighbour").alias("candidate_id"), "similarity"
-    )
+    """The k eligible candidates nearest to every open job by embedding; see operators.eligibility for the terms."""
+    return eligible_topk(jobs.where(F.col("status") == "open"), candidates, k)
 
 
 def refresh_clients(clients: DataFrame, jobs: DataFrame, placements: DataFrame) -> DataFrame:

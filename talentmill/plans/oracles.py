@@ -745,7 +745,12 @@ add("best_candidates", "jobs candidates", f"""
     cl AS (SELECT candidate_id, sqrt(sum(weight * weight)) AS l FROM cw GROUP BY candidate_id),
     d AS (SELECT job_id, candidate_id, sum(jw.weight * cw.weight) AS dot FROM jw JOIN cw ON jw.bucket = cw.bucket GROUP BY ALL),
     p AS (SELECT job_id, candidate_id, round(coalesce(dot, 0) / (jl.l * cl.l), 6) AS similarity
-          FROM jl CROSS JOIN cl LEFT JOIN d USING (job_id, candidate_id))
+          FROM jl CROSS JOIN cl LEFT JOIN d USING (job_id, candidate_id)
+          JOIN jobs j ON j.id = job_id JOIN candidates c ON c.id = candidate_id
+          WHERE (j.visa_requirement IS NULL OR j.visa_requirement = c.visa_status)
+            AND coalesce(c.yoe, 0) >= coalesce(j.min_yoe, coalesce(c.yoe, 0)) AND coalesce(c.yoe, 0) <= coalesce(j.max_yoe, coalesce(c.yoe, 0))
+            AND (j.rate_max IS NULL OR c.rate <= j.rate_max)
+            AND (len(j.required_skills) = 0 OR list_has_any(j.required_skills, c.skills)))
     SELECT job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY similarity DESC, candidate_id) AS INT) AS rank,
            candidate_id, similarity FROM p QUALIFY rank <= 3""")
 add("client_refresh", "clients jobs placements", """

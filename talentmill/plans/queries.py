@@ -639,10 +639,8 @@ def best_candidates(spark, sf):
         F.lit(None).cast("string"), F.col("skills"), F.col("location"), F.col("visa_status"), F.col("yoe")
     )
     job_vectors = vectors.hash_embed(jobs.where(F.col("status") == "open").select("id", job_text.alias("text")))
-    return insights.best_candidates(
-        job_vectors.withColumn("status", F.lit("open")),
-        vectors.hash_embed(people.select("id", person_text.alias("text"))), 3,
-    )
+    person_vectors = vectors.hash_embed(people.select("id", person_text.alias("text")))
+    return insights.best_candidates(jobs.join(job_vectors, "id"), people.join(person_vectors, "id"), 3)
 
 
 @query

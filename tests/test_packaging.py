@@ -23,3 +23,17 @@ def test_python_jobs_from_a_foreign_folder(tmp_path, small_dir):
     code = JOB.format(root=ROOT, data=small_dir, shared=str(tmp_path / "shared"))
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "ROWS True True" in done.stdout, done.stderr[-2000:]
+
+
+def test_queries_without_the_training_data_packages():
+    """Where an import of the optional operators fails, the other queries are still there."""
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+sys.modules["public_tokenizers"] = None
+from __spark_entry__ import oracle_sql, queries
+print("QUERIES", len(queries()), len(oracle_sql()), any(q[:2] == "op" and q[2].isdigit() for q in queries()))
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    from talentmill.plans.queries import QUERIES
+    assert f"QUERIES {len(QUERIES)} {len(QUERIES)} False" in done.stdout, done.stderr[-2000:]
