@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Collection, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import TABLES, Table
+from ..session import materialise
+from .writes import net_changes
 
 
 def _row_rules(df: DataFrame, name: str, table: Table) -> DataFrame | None:
@@ -124,3 +127,71 @@ def split_insertable(
             marks.append(F.when(F.col(c).isNotNull() & F.col(f"_parent_{c}").isNull(), F.lit(f"{c} in {parent}")))
     good, bad = _split(checks, marks)
     return good.select(*batch.columns), broken.unionByName(bad.select(*batch.columns, "broken_rules"))
+
+
+def _links_checked(changes: DataFrame, name: str, fields: Collection[str], parents: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Changes that set no link without a parent, and the rest with the broken rules."""
+    marks, checks = [], changes
+    for c, parent in TABLES[name].links.items():
+        if c in fields and parent in parents:
+            ids = parents[parent].select(F.col("id").alias(f"_parent_{c}")).distinct()
+            checks = checks.join(ids, F.col(c) == F.col(f"_parent_{c}"), "left")
+            lost = F.array_contains("set_fields", c) & F.col(c).isNotNull() & F.col(f"_parent_{c}").isNull()
+            marks.append(F.when(lost, F.lit(f"{c} in {parent}")))
+    good, bad = _split(checks, marks)
+    return good.select(*changes.columns), bad.select(*changes.columns, "broken_rules")
+
+
+def _unique_conflicts(changes: DataFrame, columns: list[str], stored: DataFrame) -> DataFrame:
+    """Columns id, column: the keys whose net change may not take the value of a unique column.
+
+    Two sides of each value meet before any stored row is asked for: the rows that take it and
+    those that give it up. Of several takers the smallest id counts. A taker is refused if a row that does not
+    move holds the value; and a refused row gives nothing up, so whoever takes its old value is refused too, and so on.
+    """
+    # net_changes over the rows that set a unique column; moves are small: one row per key and column that changes.
+    net = net_changes(changes, columns)
+    moves = []
+    for c in columns:
+        moved = net.where(F.col(f"_set_{c}")).join(stored.select("id", F.col(c).alias("_old")), "id")
+        moves.append(moved.select("id", F.lit(c).alias("column"), F.col("_old").cast("string").alias("old"),
+                                  F.col(f"_new_{c}").cast("string").alias("new")).where("not (old <=> new)"))
+    moves = materialise(reduce(DataFrame.union, moves), "moves")
+    takers = moves.where("new is not null").groupBy("column", "new").agg(F.min("id").alias("first"))
+    late = moves.join(takers, ["column", "new"]).where("id <> first").select("id", "column")
+    held = [stored.select("id", F.lit(c).alias("column"), F.col(c).cast("string").alias("new")).where("new is not null") for c in columns]
+    held = reduce(DataFrame.union, held).join(takers, ["column", "new"]).where("id <> first")
+    stays = held.join(moves.select("id", "column"), ["id", "column"], "left_anti").select(F.col("first").alias("id"), "column")
+    refused = materialise(late.union(stays).distinct(), "refused")
+    found = refused
+    while not refused.isEmpty():
+        kept = moves.join(refused.select("id").distinct(), "id", "left_semi").select("column", F.col("old").alias("new"))
+        chain = moves.join(kept.where("new is not null").distinct(), ["column", "new"], "left_semi").select("id", "column")
+        refused = materialise(chain.join(found, ["id", "column"], "left_anti").distinct(), "refused")
+        found = materialise(found.union(refused), "refused-all")
+    return found
+
+
+def split_updates(
+    changes: DataFrame, name: str, fields: Collection[str], stored: DataFrame, parents: Mapping[str, DataFrame],
+) -> tuple[DataFrame, DataFrame]:
+    """Changes (id, set_fields, changed_at, seq, fields...) that may be applied to the stored rows, and the rest with the broken rules.
+
+    Beyond split_changes: a link needs its parent, and after the whole batch a unique column holds each value once. A row
+    that moves away frees its value for another of the same batch. Where a key's net change is refused, all its
+    changes of unique columns are; of several keys that take one value only the smallest may.
+    """
+    valid, broken = split_changes(changes, name, fields)
+    valid, lost = _links_checked(valid, name, fields, parents)
+    broken = broken.unionByName(lost)
+    columns = [c for c in TABLES[name].unique if c != "id" and c in fields]
+    if not columns:
+        return valid, broken
+    taken = _unique_conflicts(valid.where(F.arrays_overlap("set_fields", F.array(*map(F.lit, columns)))), columns, stored)
+    rules = taken.groupBy("id").agg(F.sort_array(F.collect_set(F.concat("column", F.lit(" unique")))).alias("_rules"))
+    checked = valid.join(rules, "id", "left").withColumn(
+        "_refused", F.col("_rules").isNotNull() & F.arrays_overlap("set_fields", F.array(*map(F.lit, columns))))
+    return (
+        checked.where("not _refused").select(*changes.columns),
+        broken.unionByName(checked.where("_refused").select(*changes.columns, F.col("_rules").alias("broken_rules"))),
+    )

@@ -525,12 +525,29 @@ add("insert_rejects", "recruiters clients", """
                  CASE WHEN p_partkey * 3 NOT IN (SELECT id FROM clients) THEN 'client_id in clients' END AS link FROM part)
     SELECT 'recruiters' AS "table", k AS "order", rules FROM r WHERE rules IS NOT NULL
     UNION ALL SELECT 'jobs', k, CASE WHEN own <> '' THEN own ELSE link END FROM j WHERE own <> '' OR link IS NOT NULL""")
-add("update_rejects", "", """
+add("update_rejects", "recruiters clients", """
     WITH x AS (SELECT user_id AS id, event_id AS seq, concat_ws(',',
         CASE WHEN event_id % 3 <> 0 AND event_id % 5 = 0 THEN 'name not null' END,
         CASE WHEN event_id % 3 = 0 AND event_id % 4 = 0 THEN 'visa_status in domain' END,
-        CASE WHEN event_id % 3 = 1 AND event_id % 60 > 32 THEN 'phone length <= 32' END) AS rules FROM events)
-    SELECT * FROM x WHERE rules <> ''""")
+        CASE WHEN event_id % 3 = 1 AND event_id % 60 > 32 THEN 'phone length <= 32' END) AS rules FROM events),
+    c AS (SELECT event_id % 40 AS id, event_id AS seq, ts, CASE WHEN event_id % 11 <> 0 THEN 'nation_' || (event_id * 7 % 34) || '@example.com' END AS email
+          FROM events WHERE event_id % 40 < 15 AND event_id % 3 <> 0),
+    net AS (SELECT id, email AS new FROM c WHERE email IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC, seq DESC) = 1),
+    moves AS (SELECT net.id, r.email AS old, new FROM net JOIN recruiters r ON r.id = net.id WHERE r.email IS DISTINCT FROM new),
+    refused AS (WITH RECURSIVE f AS (
+        SELECT id FROM moves m WHERE EXISTS (SELECT 1 FROM moves o WHERE o.new = m.new AND o.id < m.id)
+            OR EXISTS (SELECT 1 FROM recruiters r WHERE r.email = m.new AND r.id <> m.id AND r.id NOT IN (SELECT id FROM moves))
+        UNION SELECT m.id FROM f JOIN moves k ON k.id = f.id JOIN moves m ON m.new = k.old) SELECT id FROM f),
+    j AS (SELECT event_id % 500 AS id, event_id AS seq, CASE WHEN event_id % 7 <> 0 THEN event_id * 3 END AS client_id FROM events WHERE event_id % 5 <> 0)
+    SELECT 'candidates' AS "table", id, seq, rules FROM x WHERE rules <> ''
+    UNION ALL SELECT 'recruiters', id, seq, CASE WHEN email IS NULL THEN 'email not null' ELSE 'email unique' END FROM c
+        WHERE email IS NULL OR id IN (SELECT id FROM refused)
+    UNION ALL SELECT 'jobs', id, seq, CASE WHEN client_id IS NULL THEN 'client_id not null' ELSE 'client_id in clients' END FROM j
+        WHERE client_id IS NULL OR client_id NOT IN (SELECT id FROM clients)""")
+ORACLES["written_updates"] = ORACLES["upsert_entities"]
+add("written_reset", "clients", """
+    SELECT name AS "table", CASE WHEN name = 'clients' THEN (SELECT count(*) FROM clients) ELSE 0 END AS n_rows
+    FROM (SELECT unnest(['clients', 'recruiters', 'candidates', 'jobs', 'placements', 'timesheets', 'payroll', 'predictions']) AS name)""")
 add("written_predictions", "predictions", "SELECT id, entity_type, entity_id, score FROM predictions WHERE model_name = 'purchase'")
 add("stored_embeddings", "", """
     WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN list_reverse(embedding) ELSE embedding END AS v FROM embeddings),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from ..sources import star_views as v
 from ..sources import tables
 from ..streaming import jobs as streams
 from . import insights
+from .warehouse import Warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -428,8 +430,53 @@ def update_rejects(spark, sf):
         .otherwise(F.array(F.lit("name"))).alias("set_fields"),
         F.when(e % 4 == 0, F.lit("martian")).otherwise(F.lit("gc")).alias("visa_status"),
         F.when(e % 5 != 0, F.col("event_type")).alias("name"), F.repeat(F.lit("5"), (e % 60).cast("int")).alias("phone"))
-    return quality.split_changes(changes, "candidates", ["visa_status", "name", "phone"])[1].select(
-        "id", "seq", F.array_join("broken_rules", ",").alias("rules"))
+    candidates = quality.split_changes(changes, "candidates", ["visa_status", "name", "phone"])[1]
+    people = quality.split_updates(_recruiter_changes(spark, sf), "recruiters", ["email", "team"], v.recruiters(spark, sf), {})[1]
+    e = F.col("event_id")
+    moved = v.table(spark, sf, "events").select(
+        (e % 500).alias("id"), e.alias("seq"), F.col("ts").cast("timestamp").alias("changed_at"),
+        F.when(e % 5 == 0, F.array(F.lit("location"))).otherwise(F.array(F.lit("client_id"))).alias("set_fields"),
+        F.when(e % 7 != 0, e * 3).alias("client_id"), F.lit("here").alias("location"))
+    jobs = quality.split_updates(moved, "jobs", ["client_id", "location"], v.jobs(spark, sf), {"clients": v.clients(spark, sf).select("id")})[1]
+    return reduce(DataFrame.union, [
+        rows.select(F.lit(name).alias("table"), "id", "seq", F.array_join("broken_rules", ",").alias("rules"))
+        for name, rows in (("candidates", candidates), ("recruiters", people), ("jobs", jobs))])
+
+
+def _recruiter_changes(spark, sf) -> DataFrame:
+    """Some recruiters change their team or take a mail, of which some are held, freed or wanted by several."""
+    e = F.col("event_id")
+    return v.table(spark, sf, "events").where("event_id % 40 < 15 or event_id % 3 = 0").select(
+        (e % 40).alias("id"), e.alias("seq"), F.col("ts").cast("timestamp").alias("changed_at"),
+        F.when(e % 3 == 0, F.array(F.lit("team"))).otherwise(F.array(F.lit("email"))).alias("set_fields"),
+        F.when(e % 11 != 0, F.concat(F.lit("nation_"), (e * 7 % 34).cast("string"), F.lit("@example.com"))).alias("email"),
+        F.lit("new").alias("team"))
+
+
+@query
+def written_updates(spark, sf):
+    """Candidates written in id buckets, updated there in two batches, and read back."""
+    house = Warehouse(spark, shared_dir(spark, "updated"))
+    rows = v.candidates(spark, sf).withColumn("updated_at", F.col("created_at"))
+    tables.append_rows(writes.with_defaults(rows, TABLES["candidates"]), house.root, "candidates")
+    changes = _candidate_changes(spark, sf)
+    for part in (0, 1):
+        house.update_candidates(changes.where(F.col("id") % 2 == part), ["location", "rate"])
+    return house.table("candidates").select("id", "name", "location", "rate", "updated_at")
+
+
+@query
+def written_reset(spark, sf):
+    """Rows per table after two tables were written, all were emptied, and one was written again."""
+    house = Warehouse(spark, shared_dir(spark, "reset"))
+    filled = {n: writes.with_defaults(rows, TABLES[n]) for n, rows in (
+        ("clients", v.clients(spark, sf)), ("recruiters", v.recruiters(spark, sf)))}
+    for name, rows in filled.items():
+        tables.append_rows(rows, house.root, name)
+    house.reset()
+    tables.append_rows(filled["clients"], house.root, "clients")
+    return reduce(DataFrame.union, [
+        house.table(n).agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("table"), "n_rows") for n in TABLES if n != "users"])
 
 
 @query

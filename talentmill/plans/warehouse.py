@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partialmethod
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -120,13 +121,22 @@ class Warehouse:
         rows = writes.prediction_rows(scored, model_name, features)
         return self.create(rows, "predictions", ("entity_type", "entity_id", "model_name"))
 
+    def _write_changes(self, name: str, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Rewrite the id buckets that hold the keys, and publish them together."""
+        tables.bucketed(self.spark, self.root, name).update(keys, TABLES[name].schema, change)
+
     def update(self, changes: DataFrame, name: str, fields: list[str]) -> DataFrame:
-        """Apply keyed changes to a table; returns those without a row or with values that break a rule."""
+        """Apply keyed changes to a table; returns those without a row or that break a rule.
+
+        Checks cover values, links and unique columns (see quality.split_updates). Only the buckets of changed ids are written.
+        """
         current = self.table(name)
-        valid, broken = quality.split_changes(changes, name, fields)
+        parents = {p: self.table(p).select("id") for c, p in TABLES[name].links.items() if c in fields}
+        valid, broken = quality.split_updates(changes, name, fields, current, parents)
+        valid = materialise(valid, f"valid-{name}")
         lost = writes.unmatched_changes(current, valid).withColumn("broken_rules", F.array(F.lit("unknown id")))
         lost = materialise(lost.unionByName(broken), f"lost-{name}")
-        tables.replace_table(writes.apply_changes(current, valid, fields), self.root, name)
+        self._write_changes(name, valid, lambda rows: writes.apply_changes(rows, valid, fields))
         return lost
 
     def update_candidates(self, changes: DataFrame, fields: list[str]) -> DataFrame:
@@ -135,14 +145,14 @@ class Warehouse:
     def update_placement_stages(self, changes: DataFrame) -> DataFrame:
         current = self.table("placements")
         lost = materialise(writes.rejected_stages(current, changes), "lost-stages")
-        tables.replace_table(writes.change_stages(current, changes), self.root, "placements")
+        self._write_changes("placements", changes, lambda rows: writes.change_stages(rows, changes))
         return lost
 
     def flag_timesheet_anomalies(self, findings: DataFrame) -> DataFrame:
         """Flag the sheets with findings; returns the findings that match no sheet or several."""
         sheets = self.table("timesheets")
         lost = materialise(writes.rejected_findings(sheets, findings), "lost-findings")
-        tables.replace_table(writes.flag_anomalies(sheets, findings), self.root, "timesheets")
+        self._write_changes("timesheets", findings, lambda rows: writes.flag_anomalies(rows, findings))
         return lost
 
     def ingest_resumes(self, files: DataFrame, as_of_year: int) -> DataFrame:

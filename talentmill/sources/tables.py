@@ -7,32 +7,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import TABLES
-from ..session import materialise
+from .buckets import Bucketed
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A domain table with its fixed schema; no inference."""
-    return spark.read.schema(TABLES[name].schema).parquet(f"{root.rstrip('/')}/{name}")
+def bucketed(spark: SparkSession, root: str, name: str) -> Bucketed:
+    return Bucketed(spark, f"{root.rstrip('/')}/{name}")
 
 
-def _writer(df: DataFrame, name: str, mode: str):
-    writer = df.select(*TABLES[name].schema.names).write.mode(mode)
-    keys = TABLES[name].partition_by
-    return writer.partitionBy(*keys) if keys else writer
+def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A domain table with its fixed schema; no inference. A folder of plain Parquet files is read as it is."""
+    table, place = TABLES[name], bucketed(spark, root, name)
+    return place.read(table.schema) if place.exists else spark.read.schema(table.schema).parquet(place.folder)
 
 
 def append_rows(df: DataFrame, root: str, name: str) -> None:
-    _writer(df, name, "append").parquet(f"{root.rstrip('/')}/{name}")
-
-
-def replace_table(df: DataFrame, root: str, name: str) -> None:
-    """Overwrite a table with a version derived from itself.
-
-    The version is written to the shared folder first: a table cannot be overwritten
-    while it is read, and the staged copy stays complete if the overwrite fails.
-    """
-    staged = materialise(df, f"stage-{name}")
-    _writer(staged, name, "overwrite").parquet(f"{root.rstrip('/')}/{name}")
+    """Add rows: to the partitions of a table that has some, else to its id buckets."""
+    rows, keys = df.select(*TABLES[name].schema.names), TABLES[name].partition_by
+    if keys:
+        rows.write.mode("append").partitionBy(*keys).parquet(f"{root.rstrip('/')}/{name}")
+    else:
+        bucketed(df.sparkSession, root, name).append(rows)
 
 
 EMBEDDINGS = "id long, embedding array<float>, run long"
@@ -70,6 +64,11 @@ def reset_tables(spark: SparkSession, root: str) -> None:
     """Empty all tables but users."""
     for name, table in TABLES.items():
         if name != "users":
-            empty = spark.createDataFrame([], table.schema)
-            empty.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}")
+            if table.partition_by:
+                empty = spark.createDataFrame([], table.schema)
+                empty.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}")
+            else:
+                place = bucketed(spark, root, name)
+                place.clear()
+                place.expire()
             spark.createDataFrame([], EMBEDDINGS).write.mode("overwrite").parquet(_embeddings_path(root, name))
