@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -82,11 +83,39 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
 _intermediates: dict[str, list[str]] = {}
 
 
-def drop_intermediates(spark: SparkSession) -> None:
-    """Delete what this application has put into the shared folder; call it when results are read."""
-    for path in _intermediates.pop(spark.sparkContext.applicationId, []):
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+_once: dict[tuple[str, str], str] = {}
+
+
+def stored_once(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that many jobs of this application read: written to the shared folder at first use.
+
+    The key names all that the table depends on; its source must not change meanwhile.
+    """
+    place = (spark.sparkContext.applicationId, key)
+    rows = build()
+    if place not in _once:
+        path = shared_dir(spark, "once")
+        rows.write.parquet(path)
+        _once[place] = path
+    return spark.read.schema(rows.schema).parquet(_once[place])
+
+
+def drop_intermediates(spark: SparkSession, once: bool = True) -> None:
+    """Delete what this application has put into the shared folder; call it when results are read.
+
+    With once=False the tables of stored_once stay, for further jobs.
+    """
+    app = spark.sparkContext.applicationId
+    if once:
+        for place in [p for p in _once if p[0] == app]:
+            del _once[place]
+    kept = {path for (owner, _), path in _once.items() if owner == app}
+    for path in _intermediates.pop(app, []):
+        if path not in kept:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if kept:
+        _intermediates[app] = sorted(kept)
 
 
 def materialise(df: DataFrame, purpose: str) -> DataFrame:

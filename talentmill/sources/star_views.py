@@ -7,11 +7,14 @@ with the data. plans/oracles.py states the same views in SQL.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored_once
+
 SKILL_POOL = (
     "Python", "AWS", "Docker", "Sql", "React", "Kubernetes", "Java", "Spark", "Go", "Terraform",
 )
@@ -73,6 +76,15 @@ def _pay() -> Column:
     return _cents("l_extendedprice") * (F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)"))
 
 
+def _written(view: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A view that groups the whole fact table is written once per source folder, as a table of a warehouse would be."""
+    @wraps(view)
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return stored_once(spark, f"{view.__name__} of {sf_dir.rstrip('/')}", lambda: view(spark, sf_dir))
+
+    return read
+
+
 def _lines(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
     """Order lines summed per key: exact sums over all lines, and the largest line as `l` (ties by larger ids)."""
     return table(spark, sf_dir, "lineitem").groupBy(*keys).agg(
@@ -170,6 +182,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_written
 def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One placement per order with lines: rates of all its lines, candidate and job of the largest.
 
@@ -202,6 +215,7 @@ def _line_id() -> Column:
     return F.col("l_orderkey") * 10 + F.col("l_linenumber")
 
 
+@_written
 def payroll(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order and line number: sums of all such lines, contractor of the largest."""
     return _lines(spark, sf_dir, "l_orderkey", "l_linenumber").select(
@@ -214,6 +228,7 @@ def payroll(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_written
 def timesheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One sheet per order and line number, with the hours of all such lines."""
     hours = F.col("hours")
