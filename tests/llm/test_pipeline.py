@@ -15,7 +15,9 @@ from talentmill.llm.bpe import encoder  # noqa: E402
 
 
 def clean(i):
-    return " ".join(f"the word{chr(97 + i % 26)}{chr(97 + j % 26)}{chr(97 + j // 26)} of item{chr(97 + i)}q{chr(97 + j % 26)}" for j in range(40)) + "."
+    """Prose without a repeated three-word window, and without a shared one between texts."""
+    word = lambda *k: "".join(chr(97 + x % 26) for x in k)
+    return " ".join(f"the {word(i, j, 3 * j, i + j)}er of {word(j, i, 7 * j, 5)}ing {word(2 * i, j, 5 * j)}" for j in range(26)) + "."
 
 
 def test_stages_take_effect(spark):
