@@ -841,7 +841,12 @@ add("stream_without_duplicates", "fields", "SELECT event_id, event FROM fields")
 add("stream_incremental_embed", "", hashed(STREAM_DIM))
 # All windows, those still open at the end of the files too.
 add("stream_event_metrics", "fields", f"""
-    SELECT {ts("date_trunc('hour', ts)")} AS window_start, {ts("date_trunc('hour', ts) + INTERVAL 1 HOUR")} AS window_end, event,
+    WITH x AS (SELECT date_trunc('hour', ts) AS hour, event, error, took, CAST(greatest(floor(took * 1000), 0) AS BIGINT) AS us FROM fields),
+    y AS (SELECT *, CASE WHEN took IS NOT NULL THEN greatest(length(bin(us)) - 8, 0) END AS shift FROM x),
+    z AS (SELECT *, ((us >> shift) + 1 << shift) - 1 AS edge,
+                 row_number() OVER (PARTITION BY hour, event ORDER BY us) AS nth, count(took) OVER (PARTITION BY hour, event) AS n FROM y)
+    SELECT {ts("hour")} AS window_start, {ts("hour + INTERVAL 1 HOUR")} AS window_end, event,
            count(*) AS calls, count(error) AS errors,
-           CAST(sum(CAST(took AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS avg_ms, max(took) AS max_ms
-    FROM fields GROUP BY ALL""")
+           CAST(sum(CAST(took AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS avg_ms, max(took) AS max_ms,
+           min(CASE WHEN nth * 100 >= n * 95 THEN edge END) / 1000 AS p95_ms
+    FROM z GROUP BY hour, event""")

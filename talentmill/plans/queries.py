@@ -765,9 +765,8 @@ def _event_stream(spark, sf) -> DataFrame:
 @query
 def stream_event_metrics(spark, sf):
     path = shared_dir(spark, "stream")
-    metrics = streams.event_metrics(_event_stream(spark, sf))
-    streams.run_updates(metrics, f"{path}/out", f"{path}/checkpoint")
-    return streams.newest_state(spark, f"{path}/out", ["window_start", "window_end", "event"]).drop("p95_ms")
+    streams.run_updates(streams.event_histogram(_event_stream(spark, sf)), f"{path}/out", f"{path}/checkpoint")
+    return streams.event_metrics(streams.newest_state(spark, f"{path}/out", ["window_start", "window_end", "event", "bin"]))
 
 
 @query

@@ -28,11 +28,11 @@ def test_metrics_stream_equals_batch_on_closed_windows(spark, tmp_path):
     for part in range(4):
         write(src, f"{part}.json", [event(i, error="x" if i % 7 == 0 else None) for i in range(part * 100, part * 100 + 100)])
     out, check = str(tmp_path / "out"), str(tmp_path / "check")
-    jobs.run_available(jobs.event_metrics(logs.stream_events(spark, str(src), 1)), out, check)
-    batch = jobs.event_metrics(logs.read_events(spark, str(src)))
+    jobs.run_available(jobs.event_histogram(logs.stream_events(spark, str(src), 1)), out, check)
+    batch = jobs.event_metrics(jobs.event_histogram(logs.read_events(spark, str(src))))
     closed = batch.where(F.col("window_end") <= F.lit("2024-01-01 06:29:00").cast("timestamp"))
     key = ["window_start", "window_end", "event", "calls", "errors", "avg_ms", "max_ms", "p95_ms"]
-    got = sorted(map(tuple, spark.read.parquet(out).select(key).collect()))
+    got = sorted(map(tuple, jobs.event_metrics(spark.read.parquet(out)).select(key).collect()))
     assert got == sorted(map(tuple, closed.select(key).collect())) and len(got) == 6
 
 
@@ -78,3 +78,16 @@ def test_incremental_embedding_is_idempotent(spark, tmp_path):
     load("fresh-check")  # a lost checkpoint replays every file
     assert stored() == list(range(35))
     assert jobs.read_store(spark, store).columns == ["id", "embedding"]
+
+
+def test_p95_lies_within_its_stated_error(spark):
+    values = [0.0, -1.0, 0.0004, 0.25, 0.255, 0.256, 1.0, 3.25, 17.0, 999.9, 65536.0, 1e9, None]
+    rows = spark.createDataFrame([(x,) for x in values], "x double").select(
+        "x", jobs.duration_bin(F.col("x")).alias("bin"), jobs.upper_edge_ms(jobs.duration_bin(F.col("x"))).alias("edge"))
+    got = {r.x: r for r in rows.collect()}
+    assert got[None].bin is None and got[-1.0].bin == 0
+    for x in values[2:-1]:
+        us = int(x * 1000) / 1000
+        assert us <= got[x].edge <= us * (1 + 1 / 128)
+    known = sorted(x for x in values if x is not None)
+    assert [got[x].bin for x in known] == sorted(got[x].bin for x in known)
