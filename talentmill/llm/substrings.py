@@ -56,31 +56,26 @@ def span_hashes(words: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nd
     return mix((sums[stop] - sums[start]) * backs[start] + (stop - start).astype(np.uint64)).view(np.int64)
 
 
-def _doc_hash(words: np.ndarray) -> int:
-    place = mix(np.arange(len(words), dtype=np.uint64))
-    return int(((words ^ place) * (place | np.uint64(1))).sum(dtype=np.uint64).view(np.int64))
-
-
 def _doc_minimizers(docs: DataFrame, window: int) -> DataFrame:
-    """One row per document and distinct minimizer: m, id."""
+    """One row per document and distinct minimizer: m, id, key."""
     bounded_batches(docs.sparkSession)
-    schema = T.StructType([T.StructField("m", T.LongType()), docs.schema["id"]])
+    schema = T.StructType([T.StructField("m", T.LongType()), docs.schema["id"], T.StructField("key", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(minimizers(w, window)) for w in word_hashes(batch.column(1).to_pylist())]
-            row = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            ids = batch.column(0).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.int64)])), ids], names=schema.names)
+            row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([*found, np.zeros(0, np.int64)])), batch.column(0).take(row), batch.column(2).take(row)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.select("id", "text", "key").mapInArrow(run, schema)
 
 
 def _stretches(docs: DataFrame, window: int) -> DataFrame:
-    """Stretches of windows with one shared minimizer: shard, h (hash of the words), id, dh, start, codes."""
+    """Stretches of windows with one shared minimizer: shard, h (hash of the words), id, key, start, codes."""
     bounded_batches(docs.sparkSession, rows=1000)
-    longs = {c: T.StructField(c, T.LongType()) for c in ("shard", "h", "dh")}
-    schema = T.StructType([longs["shard"], longs["h"], docs.schema["id"], longs["dh"],
+    longs = {c: T.StructField(c, T.LongType()) for c in ("shard", "h", "key")}
+    schema = T.StructType([longs["shard"], longs["h"], docs.schema["id"], longs["key"],
                            T.StructField("start", T.IntegerType()), T.StructField("codes", T.BinaryType())])
 
     def of_doc(words: np.ndarray, shared: np.ndarray, hot: np.ndarray) -> tuple | None:
@@ -96,7 +91,7 @@ def _stretches(docs: DataFrame, window: int) -> DataFrame:
         shard = np.where(is_hot[first], windows(words, window).view(np.int64)[start], least[start])
         codes = (words >> np.uint64(32)).astype("<u4").tobytes()
         parts = [codes[a:b] for a, b in zip((4 * start).tolist(), (4 * stop).tolist())]
-        return shard, span_hashes(words, start, stop), np.full(len(start), _doc_hash(words)), start, parts
+        return shard, span_hashes(words, start, stop), start, parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,10 +103,11 @@ def _stretches(docs: DataFrame, window: int) -> DataFrame:
                     held.append((np.full(len(found[0]), i), *found))
                     size += len(found[0])
                 if held and (size > 100_000 or i == len(hashes) - 1):
-                    i_, shard, h, dh, start = (np.concatenate(x) for x in list(zip(*held))[:5])
+                    i_, shard, h, start = (np.concatenate(x) for x in list(zip(*held))[:4])
+                    row = pa.array(i_)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(shard), pa.array(h), batch.column(0).take(pa.array(i_)), pa.array(dh),
-                        pa.array(start.astype(np.int32)), pa.array([c for x in held for c in x[5]], pa.binary())], names=schema.names)
+                        pa.array(shard), pa.array(h), batch.column(0).take(row), batch.column(4).take(row),
+                        pa.array(start.astype(np.int32)), pa.array([c for x in held for c in x[4]], pa.binary())], names=schema.names)
                     held, size = [], 0
 
     return docs.mapInArrow(run, schema)
@@ -179,22 +175,25 @@ def _searched(folded: DataFrame, window: int) -> DataFrame:
 
 
 def _removed(docs: DataFrame, window: int) -> DataFrame:
-    """id and its marks: (dh, start, windows, earlier); null `earlier` means every window of the stretch."""
+    """id, key and their marks: (start, windows, earlier); null `earlier` means every window of the stretch.
+
+    Equal rows of one id share their key, so what is gathered for them is gathered once (as a set).
+    """
     mins = _doc_minimizers(docs.where("id is not null"), window)
     shared = mins.groupBy("m").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("docs")) \
         .where("lo < hi").select("m", (F.col("docs") > HOT_DOCS).alias("hot"))
-    per_doc = mins.join(shared, "m").groupBy("id").agg(
-        F.collect_list("m").alias("shared"), F.collect_list(F.when(F.col("hot"), F.col("m"))).alias("hot"))
-    parts = stored(_stretches(docs.join(per_doc, "id").select("id", "text", "shared", "hot"), window), "substring-stretches")
+    per_doc = mins.join(shared, "m").groupBy("id", "key").agg(
+        F.collect_set("m").alias("shared"), F.collect_set(F.when(F.col("hot"), F.col("m"))).alias("hot"))
+    parts = stored(_stretches(docs.join(per_doc, ["id", "key"]).select("id", "text", "shared", "hot", "key"), window), "substring-stretches")
 
     folded = parts.groupBy("shard", "h").agg(F.min("id").alias("first"), F.min("codes").alias("codes"))
     alone = folded.repartition("shard").sortWithinPartitions("shard")
     found = stored(_searched(alone.select("shard", "h", "first", "codes"), window), "substring-found")
-    marks = parts.select("h", "id", "dh", "start", (F.octet_length("codes") / 4 - (window - 1)).cast("int").alias("windows")).join(
+    marks = parts.select("h", "id", "key", "start", (F.octet_length("codes") / 4 - (window - 1)).cast("int").alias("windows")).join(
         found.select("h", "first", "earlier", F.regexp_count(F.hex("earlier"), F.lit("01")).alias("hits")), "h")
     mine = F.col("id") == F.col("first")
-    return marks.where(~mine | (F.col("hits") > 0)).groupBy("id").agg(F.collect_list(
-        F.struct("dh", "start", "windows", F.when(mine, F.col("earlier")).alias("earlier"))).alias("marks"))
+    return marks.where(~mine | (F.col("hits") > 0)).groupBy("id", "key").agg(F.collect_set(
+        F.struct("start", "windows", F.when(mine, F.col("earlier")).alias("earlier"))).alias("marks"))
 
 
 def drop_repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -206,28 +205,33 @@ def drop_repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "tex
     each other's words. Stretches carry 32 bits per word, so a wrong match needs 13 words that agree in
     those. Other columns are ignored; an empty table gives an empty result.
     """
-    source = docs.select(docs[key].alias("id"), docs[text].alias("text"))
-    marks = _removed(source, window).withColumnRenamed("id", "mark_id")
-    rows = source.join(marks, F.col("id") == F.col("mark_id"), "left").select("id", "text", "marks")
+    source = docs.select(docs[key].alias("id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("key"))
+    rows = source.join(_removed(source, window), ["id", "key"], "left").select("id", "text", "marks")
     bounded_batches(docs.sparkSession)
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("n_words", T.LongType()),
                            T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, marked = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            texts = batch.column(1).to_pylist()
+            marked = batch.column(2)
+            start, windows_, earlier = (marked.flatten().field(c) for c in range(3))
+            start, windows_, whole = start.to_numpy(), windows_.to_numpy(), earlier.is_null().to_numpy(zero_copy_only=False)
+            edges = np.append(0, np.cumsum(np.nan_to_num(marked.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
             counts, gone, kept = [], [], []
-            hashes = iter(word_hashes([t for t, m in zip(texts, marked) if m]))
-            for t, m in zip(texts, marked):
+            for t, lo, hi in zip(texts, edges.tolist(), edges[1:].tolist()):
                 words = (t or "").encode("utf-8", "surrogatepass").split()
                 counts.append(len(words))
-                if m:
-                    dh, cover = _doc_hash(next(hashes)), np.zeros(len(words) + 1, np.int64)
-                    for x in m:
-                        if x["dh"] == dh:
-                            at = np.arange(x["windows"]) if x["earlier"] is None else np.flatnonzero(np.frombuffer(x["earlier"], np.uint8))
-                            np.add.at(cover, at + x["start"], 1)
-                            np.add.at(cover, at + x["start"] + window, -1)
+                if hi > lo:
+                    cover = np.zeros(len(words) + 1, np.int64)
+                    full = lo + np.flatnonzero(whole[lo:hi])
+                    # All windows of a stretch cover it without a gap.
+                    np.add.at(cover, start[full], 1)
+                    np.add.at(cover, start[full] + windows_[full] - 1 + window, -1)
+                    for k in (lo + np.flatnonzero(~whole[lo:hi])).tolist():
+                        at = np.flatnonzero(np.frombuffer(earlier[k].as_buffer(), np.uint8)) + start[k]
+                        cover[at] += 1
+                        cover[at + window] -= 1
                     words = list(compress(words, (np.cumsum(cover[:-1]) == 0).tolist()))
                 gone.append(counts[-1] - len(words))
                 kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
