@@ -545,6 +545,10 @@ add("update_rejects", "recruiters clients", """
     UNION ALL SELECT 'jobs', id, seq, CASE WHEN client_id IS NULL THEN 'client_id not null' ELSE 'client_id in clients' END FROM j
         WHERE client_id IS NULL OR client_id NOT IN (SELECT id FROM clients)""")
 ORACLES["written_updates"] = ORACLES["upsert_entities"]
+add("job_metrics", "resume_files", f"""
+    WITH o AS (SELECT {OUTCOME} AS status FROM resume_files)
+    SELECT 'ingest_resumes' AS operation, count(*) AS n_rows, count(*) FILTER (status <> 'parsed') AS n_failed, 1 AS calls FROM o
+    UNION ALL SELECT 'embed_candidates', count(*) FILTER (status = 'parsed'), 0, 1 FROM o""")
 add("written_reset", "clients", """
     SELECT name AS "table", CASE WHEN name = 'clients' THEN (SELECT count(*) FROM clients) ELSE 0 END AS n_rows
     FROM (SELECT unnest(['clients', 'recruiters', 'candidates', 'jobs', 'placements', 'timesheets', 'payroll', 'predictions']) AS name)""")

@@ -465,6 +465,18 @@ def written_updates(spark, sf):
     return house.table("candidates").select("id", "name", "location", "rate", "updated_at")
 
 
+@query
+def job_metrics(spark, sf):
+    """Jobs that filled a new warehouse from the resume files, with the rows that they observed."""
+    house = Warehouse(spark, shared_dir(spark, "jobs"))
+    tables.bucketed(spark, house.root, "candidates").clear()
+    house.ingest_resumes(v.resume_files(spark, sf), AS_OF_YEAR)
+    house.embed_candidates()
+    calls = house.get_job_latencies().select("operation", "calls")
+    return house.job_timings().where("elapsed_ms > 0").groupBy("operation").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("n_failed").alias("n_failed")).join(calls, "operation")
+
+
 @query
 def written_reset(spark, sf):
     """Rows per table after two tables were written, all were emptied, and one was written again."""

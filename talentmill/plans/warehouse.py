@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from functools import partialmethod
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import candidate_embed_text, job_embed_text
@@ -13,7 +14,7 @@ from ..functions.vectors import hash_embed
 from ..operators import aggregates, joins, parsing, quality, scans, writes
 from ..schemas import EMBEDDING_DIM, TABLES
 from ..session import materialise
-from ..sources import tables
+from ..sources import tables, timings
 
 
 class Warehouse:
@@ -156,23 +157,37 @@ class Warehouse:
         return lost
 
     def ingest_resumes(self, files: DataFrame, as_of_year: int) -> DataFrame:
-        """Parse (path, text) files into candidates; returns the outcome of every file."""
-        ingested = materialise(parsing.ingest_files(files, as_of_year), "ingest")
+        """Parse (path, text) files into candidates; returns the outcome of every file.
+
+        The counts of the job are observed while it writes, and stored as a row of job_timings.
+        """
+        seen, start = Observation("ingest_resumes"), time.perf_counter()
+        ingested = materialise(parsing.observed(parsing.ingest_files(files, as_of_year), seen), "ingest")
         self.create_candidates(parsing.candidate_rows(ingested))
+        timings.record(self.spark, self.root, "ingest_resumes", time.perf_counter() - start, seen.get)
         return ingested.select("path", "status", "error")
 
+    def job_timings(self) -> DataFrame:
+        """One row per run of a write job: operation, elapsed_ms, n_rows, n_failed, finished_at."""
+        return timings.read(self.spark, self.root)
+
+    def get_job_latencies(self) -> DataFrame:
+        """Calls, mean, extremes, total and p95 of the write jobs that have run here."""
+        return aggregates.latency_stats(self.job_timings())
+
     def embeddings(self, name: str) -> DataFrame:
         """Newest stored embedding of every row of a table: id, embedding."""
         return tables.read_embeddings(self.spark, self.root, name)
 
     def _embed(self, name: str, text: Column, force: bool) -> int:
         """Embed rows without a stored embedding and append the vectors; the table itself is only read."""
-        rows = self.table(name)
+        start, rows = time.perf_counter(), self.table(name)
         todo = rows if force else rows.join(self.embeddings(name).select("id"), "id", "left_anti")
         vectors = materialise(hash_embed(todo.select("id", text.alias("text")), dim=EMBEDDING_DIM), f"embed-{name}")
         done = vectors.count()
         if done:
             tables.append_embeddings(vectors, self.root, name)
+        timings.record(self.spark, self.root, f"embed_{name}", time.perf_counter() - start, {"rows": done})
         return done
 
     def embed_candidates(self, force: bool = False) -> int:

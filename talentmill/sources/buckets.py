@@ -25,6 +25,11 @@ def _path(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _path(spark, path)
+    return fs.exists(place)
+
+
 def _children(spark: SparkSession, path: str) -> list[str]:
     fs, place = _path(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import TABLES
-from .buckets import Bucketed
+from .buckets import Bucketed, exists
 
 
 def bucketed(spark: SparkSession, root: str, name: str) -> Bucketed:
@@ -36,28 +35,21 @@ def _embeddings_path(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/embeddings/entity={name}"
 
 
+def _stored_embeddings(spark: SparkSession, root: str, name: str) -> DataFrame:
+    path = _embeddings_path(root, name)
+    return spark.read.schema(EMBEDDINGS).parquet(path) if exists(spark, path) else spark.createDataFrame([], EMBEDDINGS)
+
+
 def read_embeddings(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Newest embedding per row of a table (id, embedding); empty if none is stored."""
-    try:
-        rows = spark.read.schema(EMBEDDINGS).parquet(_embeddings_path(root, name))
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        rows = spark.createDataFrame([], EMBEDDINGS)
-    return rows.groupBy("id").agg(F.max_by("embedding", "run").alias("embedding"))
+    return _stored_embeddings(spark, root, name).groupBy("id").agg(F.max_by("embedding", "run").alias("embedding"))
 
 
 def append_embeddings(vectors: DataFrame, root: str, name: str) -> None:
     """Append a run of embeddings (id, embedding) to those of a table; nothing stored is rewritten."""
-    spark, path = vectors.sparkSession, _embeddings_path(root, name)
-    stored = spark.createDataFrame([], EMBEDDINGS)
-    try:
-        stored = spark.read.schema(EMBEDDINGS).parquet(path)
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-    run = (stored.agg(F.max("run")).first()[0] or 0) + 1
-    vectors.select("id", "embedding", F.lit(run).cast("long").alias("run")).write.mode("append").parquet(path)
+    run = (_stored_embeddings(vectors.sparkSession, root, name).agg(F.max("run")).first()[0] or 0) + 1
+    rows = vectors.select("id", "embedding", F.lit(run).cast("long").alias("run"))
+    rows.write.mode("append").parquet(_embeddings_path(root, name))
 
 
 def reset_tables(spark: SparkSession, root: str) -> None:

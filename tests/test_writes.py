@@ -138,6 +138,10 @@ def test_ingest_and_embed(spark, house):
     assert outcome == {"r/a.pdf": "parsed", "r/b.txt": "unsupported", "r/c.docx": "rejected", "r/d.DOC": "parsed"}
     assert house.embed_candidates() == 2
     assert house.embed_candidates() == 0
+    assert {(r["operation"], r["n_rows"], r["n_failed"]) for r in house.job_timings().collect()} == {
+        ("ingest_resumes", 4, 2), ("embed_candidates", 2, 0), ("embed_candidates", 0, 0)}
+    assert {(r["operation"], r["calls"]) for r in house.get_job_latencies().collect()} == {("ingest_resumes", 1), ("embed_candidates", 2)}
+    assert house.ingest_resumes(files.where("path = 'none'"), 2026).count() == 0
     assert house.embed_candidates(force=True) == 2
     assert [len(r["embedding"]) for r in house.embeddings("candidates").collect()] == [384, 384]
     house.reset()
