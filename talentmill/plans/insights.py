@@ -14,7 +14,9 @@ from ..functions.numbers import money
 from ..operators.aggregates import margin_leakage_clients
 from ..operators.eligibility import eligible_topk
 from ..operators.joins import join_per_key
+from ..operators.ranks import nth_value
 from ..schemas import STAGES
+from ..session import materialise
 
 
 def skill_gap(required: Column, held: Column) -> Column:
@@ -139,6 +141,36 @@ def timesheet_findings(timesheets: DataFrame, z_limit: float = 3.0, hour_limit:
     )
 
 
+#: Median distances from the median, times this, estimate the standard deviation of normal values.
+NORMAL_SPREAD = 1.4826
+
+
+def robust_findings(timesheets: DataFrame, limit: float = 3.5) -> DataFrame:
+    """Sheets whose hours lie `limit` robust deviations or more above their contractor's median: id, contractor_id, hours, median, mad, robust_score.
+
+    The median (of an even number, the lower middle value) and then the median of the distances from it are selected
+    exactly, each over counts per value, so a contractor with most of the sheets is no single task. One outlier
+    moves neither, unlike mean and deviation. Sheets without hours or contractor take no part; where half of a contractor's
+    sheets agree with the median there is no spread, and no finding.
+    """
+    sheets = timesheets.where("hours is not null and contractor_id is not null").select("id", "contractor_id", "hours")
+    counts = materialise(sheets.groupBy("contractor_id").agg(F.count("*").alias("n")), "sheets-per-contractor")
+
+    def middle(rows: DataFrame, value: str, name: str) -> DataFrame:
+        found = nth_value(rows, "contractor_id", value, lambda n: F.floor((n + 1) / 2), near=0.5)
+        return counts.join(found.withColumnRenamed("nth_value", name), "contractor_id")
+
+    placed = join_per_key(sheets, middle(sheets, "hours", "median"), "contractor_id", "n").drop("n")
+    placed = materialise(placed.withColumn("away", F.abs(F.col("hours") - F.col("median"))), "sheets-from-median")
+    score = (F.col("hours") - F.col("median")) / F.nullif(F.lit(NORMAL_SPREAD) * F.col("mad"), F.lit(0.0))
+    return (
+        join_per_key(placed, middle(placed, "away", "mad"), "contractor_id", "n")
+        .withColumn("robust_score", F.round(score, 6))
+        .where(F.col("robust_score") >= limit)
+        .select("id", "contractor_id", "hours", "median", "mad", "robust_score")
+    )
+
+
 def attrition_risk(candidates: DataFrame) -> DataFrame:
     """Risk 0-1 of active contractors: 0.2 short tenure (under 180 days), 0.3 silence
     (up to 30 days), 0.2 overtime (up to 25 %), 0.3 low feedback (5 is best). A missing

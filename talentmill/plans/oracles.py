@@ -545,6 +545,16 @@ add("update_rejects", "recruiters clients", """
     UNION ALL SELECT 'jobs', id, seq, CASE WHEN client_id IS NULL THEN 'client_id not null' ELSE 'client_id in clients' END FROM j
         WHERE client_id IS NULL OR client_id NOT IN (SELECT id FROM clients)""")
 ORACLES["written_updates"] = ORACLES["upsert_entities"]
+add("timesheet_robust_findings", "timesheets", """
+    WITH a AS (SELECT id, contractor_id, hours, row_number() OVER (PARTITION BY contractor_id ORDER BY hours) AS nth,
+                      count(*) OVER (PARTITION BY contractor_id) AS n FROM timesheets),
+    m AS (SELECT contractor_id, max(CASE WHEN nth = (n + 1) // 2 THEN hours END) AS median FROM a GROUP BY contractor_id),
+    b AS (SELECT a.*, m.median, row_number() OVER (PARTITION BY a.contractor_id ORDER BY abs(hours - m.median)) AS place
+          FROM a JOIN m ON m.contractor_id = a.contractor_id),
+    d AS (SELECT contractor_id, max(CASE WHEN place = (n + 1) // 2 THEN abs(hours - median) END) AS mad FROM b GROUP BY contractor_id),
+    f AS (SELECT b.id, b.contractor_id, hours, median, mad, round((hours - median) / nullif(1.4826::DOUBLE * mad, 0), 6) AS robust_score
+          FROM b JOIN d ON d.contractor_id = b.contractor_id)
+    SELECT * FROM f WHERE robust_score >= 1.5""")
 add("job_metrics", "resume_files", f"""
     WITH o AS (SELECT {OUTCOME} AS status FROM resume_files)
     SELECT 'ingest_resumes' AS operation, count(*) AS n_rows, count(*) FILTER (status <> 'parsed') AS n_failed, 1 AS calls FROM o

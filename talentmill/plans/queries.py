@@ -719,6 +719,11 @@ def timesheet_findings(spark, sf):
     return insights.timesheet_findings(v.timesheets(spark, sf), z_limit=1.65)
 
 
+@query
+def timesheet_robust_findings(spark, sf):
+    return insights.robust_findings(v.timesheets(spark, sf), limit=1.5)
+
+
 @query
 def attrition_risk(spark, sf):
     return insights.attrition_risk(v.candidates(spark, sf))

@@ -61,3 +61,19 @@ def test_exact_however_bad_the_splitters(spark, near):
 def test_random_samples(spark, samples):
     rows = spark.createDataFrame([("op", s) for s in samples], "operation string, elapsed_ms double")
     assert latency_stats(rows).first()["p95_ms"] == p95(samples)
+
+
+def test_robust_findings_are_not_moved_by_the_outlier(spark):
+    from talentmill.plans.insights import robust_findings
+    hours = {1: [40.0, 41, 39, 40, 42, 38, 40, 95], 2: [8.0, 8, 8, 8, 60], 3: [20.0], 4: [10.0, 20, 30, 40], 5: [None, 40.0, 44, 48, 90]}
+    hours = {k: [h if h is None else float(h) for h in values] for k, values in hours.items()}
+    rows = [(k * 100 + i, k, h) for k, values in hours.items() for i, h in enumerate(values)] + [(999, None, 70.0)]
+    got = {r.id: r for r in robust_findings(spark.createDataFrame(rows, "id long, contractor_id long, hours double"), 3.5).collect()}
+    want = {}
+    for k, values in hours.items():
+        known = sorted(h for h in values if h is not None)
+        median = known[(len(known) + 1) // 2 - 1]
+        mad = sorted(abs(h - median) for h in known)[(len(known) + 1) // 2 - 1]
+        want |= {k * 100 + i: round((h - median) / (1.4826 * mad), 6) for i, h in enumerate(values)
+                 if h is not None and mad and (h - median) / (1.4826 * mad) >= 3.5}
+    assert {i: r.robust_score for i, r in got.items()} == want and 107 in want and 504 in want
