@@ -36,7 +36,7 @@ def _lines() -> str:
     from m group by doc_id"""
 
 
-def _sharding() -> str:
+def sharding_sql(limit: int = SHARD_BYTES) -> str:
     return f"""
     with sized as (
       select row_number() over () as rid, doc_id, strlen(coalesce(text, '')) as n_bytes,
@@ -48,7 +48,7 @@ def _sharding() -> str:
     marks as (select rid, doc_id, n_bytes, d as depth, substr(bits, 1, d) as shard
               from hashed, range(0, 33) r(d)),
     buckets as (select shard, depth, sum(n_bytes) as shard_bytes, count(*) as shard_rows
-                from marks group by all having sum(n_bytes) <= {SHARD_BYTES} or count(*) = 1)
+                from marks group by all having sum(n_bytes) <= {limit} or count(*) = 1)
     select doc_id, n_bytes, shard, depth::int as depth, shard_bytes::bigint as shard_bytes, shard_rows
     from (select m.*, b.shard_bytes, b.shard_rows, row_number() over (partition by rid order by m.depth) as k
           from marks m join buckets b using (shard, depth)) where k = 1"""
@@ -226,7 +226,7 @@ def _language() -> str:
 
 ORACLES: dict[str, str] = {
     "op1_deletion_line_dedup": _lines(),
-    "op5_extendible_shards": _sharding(),
+    "op5_extendible_shards": sharding_sql(),
     "op7_fm_index_substrings": _substrings(),
     "op8_quality_rules": _quality(),
     "op9_block_max_search": _search(),

@@ -11,14 +11,16 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from compare import connect, differences  # noqa: E402
 
-from talentmill.llm.oracles import ORACLES  # noqa: E402
+from talentmill.llm.oracles import ORACLES, sharding_sql  # noqa: E402
 from talentmill.llm.queries import QUERIES  # noqa: E402
+from talentmill.llm.sharding import assign_shards  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -42,6 +44,15 @@ def test_query_equals_sql(spark, small_dir, con, name):
     assert differences(QUERIES[name](spark, small_dir), con, ORACLES[name]) == []
 
 
+@pytest.mark.parametrize("limit", [256 << 10, 32 << 10, 4 << 10])
+def test_shards_that_split_equal_sql(spark, small_dir, con, limit):
+    """The query's own limit holds all of the small tables; these split them over several levels."""
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    rows = assign_shards(docs, limit=limit).select(F.col("doc.doc_id").alias("doc_id"), "n_bytes", "shard", "depth", "shard_bytes", "shard_rows")
+    assert differences(rows, con, sharding_sql(limit)) == []
+    assert rows.agg(F.max("depth")).first()[0] >= {256 << 10: 1, 32 << 10: 4, 4 << 10: 6}[limit]
+
+
 def test_there_is_one_query_for_each_operator():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
 
