@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import micros, money, rounded_ratio
 from .joins import join_per_key
-from .ranks import nth_value
+from .ranks import stats_with_nth
 from .scans import equals
 
 
@@ -95,18 +95,18 @@ def latency_stats(
     rows = samples.select("operation", "elapsed_ms").where(F.col("elapsed_ms").isNotNull())
     total = F.sum(micros(F.col("elapsed_ms")))
     one = F.lit(1000000).cast("decimal(20,0)")
-    stats = rows.groupBy("operation").agg(
-        F.count("*").alias("calls"),
-        total.alias("total"),
-        F.min(micros(F.col("elapsed_ms"))).alias("low"),
-        F.max(micros(F.col("elapsed_ms"))).alias("high"),
-    )
-    ranked = nth_value(
+    ranked = stats_with_nth(
         rows, "operation", "elapsed_ms",
         rank=lambda n: F.floor(n * F.lit(quantile)) + 1,
         near=quantile, min_rows=min_samples,
+        stats=[
+            F.count("*").alias("calls"),
+            total.alias("total"),
+            F.min(micros(F.col("elapsed_ms"))).alias("low"),
+            F.max(micros(F.col("elapsed_ms"))).alias("high"),
+        ],
     )
-    return stats.join(ranked, "operation", "left").select(
+    return ranked.select(
         "operation",
         "calls",
         rounded_ratio(F.col("total"), one * F.col("calls"), 2).alias("avg_ms"),

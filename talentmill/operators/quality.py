@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Collection, Mapping
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,63 +14,96 @@ from ..session import materialise
 from .writes import net_changes
 
 
-def _row_rules(df: DataFrame, name: str, table: Table) -> DataFrame | None:
-    """Null, domain and length rules of a table, all in one pass."""
-    have = set(df.columns)
-    rules = {}
-    for c in table.required:
-        if c in have:
-            rules[f"{c} not null"] = F.col(c).isNull()
-    for c, domain in table.domains.items():
-        if c in have:
-            rules[f"{c} in domain"] = ~F.col(c).isin(*domain)
-    for c, size in table.max_length.items():
-        if c in have:
-            rules[f"{c} length <= {size}"] = F.length(c) > size
-    if not rules:
-        return None
-    counts = df.agg(*[F.count_if(bad).alias(f"_{i}") for i, bad in enumerate(rules.values())])
-    pairs = F.array(*[
-        F.struct(F.lit(rule).alias("rule"), F.col(f"_{i}").alias("violations"))
-        for i, rule in enumerate(rules)
-    ])
-    return counts.select(F.lit(name).alias("table"), F.inline(pairs))
+@dataclass(frozen=True)
+class _Rule:
+    """A rule as the place where its violations are counted: a key space and a slot of that space."""
 
+    table: str
+    name: str
+    space: int
+    slot: int
 
-def _unique_rule(df: DataFrame, name: str, column: str) -> DataFrame:
-    """Rows in excess of one per key; the count combines on the map side."""
-    per_key = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    return per_key.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations")).select(
-        F.lit(name).alias("table"), F.lit(f"{column} unique").alias("rule"), "violations"
-    )
 
+class _Compiled:
+    """The rules of some tables, as the stacked rows (space, key, slot) that each table contributes.
 
-def _link_rule(df: DataFrame, name: str, column: str, parent: DataFrame, parent_name: str) -> DataFrame:
-    """Rows whose link has no parent. Links are counted per key before the anti join."""
-    per_key = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    lost = per_key.join(parent.select(F.col("id").alias(column)), column, "left_anti")
-    return lost.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations")).select(
-        F.lit(name).alias("table"), F.lit(f"{column} in {parent_name}").alias("rule"), "violations"
-    )
+    Three kinds of space: the broken rows of a table (no key, one slot per rule), the values of a unique
+    column (slot 0), and of an id that others link to (slot 0 own rows, then one slot per link).
+    """
+
+    def __init__(self, tables: Mapping[str, DataFrame]) -> None:
+        self.rules: list[_Rule] = []
+        self.row_spaces: set[int] = set()
+        self.stacked: dict[str, list[Column]] = {name: [] for name in tables}
+        spaces: dict[tuple[str, str], int] = {}
+        used: dict[int, int] = {}
+
+        def space_of(table: str, column: str) -> int:
+            if (table, column) not in spaces:
+                number = spaces[table, column] = len(spaces)
+                used[number] = 0
+                if column in tables[table].columns:
+                    self._emit(table, number, 0, F.col(column).cast("string"), F.col(column).isNotNull())
+                if column:
+                    used[number] = 1
+            return spaces[table, column]
+
+        def slot_of(space: int) -> int:
+            used[space] += 1
+            return used[space] - 1
+
+        for name, df in tables.items():
+            table, own = TABLES[name], space_of(name, "")
+            self.row_spaces.add(own)
+            for _, rule, bad in _broken_rules(name, df.columns):
+                slot = slot_of(own)
+                self.rules.append(_Rule(name, rule, own, slot))
+                self._emit(name, own, slot, F.lit(None).cast("string"), bad)
+            for c in table.unique:
+                if c in df.columns:
+                    self.rules.append(_Rule(name, f"{c} unique", space_of(name, c), 0))
+            for c, parent in table.links.items():
+                if c in df.columns and parent in tables:
+                    ids = space_of(parent, "id")
+                    slot = slot_of(ids)
+                    self.rules.append(_Rule(name, f"{c} in {parent}", ids, slot))
+                    self._emit(name, ids, slot, F.col(c).cast("string"), F.col(c).isNotNull())
+        self.slots = max(used.values(), default=0)
+
+    def _emit(self, table: str, space: int, slot: int, key: Column, present: Column) -> None:
+        entry = F.struct(F.lit(space).alias("space"), key.alias("key"), F.lit(slot).alias("slot"))
+        self.stacked[table].append(F.when(present, entry))
 
 
 def contract_violations(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Violations per table and rule, zero included, for the given tables."""
-    reports = []
-    for name, df in tables.items():
-        table = TABLES[name]
-        reports.append(_row_rules(df, name, table))
-        reports += [_unique_rule(df, name, c) for c in table.unique if c in df.columns]
-        reports += [
-            _link_rule(df, name, c, tables[parent], parent)
-            for c, parent in table.links.items()
-            if c in df.columns and parent in tables
-        ]
-    reports = [r for r in reports if r is not None]
-    while len(reports) > 1:  # in pairs: each union analyses its whole plan anew
-        pairs = [a.union(b) for a, b in zip(reports[::2], reports[1::2])]
-        reports = pairs + reports[len(pairs) * 2:]
-    return reports[0]
+    """Violations per table and rule, zero included, for the given tables.
+
+    Null, domain and length rules count broken rows; a unique rule counts the rows in excess of one per value, a
+    link rule the rows whose parent is missing; nulls break neither. Every table is read once: a row gives one stacked row per
+    value that a unique or link rule looks at and one per rule that it breaks itself. One aggregate per value, combined on the map
+    side, so a value in most rows costs one row per task, holds both sides of every link; no table is joined.
+    """
+    rules = _Compiled(tables)
+    # A table without any rule is not read.
+    parts = [
+        df.select(F.inline(F.array_compact(F.array(*rules.stacked[name])))) for name, df in tables.items() if rules.stacked[name]
+    ]
+    slots = range(rules.slots)
+    per_key = reduce(DataFrame.union, parts).groupBy("space", "key").agg(
+        *[F.count_if(F.col("slot") == i).alias(f"_{i}") for i in slots])
+    of_rows, orphan = F.col("space").isin(*sorted(rules.row_spaces)), F.col("_0") == 0
+    excess = F.when(of_rows, F.col("_0")).otherwise(F.greatest(F.col("_0") - 1, F.lit(0)))
+    broken = [excess] + [F.when(of_rows | orphan, F.col(f"_{i}")).otherwise(0) for i in slots[1:]]
+    sums = per_key.select("space", *[c.alias(f"_{i}") for i, c in enumerate(broken)]).groupBy("space").agg(
+        F.array(*[F.sum(f"_{i}") for i in slots]).alias("found"))
+    known = F.array(*[
+        F.struct(F.lit(r.table).alias("table"), F.lit(r.name).alias("rule"), F.lit(r.space).alias("space"), F.lit(r.slot).alias("slot"))
+        for r in rules.rules
+    ])
+    # One row per rule meets one row per space: both as many as the schemas have columns.
+    catalogue = sums.sparkSession.range(1, numPartitions=1).select(F.inline(known))
+    return catalogue.join(F.broadcast(sums), "space", "left").select(
+        "table", "rule", F.coalesce(F.get("found", F.col("slot")), F.lit(0)).cast("long").alias("violations"))
 
 
 def _broken_rules(name: str, columns: Collection[str]) -> list[tuple[str, str, Column]]:

@@ -190,3 +190,33 @@ def test_split_names_the_broken_rules(spark):
     good, bad = split_valid(rows, "candidates")
     assert good.count() == 0
     assert bad.first()["broken_rules"] == ["name not null", "visa_status in domain", "phone length <= 32"]
+
+
+def _scans(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("Relation [")
+
+
+def test_contracts_read_every_table_once(spark, tmp_path):
+    """Nulls break neither unique nor link rules; a parent that fills the child table costs no more; links to absent tables are no rule."""
+    rows = {
+        "clients": spark.sql("select * from values (1L, 'a'), (1L, 'b'), (null, 'c'), (2L, null) t(id, name)"),
+        "recruiters": spark.sql("select * from values (1L, 'n', 'x@y.z'), (2L, 'n', 'x@y.z'), (3L, 'n', null), (4L, 'n', null) t(id, name, email)"),
+        "jobs": spark.range(3000).select(
+            "id", F.lit("t").alias("title"), F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 3 == 1, 9).cast("long").alias("client_id"),
+            F.when(F.col("id") < 5, "lost").otherwise("open").alias("status")),
+    }
+    stored = {}
+    for name, df in rows.items():
+        df.write.parquet(f"{tmp_path}/{name}")
+        stored[name] = spark.read.parquet(f"{tmp_path}/{name}")
+    report = contract_violations(stored)
+    got = {(r["table"], r["rule"]): r["violations"] for r in report.collect()}
+    assert _scans(report) == 3
+    assert got["clients", "id unique"] == 1 and got["clients", "name not null"] == 1
+    assert got["recruiters", "email unique"] == 1 and got["recruiters", "id unique"] == 0
+    assert got["jobs", "client_id in clients"] == 1000 and got["jobs", "status in domain"] == 5
+    alone = {(r["table"], r["rule"]): r["violations"] for r in contract_violations({"jobs": stored["jobs"]}).collect()}
+    assert ("jobs", "client_id in clients") not in alone and alone["jobs", "id unique"] == 0
+    empty = contract_violations({k: d.limit(0) for k, d in stored.items()}).collect()
+    assert len(empty) == len(got) and not any(r["violations"] for r in empty)
