@@ -445,6 +445,22 @@ OUTCOME = f"""CASE WHEN {DECODER} IS NULL THEN 'unsupported' WHEN NOT regexp_mat
 add("parse_outcomes", "resume_files", f"""
     SELECT {OUTCOME} AS status, count(*) AS files FROM resume_files GROUP BY 1""")
 
+STORED = """stored AS (SELECT *, doc_id % 11 = 0 AS broken, regexp_extract(path, '([^/]+)$', 1) AS file,
+        regexp_matches(path, '^resumes/[^/]+$') AS direct, CASE WHEN doc_id % 11 = 0 THEN unhex('FF') || encode(text) ELSE encode(text) END AS content
+    FROM resume_files WHERE text IS NOT NULL AND (doc_id % 11 = 0 OR text <> ''))"""
+add("stored_files_listed", "resume_files", f"""
+    WITH {STORED} SELECT file, octet_length(content) AS length FROM stored WHERE direct AND file_type IN ('pdf', 'docx', 'doc')""")
+add("stored_files_loaded", "resume_files", f"""
+    WITH {STORED} SELECT file, octet_length(content) AS length, md5(content) AS digest FROM stored""")
+add("stream_files", "resume_files", f"""
+    WITH {STORED}, kept AS (SELECT * FROM stored WHERE direct AND file_type IN ('pdf', 'docx', 'doc')), {parsed('kept')}
+    SELECT file, CASE WHEN broken THEN 'failed' WHEN blank THEN 'rejected' ELSE 'parsed' END AS status,
+           CASE WHEN broken THEN 'UnicodeDecodeError' WHEN blank THEN 'no text' END AS problem,
+           CASE WHEN NOT broken AND NOT blank THEN email END AS email, CASE WHEN NOT broken AND NOT blank THEN yoe END AS yoe,
+           CASE WHEN NOT broken AND NOT blank THEN visa_status END AS visa_status,
+           CASE WHEN NOT broken AND NOT blank THEN {text_list('skills')} END AS skills,
+           CASE WHEN NOT broken THEN md5(text) END AS digest FROM p""")
+
 # Event logs
 
 
@@ -480,6 +496,12 @@ add("tail_events", "fields", """
            CASE WHEN cut THEN 'cut ' || event_id || ' {' ELSE msg END AS msg,
            CASE WHEN NOT cut THEN request_id END AS request_id, CASE WHEN NOT cut THEN event END AS event,
            CASE WHEN NOT cut THEN took END AS duration_ms FROM t WHERE NOT empty""")
+add("tail_files", "fields", f"""
+    WITH t AS (SELECT *, event_id % 89 = 0 AS empty, event_id % 97 = 0 AS cut FROM fields ORDER BY ts DESC, event_id DESC LIMIT 200)
+    SELECT CASE WHEN NOT cut THEN {ts('ts')} END AS ts, CASE WHEN cut THEN 'UNKNOWN' ELSE level END AS level,
+           CASE WHEN cut THEN 'cut ' || event_id || ' {{' ELSE msg END AS msg,
+           CASE WHEN NOT cut THEN request_id END AS request_id, CASE WHEN NOT cut THEN event END AS event,
+           CASE WHEN NOT cut THEN took END AS duration_ms FROM t WHERE NOT empty""")
 add("slow_queries", "fields", """
     SELECT 'q' || (event_id % 7) AS query_name, count(*) AS calls, count(*) FILTER (took > 500) AS slow_calls
     FROM fields WHERE event = 'db_query' GROUP BY 1""")

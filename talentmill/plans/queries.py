@@ -15,7 +15,7 @@ from ..operators import aggregates, derived, events, joins, parsing, quality, sc
 from ..schemas import STAGES, TABLES
 from ..session import shared_dir
 from ..sources import star_views as v
-from ..sources import tables
+from ..sources import files, logs, tables
 from ..streaming import jobs as streams
 from . import insights
 from .warehouse import Warehouse
@@ -336,6 +336,50 @@ def parse_outcomes(spark, sf):
     return aggregates.outcome_counts(parsing.ingest_files(v.resume_files(spark, sf), AS_OF_YEAR))
 
 
+def _stored_files(spark, sf) -> str:
+    """A folder with the resume files as files; every eleventh of them is no UTF-8."""
+    folder = shared_dir(spark, "files")
+    body = F.encode("text", "UTF-8")
+    broken = F.concat(F.unhex(F.lit("FF")), body)
+    rows = v.resume_files(spark, sf).select(
+        "path", F.when(F.col("doc_id") % 11 == 0, broken).otherwise(body).alias("content"))
+    files.save_files(rows, folder).write.format("noop").mode("overwrite").save()
+    return folder
+
+
+def _file_name() -> Column:
+    return F.regexp_extract("path", "([^/]+)$", 1).alias("file")
+
+
+@query
+def stored_files_listed(spark, sf):
+    return files.list_files(spark, f"{_stored_files(spark, sf)}/resumes").select(_file_name(), "length")
+
+
+@query
+def stored_files_loaded(spark, sf):
+    """The bytes of all files of two folders, whatever their type."""
+    folder = _stored_files(spark, sf)
+    loaded = files.load_files(spark, [f"{folder}/resumes", f"{folder}/resumes/old"])
+    return loaded.select(_file_name(), "length", F.md5("content").alias("digest"))
+
+
+def _utf8(content: bytes) -> str:
+    return content.decode("utf-8")
+
+
+@query
+def stream_files(spark, sf):
+    """Resume files as a stream, decoded and parsed; those that no decoder could read are in quarantine."""
+    folder, work = _stored_files(spark, sf), shared_dir(spark, "ingest")
+    streams.ingest_file_stream(
+        files.stream_resume_files(spark, f"{folder}/resumes"), f"{work}/store", f"{work}/checkpoint", {"pdf": _utf8, "docx": _utf8}, AS_OF_YEAR)
+    good, bad = (streams.read_ingested(spark, f"{work}/store", quarantined=q) for q in (False, True))
+    return good.unionByName(bad).select(
+        _file_name(), "status", F.regexp_extract("error", "^[A-Za-z ]+", 0).alias("problem"), "email", "yoe", "visa_status", "skills",
+        F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
 # Event logs
 
 def _event_rows(spark, sf) -> DataFrame:
@@ -369,6 +413,17 @@ def tail_events(spark, sf):
     )
 
 
+TAIL = 200
+
+
+@query
+def tail_files(spark, sf):
+    """The last physical lines of log files that Spark has written in time order, broken and blank lines included."""
+    folder = shared_dir(spark, "logs")
+    _lines(spark, sf).repartitionByRange("at", "line_no").sortWithinPartitions("at", "line_no").select("line").write.text(folder)
+    return logs.tail_log(spark, folder, TAIL, "*.txt").select("ts", "level", "msg", "request_id", "event", "duration_ms")
+
+
 @query
 def slow_queries(spark, sf):
     return events.slow_queries(events.event_records(_event_rows(spark, sf)))

@@ -1,18 +1,61 @@
-"""Resume files as a binary source, with a pluggable decoder."""
+"""Resume files as a binary source, batch and streaming, with a pluggable decoder."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vocab import RESUME_TYPES
 from ..operators.parsing import route_files
+from ..session import ship_package
 
 # Extensions in any case, one file name pattern.
 _ANY_CASE = ",".join("".join(f"[{c}{c.upper()}]" for c in ext) for ext in RESUME_TYPES)
+ACCEPTED = f"*.{{{_ANY_CASE}}}"
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
+
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark writes it, and the path there; names may hold blanks and percent signs."""
+    found = re.fullmatch(r"(?s)([A-Za-z][A-Za-z0-9+.-]*):(//[^/]*)?(/.*)", uri)
+    if not found or found[1].lower() == "file":
+        return fs.LocalFileSystem(), found[3] if found else uri
+    system, root = fs.FileSystem.from_uri(f"{found[1]}:{found[2] or '//'}/")
+    return system, root.rstrip("/") + found[3]
+
+
+def save_files(files: DataFrame, folder: str) -> DataFrame:
+    """Write each row's content to the file folder/path and give (path, length) of what was written; lazy, so read the result.
+
+    Content is binary or text; null content writes no file. A file appears whole or not at all: it is written under a name of its own task
+    attempt and renamed, so a repeated task leaves the same file. Of several rows of one path any may stay.
+    """
+    ship_package(files.sparkSession)
+    rows = files.where(F.col("content").isNotNull()).select("path", F.col("content").cast("binary").alias("content"))
+
+    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+        system, root = file_system(folder)
+        made, attempt = set(), TaskContext.get().taskAttemptId()
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                target = f"{root.rstrip('/')}/{path}"
+                place, name = target.rsplit("/", 1)
+                if place not in made:
+                    system.create_dir(place, recursive=True)
+                    made.add(place)
+                hidden = f"{place}/_{attempt}_{name}"
+                with system.open_output_stream(hidden) as out:
+                    out.write(bytes(content))
+                system.move(hidden, target)
+            yield pd.DataFrame({"path": batch["path"], "length": [len(c) for c in batch["content"]]})
+
+    return rows.mapInPandas(save, "path string, length long")
 
 
 def read_resume_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,7 +63,15 @@ def read_resume_files(spark: SparkSession, folder: str) -> DataFrame:
 
     Spark plans no split for a file of zero bytes, so such a file gives no row.
     """
-    return spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{_ANY_CASE}}}").load(folder)
+    return spark.read.format("binaryFile").option("pathGlobFilter", ACCEPTED).load(folder)
+
+
+def stream_resume_files(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The same rows as a stream: each file that arrives is read once, by path; the checkpoint remembers which."""
+    reader = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", ACCEPTED)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return only_in(reader.load(folder), folder)
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,4 +111,5 @@ def decode_files(files: DataFrame, decoders: dict[str, Callable[[bytes], str]])
 
 def only_in(files: DataFrame, folder: str) -> DataFrame:
     """Files directly in the folder, for listings that were read recursively."""
-    return files.where(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).endswith(folder.rstrip("/")))
+    place = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", folder).rstrip("/")
+    return files.where(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).endswith(place))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.events import is_slow_operation
+from ..operators.parsing import parse_documents
+from ..sources.files import decode_files
 
 
 #: Durations are binned by their SIGNIFICANT leading bits: a bin's upper edge exceeds each of its values by less than 1 / 128.
@@ -166,3 +168,34 @@ def incremental_load(
     )
     query.awaitTermination()
     return query
+
+
+def ingest_file_stream(
+    files: DataFrame, store: str, checkpoint: str, decoders: dict[str, Callable[[bytes], str]], as_of_year: int,
+) -> StreamingQuery:
+    """Decode and parse every file that has arrived in a stream of resume files, then stop.
+
+    Each batch overwrites a folder of its own number, split by status, in one pass: 'parsed' and, as quarantine with the
+    error, 'rejected' (no text) and 'failed' (no decoder could read it). The checkpoint resumes after the last whole batch, and
+    a batch that is run again leaves the same rows.
+    """
+    def load(batch: DataFrame, number: int) -> None:
+        parsed = parse_documents(decode_files(batch, decoders).withColumnRenamed("error", "_failure"), as_of_year)
+        failed = F.col("_failure").isNotNull()
+        rows = parsed.withColumns({
+            "status": F.when(failed, F.lit("failed")).otherwise(F.col("status")), "error": F.coalesce("_failure", "error"),
+        }).drop("_failure")
+        rows.write.mode("overwrite").partitionBy("status").parquet(f"{store}/batch={number}")
+
+    query = (
+        files.writeStream.foreachBatch(load)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return query
+
+
+def read_ingested(spark: SparkSession, store: str, quarantined: bool = False) -> DataFrame:
+    """The parsed files of ingest_file_stream, or those in quarantine."""
+    parsed = F.col("status") == "parsed"
+    return spark.read.parquet(store).drop("batch").where(~parsed if quarantined else parsed)

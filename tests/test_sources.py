@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import json
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from talentmill.operators import events
@@ -71,3 +74,50 @@ def test_slow_operations_need_level_and_word(spark):
         "level string, msg string",
     )
     assert [r["msg"] for r in events.slow_operations(rows).collect()] == ["x TOOK long", "Timeout"]
+
+
+class Counting(io.BytesIO):
+    taken = 0
+
+    def read(self, size=-1):
+        data = super().read(size)
+        self.taken += len(data)
+        return data
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aé \t", max_size=9), max_size=30), st.booleans(), st.integers(1, 12), st.integers(1, 40))
+def test_last_lines_of_any_file(lines, ended, n, block):
+    data = "\n".join(lines).encode() + (b"\n" if ended and lines else b"")
+    whole = data[:-1] if data.endswith(b"\n") else data
+    starts = [0] + [i + 1 for i, b in enumerate(whole) if b == 10]
+    want = list(zip(starts, whole.decode().split("\n")))[-n:] if data else []
+    assert logs._last_lines(io.BytesIO(data), len(data), n, block) == want
+
+
+def test_tail_reads_the_end_of_the_file_only():
+    data = b"".join(b"line %d\n" % i for i in range(200_000))
+    stream = Counting(data)
+    assert [line for _, line in logs._last_lines(stream, len(data), 3, 64)] == [f"line {i}" for i in range(199_997, 200_000)]
+    assert stream.taken <= 128
+
+
+def test_tail_over_rotated_files(spark, tmp_path):
+    lines = ['{"msg":"m%d","level":"INFO"}' % i for i in range(9)]
+    (tmp_path / "a 1%.log").write_bytes("\r\n".join(lines[:4]).encode() + b"\r\n")
+    (tmp_path / "a 2%.log").write_bytes(("\n".join(["", "cut {", *lines[4:], " "])).encode())
+    (tmp_path / "b.txt").write_text("other\n")
+    got = [(r["file"], r["line"]) for r in logs.last_lines(spark, str(tmp_path), 2).orderBy("file", "offset").collect()]
+    assert got == [("a 1%.log", lines[2]), ("a 1%.log", lines[3]), ("a 2%.log", lines[8]), ("a 2%.log", " ")]
+    assert sorted(r["msg"] for r in logs.tail_log(spark, str(tmp_path), 9).collect()) == ["cut {", *(f"m{i}" for i in range(3, 9))]
+    assert logs.tail_log(spark, str(tmp_path), 1).collect() == []
+    assert logs.tail_log(spark, str(tmp_path), 0).collect() == []
+
+
+def test_saved_files_appear_whole_under_their_names(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("x/a b%20.pdf", bytearray(b"\xffone")), ("c.doc", bytearray(b"two")), ("null.pdf", None), ("x/empty.pdf", bytearray())], "path string, content binary")
+    for _ in range(2):
+        assert {tuple(r) for r in files.save_files(rows, f"file:{tmp_path}").collect()} == {("x/a b%20.pdf", 4), ("c.doc", 3), ("x/empty.pdf", 0)}
+    assert (tmp_path / "x" / "a b%20.pdf").read_bytes() == b"\xffone"
+    assert sorted(p.name for p in tmp_path.rglob("*") if p.is_file() and not p.name.startswith(".")) == ["a b%20.pdf", "c.doc", "empty.pdf"]

@@ -8,7 +8,7 @@ import json
 from pyspark.sql import functions as F
 
 from talentmill.functions.vectors import hash_embed
-from talentmill.sources import logs
+from talentmill.sources import files, logs
 from talentmill.streaming import jobs
 
 
@@ -91,3 +91,26 @@ def test_p95_lies_within_its_stated_error(spark):
         assert us <= got[x].edge <= us * (1 + 1 / 128)
     known = sorted(x for x in values if x is not None)
     assert [got[x].bin for x in known] == sorted(got[x].bin for x in known)
+
+
+def test_file_stream_resumes_and_keeps_failures_apart(spark, tmp_path):
+    box = tmp_path / "box"
+    (box / "old").mkdir(parents=True)
+    (box / "a b.pdf").write_bytes(b"Jane Doe\njane@x.org\nPython")
+    (box / "bad.doc").write_bytes(b"\xff")
+    (box / "old" / "deep.pdf").write_bytes(b"Not here")
+
+    def run():
+        rows = files.stream_resume_files(spark, str(box), files_per_trigger=1)
+        jobs.ingest_file_stream(rows, f"{tmp_path}/store", f"{tmp_path}/checkpoint", {"pdf": bytes.decode, "docx": bytes.decode}, 2026)
+        return [
+            sorted((r["path"].rsplit("/", 1)[1], r["status"]) for r in jobs.read_ingested(spark, f"{tmp_path}/store", q).collect())
+            for q in (False, True)]
+
+    assert run() == [[("a b.pdf", "parsed")], [("bad.doc", "failed")]]
+    (box / "blank.PDF").write_bytes(b" ")
+    (box / "new.docx").write_bytes(b"Omar Khan\nGo")
+    stored = {p.name for p in (tmp_path / "store").rglob("part-*")}
+    assert run() == [[("a b.pdf", "parsed"), ("new.docx", "parsed")], [("bad.doc", "failed"), ("blank.PDF", "rejected")]]
+    assert stored < {p.name for p in (tmp_path / "store").rglob("part-*")}
+    assert run() == [[("a b.pdf", "parsed"), ("new.docx", "parsed")], [("bad.doc", "failed"), ("blank.PDF", "rejected")]]
