@@ -15,8 +15,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .bpe import encoder, texts_of
+from .bpe import texts_of
 from .common import bounded_batches
+from .librarybpe import fastest_encoder, library_serves
 
 WINDOW = 2048
 #: Windows that one block fills, the longest piece it works with, and the tokens per window that it leaves free.
@@ -122,10 +123,10 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", wi
         T.StructField("doc_id", docs.schema[key].dataType),
         *(T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")),
         T.StructField("ids", T.BinaryType())])
-    end = int(end_id).to_bytes(4, "little")
+    end, library = int(end_id).to_bytes(4, "little"), library_serves(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, packer = encoder(path), _Packer(window, TaskContext.get().partitionId() << 33)
+        coder, packer = fastest_encoder(path, library), _Packer(window, TaskContext.get().partitionId() << 33)
         key_type = None
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
