@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode
@@ -34,8 +34,12 @@ def op1_deletion_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_pii_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(read(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s.base)
-    counts = (F.size(F.filter("spans", lambda s, k=k: s.base & (s.kind == k))).cast("long").alias(f"n_{kind}")
-              for k, kind in enumerate(KINDS))
+
+    def count(k: int) -> Column:
+        # A second argument of the lambda, defaulted or not, would be taken for the item's index.
+        return F.size(F.filter("spans", lambda s: s.base & (s.kind == k))).cast("long")
+
+    counts = (count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS))
     return found.select("doc.doc_id", *counts, F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("spans")).alias("spans"))
 
 

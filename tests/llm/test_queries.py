@@ -87,3 +87,14 @@ def test_packing_places_every_id_once(spark, small_dir, tokens):
         assert at == len(ids)
     filled = sum(n for placed in sequences.values() for _, n in placed)
     assert filled / (2048 * len(sequences)) > 0.97
+
+
+def test_spans_are_counted_by_their_kind(spark, tmp_path):
+    """Whatever the number and place of a text's spans: an email alone is no ip, and the second email is one more."""
+    card = "4111111111111111"
+    texts = [None, "a@b.c", "a@b.c d@e.f", "x 1.2.3.4", f"{card} a@b.c {card}", "+1 555 123 4567 1.2.3.4 a@b.c a@b.d"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: tuple(r[f"n_{k}"] for k in ("email", "ip", "card", "phone"))
+           for r in QUERIES["op2_pii_boosted_candidates"](spark, str(tmp_path)).collect()}
+    assert got == {0: (0, 0, 0, 0), 1: (1, 0, 0, 0), 2: (2, 0, 0, 0), 3: (0, 1, 0, 0), 4: (1, 0, 2, 0), 5: (2, 1, 0, 1)}
