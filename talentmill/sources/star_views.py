@@ -307,8 +307,11 @@ def timings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table as a file stream."""
-    return spark.readStream.schema(SOURCE_SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """A test table, one file or a folder of them, as a file stream.
+
+    The path is a pattern for the one name: Spark takes a plain path of a stream for a folder, and refuses a file.
+    """
+    return spark.readStream.schema(SOURCE_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parque[t]")
 
 
 def event_fields(events: DataFrame) -> DataFrame:

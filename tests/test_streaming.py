@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from talentmill.functions.vectors import hash_embed
-from talentmill.sources import files, logs
+from talentmill.plans.queries import QUERIES
+from talentmill.sources import files, logs, star_views
 from talentmill.streaming import jobs
 
 
@@ -114,3 +117,19 @@ def test_file_stream_resumes_and_keeps_failures_apart(spark, tmp_path):
     assert run() == [[("a b.pdf", "parsed"), ("new.docx", "parsed")], [("bad.doc", "failed"), ("blank.PDF", "rejected")]]
     assert stored < {p.name for p in (tmp_path / "store").rglob("part-*")}
     assert run() == [[("a b.pdf", "parsed"), ("new.docx", "parsed")], [("bad.doc", "failed"), ("blank.PDF", "rejected")]]
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_a_table_of_one_file_or_many_is_streamed_whole(spark, tmp_path, small_dir, parts):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    if parts:
+        docs.repartition(parts).write.parquet(f"{tmp_path}/documents.parquet")
+    else:
+        shutil.copy(f"{small_dir}/documents.parquet", tmp_path)
+    want = spark.read.parquet(f"{small_dir}/documents.parquet").count()
+    rows = star_views.stream_table(spark, str(tmp_path), "documents").select("doc_id")
+    jobs.run_available(rows, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    got = spark.read.schema("doc_id long").parquet(f"{tmp_path}/out")
+    assert (got.count(), got.distinct().count()) == (want, want)
+    embedded = QUERIES["stream_incremental_embed"](spark, str(tmp_path))
+    assert embedded.select("doc_id").distinct().count() == QUERIES["stream_incremental_embed"](spark, small_dir).select("doc_id").distinct().count()
