@@ -85,12 +85,17 @@ def _written(view: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return read
 
 
-def _lines(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
-    """Order lines summed per key: exact sums over all lines, and the largest line as `l` (ties by larger ids)."""
-    return table(spark, sf_dir, "lineitem").groupBy(*keys).agg(
+def _lines(spark: SparkSession, sf_dir: str, *keys: str, largest: Sequence[str]) -> DataFrame:
+    """Order lines summed per key: exact sums over all lines, and columns of the largest line as `l` (ties by larger ids).
+
+    The largest line is the greatest by `l_extendedprice` and then by the columns of `largest`, in this order. Nearly every line has a
+    key of its own, so nothing is combined before the lines move: sorting whole splits there would only spill. They are dealt by key once.
+    """
+    used = (*keys, "l_extendedprice", "l_discount", "l_quantity", "l_shipdate", *largest)
+    return table(spark, sf_dir, "lineitem").select(*used).repartition(*keys).groupBy(*keys).agg(
         F.sum(_cents("l_extendedprice")).alias("bill"), F.sum(_pay()).alias("pay"),
         F.sum("l_quantity").alias("hours"), F.max("l_shipdate").alias("shipped"),
-        F.max(F.struct("l_extendedprice", "l_suppkey", "l_partkey", "l_linestatus", "l_returnflag")).alias("l"),
+        F.max(F.struct("l_extendedprice", *largest)).alias("l"),
     )
 
 
@@ -188,7 +193,8 @@ def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The aggregate and the join share the hash partitioning of the order key.
     """
-    line = _lines(spark, sf_dir, "l_orderkey").select("l_orderkey", "bill", "pay", "l.*")
+    line = _lines(
+        spark, sf_dir, "l_orderkey", largest=("l_suppkey", "l_partkey", "l_linestatus", "l_returnflag")).select("l_orderkey", "bill", "pay", "l.*")
     stage = (
         F.when(F.col("o_orderstatus") == "O", F.lit("submitted"))
         .when(F.col("o_orderstatus") == "P", F.when(F.col("l_linestatus") == "O", F.lit("interview")).otherwise(F.lit("offer")))
@@ -218,7 +224,7 @@ def _line_id() -> Column:
 @_written
 def payroll(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order and line number: sums of all such lines, contractor of the largest."""
-    return _lines(spark, sf_dir, "l_orderkey", "l_linenumber").select(
+    return _lines(spark, sf_dir, "l_orderkey", "l_linenumber", largest=("l_suppkey",)).select(
         _line_id().alias("id"),
         F.col("l.l_suppkey").alias("contractor_id"),
         F.col("shipped").cast("date").alias("period"),
@@ -233,7 +239,7 @@ def timesheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One sheet per order and line number, with the hours of all such lines."""
     hours = F.col("hours")
     over = hours > 48
-    return _lines(spark, sf_dir, "l_orderkey", "l_linenumber").select(
+    return _lines(spark, sf_dir, "l_orderkey", "l_linenumber", largest=("l_suppkey",)).select(
         _line_id().alias("id"),
         F.col("l.l_suppkey").alias("contractor_id"),
         F.date_trunc("week", F.col("shipped").cast("timestamp")).cast("date").alias("week_start"),

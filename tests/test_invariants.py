@@ -133,3 +133,11 @@ def test_hot_and_cold_keys_join_alike(spark, monkeypatch, parts):
     want = rows_of(rows.join(per_key, "k").select("id", "k", "n"))
     assert rows_of(joins.join_per_key(rows, per_key, "k", "n").select("id", "k", "n")) == want
     assert joins.join_per_key(rows, per_key.where("n < 0"), "k", "n").count() == 0
+
+
+@pytest.mark.parametrize("view", [v.payroll, v.timesheets, v.placements])
+def test_order_lines_move_before_they_are_grouped(spark, small_dir, view):
+    """Keys are nearly as many as lines: grouping whole splits before the shuffle would only sort and spill them."""
+    plan = view.__wrapped__(spark, small_dir)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange"):plan.index("lineitem.parquet")]
+    assert "Aggregate" in plan and "Aggregate" not in below[below.rindex("Exchange"):]
