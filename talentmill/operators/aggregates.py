@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import micros, money, rounded_ratio
+from ..session import materialise
 from .joins import join_per_key
 from .ranks import stats_with_nth
 from .scans import equals
@@ -61,15 +62,17 @@ def margin_leakage(
         F.count("margin_pct").alias("n"),
     )
     weight = F.lit(1) if dedup else F.count("*")
-    pairs = placements.groupBy("candidate_id", "client_id").agg(
+    # Both are read several times below, so each is written once.
+    pairs = materialise(placements.groupBy("candidate_id", "client_id").agg(
         weight.cast("decimal(10,0)").alias("w")
-    )
+    ), "candidate-client")
     per_candidate = (
         pairs.groupBy("candidate_id").agg(F.count("*").alias("links"))
         .join(pay, F.col("candidate_id") == F.col("contractor_id"))
         .join(candidates.select(F.col("id").alias("candidate_id")), "candidate_id", "left_semi")
         .drop("contractor_id")
     )
+    per_candidate = materialise(per_candidate, "per-candidate")
     per_client = join_per_key(pairs, per_candidate, "candidate_id", "links").groupBy("client_id").agg(
         F.sum(F.col("w") * F.col("pct_sum")).alias("pct_sum"),
         F.sum(F.col("w") * F.col("bill_sum")).alias("bill_sum"),

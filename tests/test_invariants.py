@@ -141,3 +141,11 @@ def test_order_lines_move_before_they_are_grouped(spark, small_dir, view):
     plan = view.__wrapped__(spark, small_dir)._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("Exchange"):plan.index("lineitem.parquet")]
     assert "Aggregate" in plan and "Aggregate" not in below[below.rindex("Exchange"):]
+
+
+def test_leakage_groups_its_inputs_once(spark, small_dir):
+    """The sides that are read several times are written; the final plan reads neither placements nor payroll again."""
+    pay, placed = v.payroll(spark, small_dir), v.placements(spark, small_dir)
+    plan = aggregates.margin_leakage(pay, v.candidates(spark, small_dir), placed, v.clients(spark, small_dir), 99)
+    files = plan.inputFiles()
+    assert files and not set(files) & {*pay.inputFiles(), *placed.inputFiles()}
