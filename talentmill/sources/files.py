@@ -20,6 +20,18 @@ ACCEPTED = f"*.{{{_ANY_CASE}}}"
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
+#: Bytes that opening a file counts for. By Spark's 4 MB a task would get 32 small files, and millions of them a hundred thousand tasks.
+OPEN_COST = 64 << 10
+#: Tasks that list the files of a batch; by default there is one for each of up to 10,000 files.
+LISTING_TASKS = 64
+
+
+def many_small_files(spark: SparkSession) -> None:
+    """Make ready to read many small files: the session counts them by about their bytes when it deals them to tasks."""
+    spark.conf.set("spark.sql.files.openCostInBytes", str(OPEN_COST))
+    spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(LISTING_TASKS))
+
+
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path as Spark writes it, and the path there; names may hold blanks and percent signs."""
     found = re.fullmatch(r"(?s)([A-Za-z][A-Za-z0-9+.-]*):(//[^/]*)?(/.*)", uri)
@@ -63,11 +75,13 @@ def read_resume_files(spark: SparkSession, folder: str) -> DataFrame:
 
     Spark plans no split for a file of zero bytes, so such a file gives no row.
     """
+    many_small_files(spark)
     return spark.read.format("binaryFile").option("pathGlobFilter", ACCEPTED).load(folder)
 
 
 def stream_resume_files(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
     """The same rows as a stream: each file that arrives is read once, by path; the checkpoint remembers which."""
+    many_small_files(spark)
     reader = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", ACCEPTED)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
@@ -81,6 +95,7 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def load_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Bytes of the given files; a missing one fails the read."""
+    many_small_files(spark)
     return spark.read.format("binaryFile").load(paths)
 
 

@@ -121,3 +121,12 @@ def test_saved_files_appear_whole_under_their_names(spark, tmp_path):
         assert {tuple(r) for r in files.save_files(rows, f"file:{tmp_path}").collect()} == {("x/a b%20.pdf", 4), ("c.doc", 3), ("x/empty.pdf", 0)}
     assert (tmp_path / "x" / "a b%20.pdf").read_bytes() == b"\xffone"
     assert sorted(p.name for p in tmp_path.rglob("*") if p.is_file() and not p.name.startswith(".")) == ["a b%20.pdf", "c.doc", "empty.pdf"]
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """Loading takes a task per core for small files, not one per 32, and still gives every file."""
+    for i in range(600):
+        (tmp_path / f"{i}.pdf").write_bytes(b"%d" % i)
+    loaded = files.load_files(spark, [str(tmp_path)])
+    assert loaded.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism + 1
+    assert sorted(int(r.content) for r in loaded.select("content").collect()) == list(range(600))
