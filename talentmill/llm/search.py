@@ -4,10 +4,13 @@ The corpus is cut into shards of documents, each with an inverted index whose po
 are divided into blocks of neighbouring documents with their greatest impact. Document
 counts are global, so scores of all shards agree and the merge is exact. Queries
 run in blocks of bounded size: one pass collects the counts of their words, one scores.
+Within a shard, batches of similar queries take their rare words from the posting lists; the words that many of
+its documents have are bounded by block maxima, and only documents that reach a query's k-th score are scored in full.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +26,10 @@ K1, B = 1.2, 0.75
 TOP = 10
 #: Documents of a shard and of a block within it; words of a shard at most, but for one long document.
 SHARD_DOCS, BLOCK_DOCS, SHARD_WORDS = 4096, 64, 3_000_000
+#: A word is common in a shard if it is in this part of its documents; at most so many, the commonest, form a dense matrix (16 MB).
+COMMON_PART, COMMON_WORDS = 16, 512
+#: Queries, and postings of their rare words, that are scored at a time.
+BATCH, BATCH_POSTINGS = 128, 1_000_000
 #: Query words that are broadcast at a time: about 40 MB.
 QUERY_WORDS = 2_000_000
 #: Scores are compared at six decimals, equal ones by id.
@@ -40,22 +47,22 @@ def _build(words: list[np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """
     sizes = np.array([len(w) for w in words])
     flat, doc = np.concatenate(words), np.repeat(np.arange(len(words)), sizes)
-    order = np.lexsort((doc, flat))
+    order = np.argsort(flat, kind="stable")
     flat, doc = flat[order], doc[order]
     new = np.concatenate([[True], (np.diff(flat) != 0) | (np.diff(doc) != 0)]) if len(flat) else np.zeros(0, bool)
     at = np.flatnonzero(new)
     term, member = flat[at], doc[at]
     count = np.diff(np.append(at, len(flat)))
-    common = np.zeros(len(words), np.uint64)
-    best = np.lexsort((term, count, member))
-    common[member[best]] = term[best]
-    rank = np.lexsort((sizes, common))
+    terms, starts = np.unique(term, return_index=True)
+    number = np.repeat(np.arange(len(terms)), np.diff(np.append(starts, len(term))))
+    best = np.zeros(len(words), np.int64)
+    np.maximum.at(best, member, count * len(terms) + number)
+    rank = np.lexsort((sizes, best % max(len(terms), 1), best > 0))
     place = np.empty(len(words), np.int64)
     place[rank] = np.arange(len(words))
     member = place[member]
-    again = np.lexsort((member, term))
-    term, member, count = term[again], member[again], count[again]
-    terms, starts = np.unique(term, return_index=True)
+    again = np.argsort(number * len(words) + member)
+    member, count = member[again], count[again]
     return rank, {"lengths": sizes[rank], "terms": terms, "starts": np.append(starts, len(term)).astype(np.int64),
                   "members": member.astype("<u2"), "counts": count.astype("<u4")}
 
@@ -146,7 +153,7 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class _Shard:
-    """The part of a shard's index that a query block can touch, with block maxima."""
+    """The part of a shard's index that a query block can touch: postings of rare words, a matrix of common ones with block maxima."""
 
     def __init__(self, a: dict[str, np.ndarray], terms: np.ndarray, idf: np.ndarray, mean_length: float) -> None:
         _, known, here = np.intersect1d(terms, a["terms"], True, True)
@@ -156,46 +163,72 @@ class _Shard:
         tf = a["counts"][at].astype(np.float64)
         self.impact = tf * (K1 + 1) / (tf + length[self.doc]) * idf[known][which]
         self.docs = len(a["lengths"])
-        block = self.doc // BLOCK_DOCS
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(which) != 0) | (np.diff(block) != 0)])) if len(at) else at
-        self.part_starts = np.append(new, len(at))
-        self.part_block = block[new]
-        self.part_most = np.maximum.reduceat(self.impact, new) if len(at) else self.impact
-        self.part_of = np.searchsorted(which[new], np.arange(len(known) + 1))
+        sizes = np.bincount(which, minlength=len(known))
+        self.starts = np.append(0, np.cumsum(sizes))
         self.local = np.full(len(terms), -1)
         self.local[known] = np.arange(len(known))
-
-    def top(self, terms: np.ndarray, times: np.ndarray, least: float, k: int, own: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Documents that may be in the top k with a score of at least `least`, and their scores.
-
-        Documents of `own` are no result and do not raise the bound. The blocks of greatest possible score are scored first; the others only where their bound
-        reaches the k-th score found.
+        common = np.argsort(-sizes, kind="stable")[:COMMON_WORDS]
+        common = common[sizes[common] * COMMON_PART >= self.docs]
+        self.column = np.full(len(known), -1)
+        self.column[common] = np.arange(len(common))
+        self.dense = np.zeros((self.docs, len(common)))
+        at, which = _ranges(self.starts[common], self.starts[common + 1])
+        self.dense[self.doc[at], which] = self.impact[at]
+        self.most = np.maximum.reduceat(self.dense, np.arange(0, self.docs, BLOCK_DOCS))
+
+    def top(self, spans: np.ndarray, terms: np.ndarray, times: np.ndarray, least: np.ndarray, k: int,
+            own: tuple[list[int], list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For a batch of queries, the documents that may be in the top k with a score of at least `least`: query, document, score.
+
+        The pairs (query, document) of `own` are no result and do not raise the bound. Rare words are scored for every document; a
+        document's common words are bounded by the maxima of its block, and only documents whose bound reaches the
+        least score of any query of the batch are scored by them too.
         """
-        t = self.local[terms]
+        n, t = len(spans) - 1, self.local[terms]
+        query = np.repeat(np.arange(n), np.diff(spans))[t >= 0]
         times, t = times[t >= 0], t[t >= 0]
-        parts, which = _ranges(self.part_of[t], self.part_of[t + 1])
-        block, times = self.part_block[parts], times[which]
-        bound = np.bincount(block, self.part_most[parts] * times, -(-self.docs // BLOCK_DOCS)) * (1 + 1e-9) + 10.0 ** -DECIMALS
-        order = np.argsort(-bound, kind="stable")
-        found, scores = np.zeros(0, np.int64), np.zeros(0)
-        lo, step = 0, 4
-        while lo < len(order) and bound[order[lo]] > 0 and bound[order[lo]] >= least:
-            chosen = np.zeros(len(bound), bool)
-            todo = order[lo:lo + step]
-            chosen[todo[bound[todo] >= least]] = True
-            keep = chosen[block]
-            p = parts[keep]
-            at, which = _ranges(self.part_starts[p], self.part_starts[p + 1])
-            score = np.bincount(self.doc[at], self.impact[at] * times[keep][which], self.docs)
-            score[own] = 0
-            hit = np.flatnonzero(score)
-            hit, got = hit, np.round(score[hit], DECIMALS)
-            found, scores = np.append(found, hit[got >= least]), np.append(scores, got[got >= least])
-            if len(scores) >= k:
-                least = max(least, np.partition(scores, len(scores) - k)[len(scores) - k])
-            lo, step = lo + step, step * 4
-        good = scores >= least
-        return found[good], scores[good]
+        column = self.column[t]
+        common = column >= 0
+        weights = np.zeros((n, self.dense.shape[1]))
+        weights[query[common], column[common]] = times[common]
+        score = np.zeros(n * self.docs)
+        query, times, t = query[~common], times[~common], t[~common]
+        first, sizes = self.starts[t], self.starts[t + 1] - self.starts[t]
+        reached = np.cumsum(sizes)
+        cuts = np.searchsorted(reached, np.arange(0, reached[-1] if len(t) else 0, BATCH_POSTINGS), side="right")
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(t))):
+            at, _ = _ranges(first[lo:hi], first[lo:hi] + sizes[lo:hi])
+            cell = np.repeat(query[lo:hi] * self.docs, sizes[lo:hi]) + self.doc[at]
+            score += np.bincount(cell, self.impact[at] * np.repeat(times[lo:hi], sizes[lo:hi]), len(score))
+        score = score.reshape(n, self.docs)
+        score[own] = -np.inf
+        least, new = least.copy(), np.isneginf(least)
+        if new.any() and self.docs >= k:
+            # Rare words alone give a k-th score that the whole one is not below.
+            least[new] = np.round(np.partition(score[new], self.docs - k, axis=1)[:, self.docs - k], DECIMALS)
+        bound = score + np.repeat(weights @ self.most.T, BLOCK_DOCS, axis=1)[:, :self.docs]
+        reach = (bound > 0) & (bound * (1 + 1e-9) + 10.0 ** -DECIMALS >= least[:, None])
+        some = reach.any(axis=0)
+        exact = weights @ self.dense[some].T
+        query, at = np.divmod(np.flatnonzero(reach), self.docs)
+        exact = exact[query, np.cumsum(some)[at] - 1] + score[query, at]
+        hit = (exact > 0) & (np.round(exact, DECIMALS) >= least[query])
+        query, at, exact = query[hit], at[hit], np.round(exact[hit], DECIMALS)
+        order = np.lexsort((-exact, query))
+        last = np.searchsorted(query, np.arange(n)) + k - 1
+        full = np.flatnonzero(last < np.searchsorted(query, np.arange(n), side="right"))
+        least[full] = exact[order][last[full]]
+        good = exact >= least[query]
+        return query[good], at[good], exact[good]
+
+
+def _alike(first: np.ndarray, place: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of queries by their commonest word, so that neighbours need the same blocks; their spans there, and the order of their words."""
+    ends = np.append(first[1:], len(place))
+    most = np.repeat(np.maximum.reduceat(times, first), ends - first)
+    order = np.argsort(np.maximum.reduceat(np.where(times == most, place, -1), first), kind="stable")
+    at, _ = _ranges(first[order], ends[order])
+    return order, np.append(0, np.cumsum((ends - first)[order])), at
 
 
 def _score(index: DataFrame, ids: T.DataType, queries: list, spans: np.ndarray, terms: np.ndarray, place: np.ndarray, times: np.ndarray,
@@ -207,22 +240,25 @@ def _score(index: DataFrame, ids: T.DataType, queries: list, spans: np.ndarray,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, spans, terms, place, times, idf = shared.value
         best: list[list[tuple]] = [[] for _ in queries]
-        asked, kind = set(queries), None
+        asked, kind = {name: q for q, name in enumerate(queries)}, None
         for batch in batches:
             kind = batch.schema.field("ids").type.value_type
             for i in range(batch.num_rows):
                 shard, names = _Shard(_arrays(batch, i), terms, idf, mean_length), batch.column("ids")[i].values.to_pylist()
                 # Rows of the query's own id, however many, do not count.
-                own: dict = {}
-                for d, name in enumerate(names):
-                    if name in asked:
-                        own.setdefault(name, []).append(d)
-                for q, name in enumerate(queries):
-                    span, mine = slice(spans[q], spans[q + 1]), best[q]
-                    doc, score = shard.top(place[span], times[span], -mine[-1][0] if len(mine) == k else -np.inf, k, own.get(name, []))
-                    new = [(-s, names[d]) for d, s in zip(doc.tolist(), score.tolist())]
-                    if new:
-                        best[q] = sorted(mine + new)[:k]
+                own: list[tuple[int, int]] = sorted((asked[name], d) for d, name in enumerate(names) if name in asked)
+                for lo in range(0, len(queries), BATCH):
+                    hi = min(lo + BATCH, len(queries))
+                    least = np.array([-mine[-1][0] if len(mine) == k else -np.inf for mine in best[lo:hi]])
+                    mine = own[bisect_left(own, (lo, 0)):bisect_left(own, (hi, 0))]
+                    span = slice(spans[lo], spans[hi])
+                    found = shard.top(spans[lo:hi + 1] - spans[lo], place[span], times[span], least, k,
+                                      ([q - lo for q, _ in mine], [d for _, d in mine]))
+                    new: dict[int, list[tuple]] = {}
+                    for q, d, s in zip(*(x.tolist() for x in found)):
+                        new.setdefault(lo + q, []).append((-s, names[d]))
+                    for q, rows in new.items():
+                        best[q] = sorted(best[q] + rows)[:k]
         rows = [(name, doc, -s) for name, mine in zip(queries, best) for s, doc in mine]
         if rows:
             q, doc, score = zip(*rows)
@@ -244,7 +280,8 @@ def top_documents(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text
     """
     rows = docs.where(docs[key].isNotNull()).select(docs[key].alias("id"), docs[text].alias("text"))
     asked = queries.where(queries[key].isNotNull()).groupBy(queries[key].alias("id")).agg(F.min(queries[text]).alias("text"))
-    index = stored(build_index(rows), "search-index")
+    # A file per shard, so that tasks get as many shards each.
+    index = stored(build_index(rows), "search-index", maxRecordsPerFile=1)
     words = stored(_query_words(asked), "search-queries")
     size = index.agg(F.sum("docs"), F.sum("words")).first()
     n, mean_length = size[0] or 0, (size[1] or 0) / max(size[0] or 0, 1)
@@ -258,8 +295,9 @@ def top_documents(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text
         terms, place = np.unique(mine["term"].to_numpy().view(np.uint64), return_inverse=True)
         df = _document_counts(index, terms)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        found = found.union(_score(index, kind, names.tolist(), np.append(first, len(place)), terms, place,
-                                   mine["times"].to_numpy().astype(np.float64), idf, mean_length, k))
+        times = mine["times"].to_numpy().astype(np.float64)
+        order, spans, at = _alike(first, place, times)
+        found = found.union(_score(index, kind, names[order].tolist(), spans, terms, place[at], times[at], idf, mean_length, k))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "doc")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         F.col("q").alias("query_id"), F.col("doc").alias("doc_id"), "score", "rank")

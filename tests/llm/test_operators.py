@@ -11,9 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from talentmill.llm import bpe, packing, pii
+from talentmill.llm import bpe, packing, pii, search
 from talentmill.llm.boosting import boost, calibrated_cut, scores
 from talentmill.llm.chat import rotate_perspectives
+from talentmill.llm.common import stored
 from talentmill.llm.components import components
 from talentmill.llm.fmindex import FMIndex, suffix_array
 from talentmill.llm.lines import dedup_lines
@@ -404,6 +405,43 @@ def test_search_equals_brute_force(spark, monkeypatch):
     assert top_documents(table(spark, []), table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("common", [0, 3, 512])
+def test_search_scores_a_batch_of_queries_like_brute_force(monkeypatch, common):
+    monkeypatch.setattr(search, "COMMON_WORDS", common)
+    monkeypatch.setattr(search, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(search, "BATCH_POSTINGS", 50)
+    draw = np.random.default_rng(7)
+    words = [np.minimum(draw.geometric(0.02, draw.integers(0, 60)), 400).astype(np.uint64) for _ in range(210)]
+    rank, index = search._build(words)
+    asked = [np.unique(w, return_counts=True) for w in words[:40]]
+    terms, place = np.unique(np.concatenate([t for t, _ in asked]), return_inverse=True)
+    spans, times = np.cumsum([0, *(len(t) for t, _ in asked)]), np.concatenate([n for _, n in asked]).astype(float)
+    idf, mean = 1 + terms / 400.0, float(np.mean([len(w) for w in words]))
+    tf = np.array([[np.sum(words[d] == t) for t in terms] for d in rank], float)
+    length = search.K1 * (1 - search.B + search.B * index["lengths"] / mean)
+    impact = tf * (search.K1 + 1) / (tf + length[:, None]) * idf
+    least = np.where(np.arange(40) % 3 == 0, 20.0, -np.inf)
+    own = ([q for q in range(0, 40, 2)], [int(np.flatnonzero(rank == q)[0]) for q in range(0, 40, 2)])
+    before = least.copy()
+    query, doc, score = search._Shard(index, terms, idf, mean).top(spans, place, times, least, 5, own)
+    assert (least == before).all()
+    for q in range(40):
+        span = slice(spans[q], spans[q + 1])
+        full = impact[:, place[span]] @ times[span]
+        want = sorted(((-round(x, 6), d) for d, x in enumerate(full) if x > 0 and (q, d) not in zip(*own) and round(x, 6) >= least[q]))[:5]
+        got = sorted(zip((-score[query == q]).tolist(), doc[query == q].tolist()))
+        assert [d for _, d in got[:5]] == [d for _, d in want] and np.allclose([x for x, _ in got[:5]], [x for x, _ in want], atol=2e-6)
+        # Nothing below the k-th score is returned.
+        assert all(x <= got[:5][-1][0] for x, _ in got)
+
+
+def test_search_keeps_a_file_per_shard(spark, monkeypatch):
+    monkeypatch.setattr(search, "SHARD_DOCS", 20)
+    docs = table(spark, [(i, f"word{i % 9} other{i}") for i in range(100)]).coalesce(1)
+    index = stored(search.build_index(docs.select(F.col("doc_id").alias("id"), "text")), "search-index", maxRecordsPerFile=1)
+    assert index.count() == len(index.inputFiles()) == 5
+
+
 def test_search_leaves_out_every_row_of_the_own_id(spark):
     rows = [(0, "alpha beta gamma")] * 12 + [(0, "alpha beta delta")] * 3 + [(i, "alpha beta" + " pad" * i) for i in range(1, 9)]
     docs = table(spark, rows).coalesce(1)
