@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from hashlib import md5
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,17 +35,32 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
 
 
-@lru_cache(maxsize=1 << 18)
-def _slot(token: str, dim: int) -> int:
-    """Hash bucket of a token, moved up by dim if its sign is negative."""
-    digest = md5(token.encode("utf-8"), usedforsecurity=False).hexdigest()
-    return int(digest[:8], 16) % dim + (int(digest[8], 16) % 2) * dim
+#: Tokens whose buckets a task remembers.
+REMEMBERED = 1 << 18
+
+
+class _Slots(dict):
+    """Hash bucket of every token, moved up by dim if its sign is negative."""
+
+    def __init__(self, dim: int) -> None:
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        digest = md5(token.encode("utf-8"), usedforsecurity=False).hexdigest()
+        self[token] = slot = int(digest[:8], 16) % self.dim + (int(digest[8], 16) % 2) * self.dim
+        return slot
+
+
+_slots = lru_cache(_Slots)
 
 
 def _encode(texts: Sequence[str | None], dim: int) -> np.ndarray:
     """Unit vectors of signed token counts, one row per text: one count over (row, slot) for all."""
     tokens = [TOKEN.findall(t.lower()) if t else [] for t in texts]
-    slots = np.fromiter((_slot(t, dim) for row in tokens for t in row), np.int64)
+    slots = np.fromiter(map(_slots(dim).__getitem__, chain.from_iterable(tokens)), np.int64)
     rows = np.repeat(np.arange(len(tokens)), [len(row) for row in tokens])
     counts = np.bincount(rows * (2 * dim) + slots, minlength=len(tokens) * 2 * dim).reshape(-1, 2, dim)
     vectors = (counts[:, 0] - counts[:, 1]).astype(float)

@@ -81,14 +81,16 @@ def route_files(files: DataFrame) -> DataFrame:
 def ingest_files(files: DataFrame, as_of_year: int) -> DataFrame:
     """Route, parse and label every file of a (path, text) table; failures stay as rows.
 
-    status is 'parsed', 'rejected' (no text) or 'unsupported' (file type).
+    status is 'parsed', 'rejected' (no text) or 'unsupported' (file type). Only parsed files have fields: there is
+    no decoder for an unsupported one, so its text is not parsed.
     """
     routed = route_files(files).withColumnRenamed("error", "_unsupported")
-    parsed = parse_documents(routed, as_of_year)
+    parsed = parse_documents(
+        routed.withColumn("_decoded", F.when(F.col("_unsupported").isNull(), F.col("text"))), as_of_year, text="_decoded")
     status = F.when(F.col("_unsupported").isNotNull(), F.lit("unsupported")).otherwise(F.col("status"))
     return parsed.withColumns({
         "status": status, "error": F.coalesce("_unsupported", "error"),
-    }).drop("_unsupported")
+    }).drop("_unsupported", "_decoded")
 
 
 def candidate_rows(ingested: DataFrame) -> DataFrame:

@@ -181,12 +181,11 @@ class Warehouse:
 
     def _embed(self, name: str, text: Column, force: bool) -> int:
         """Embed rows without a stored embedding and append the vectors; the table itself is only read."""
-        start, rows = time.perf_counter(), self.table(name)
+        seen, start, rows = Observation(f"embed_{name}"), time.perf_counter(), self.table(name)
         todo = rows if force else rows.join(self.embeddings(name).select("id"), "id", "left_anti")
-        vectors = materialise(hash_embed(todo.select("id", text.alias("text")), dim=EMBEDDING_DIM), f"embed-{name}")
-        done = vectors.count()
-        if done:
-            tables.append_embeddings(vectors, self.root, name)
+        vectors = hash_embed(todo.select("id", text.alias("text")), dim=EMBEDDING_DIM)
+        tables.append_embeddings(vectors.observe(seen, F.count("*").alias("rows")), self.root, name)
+        done = seen.get.get("rows", 0)
         timings.record(self.spark, self.root, f"embed_{name}", time.perf_counter() - start, {"rows": done})
         return done
 

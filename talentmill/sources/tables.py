@@ -37,7 +37,10 @@ def _embeddings_path(root: str, name: str) -> str:
 
 def _stored_embeddings(spark: SparkSession, root: str, name: str) -> DataFrame:
     path = _embeddings_path(root, name)
-    return spark.read.schema(EMBEDDINGS).parquet(path) if exists(spark, path) else spark.createDataFrame([], EMBEDDINGS)
+    if exists(spark, path):
+        return spark.read.schema(EMBEDDINGS).parquet(path)
+    # The optimizer sees that this is empty, and drops a join with it.
+    return spark.createDataFrame([], EMBEDDINGS).where(F.lit(False))
 
 
 def read_embeddings(spark: SparkSession, root: str, name: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from talentmill.functions import vectors
 from talentmill.functions.vectors import cosine, embedding_quality, hash_embed
 from talentmill.operators.similarity import best_hits, cosine_topk, count_hits, neighbour_counts
 
@@ -133,3 +134,11 @@ def test_memory_of_a_block_pair_is_bounded():
     assert best["neighbour"].tolist() == c["id"].to_numpy()[whole.argmax(axis=1)].tolist()
     hits = (whole >= 0.8).sum(axis=1)
     assert dict(zip(counted["id"], counted["hits"])) == {i: n for i, n in zip(q["id"], hits) if n}
+
+
+def test_encoder_remembers_a_bounded_number_of_tokens(monkeypatch):
+    texts = [" ".join(f"word{i * j % 97}" for j in range(60)) for i in range(40)] + [None, ""]
+    want = vectors._encode(texts, 16)
+    monkeypatch.setattr(vectors, "REMEMBERED", 5)
+    vectors._slots.cache_clear()
+    assert (vectors._encode(texts, 16) == want).all() and len(vectors._slots(16)) <= 5

@@ -7,10 +7,11 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from talentmill.operators import seed, writes
+from talentmill.operators import parsing, seed, writes
 from talentmill.operators.quality import contract_violations, split_valid
 from talentmill.plans.warehouse import Warehouse
 from talentmill.schemas import TABLES
+from talentmill.sources import tables
 
 
 @pytest.fixture
@@ -220,3 +221,23 @@ def test_contracts_read_every_table_once(spark, tmp_path):
     assert ("jobs", "client_id in clients") not in alone and alone["jobs", "id unique"] == 0
     empty = contract_violations({k: d.limit(0) for k, d in stored.items()}).collect()
     assert len(empty) == len(got) and not any(r["violations"] for r in empty)
+
+
+def test_files_of_unsupported_types_are_not_parsed(spark):
+    text = "Jane Doe\njane@example.com\nPython"
+    files = spark.createDataFrame([("a/x.png", text), ("a/x.pdf", text), ("a/y.PDF", " \n")], "path string, text string")
+    got = {r["path"]: r for r in parsing.ingest_files(files, 2026).collect()}
+    assert [(got[p]["status"], got[p]["email"], got[p]["skills"]) for p in ("a/x.png", "a/x.pdf", "a/y.PDF")] == [
+        ("unsupported", None, None), ("parsed", "jane@example.com", ["Python"]), ("rejected", None, None)]
+    assert got["a/x.png"]["text"] == text and set(files.columns) < set(got["a/x.png"].asDict()) and "_decoded" not in got["a/x.png"]
+
+
+def test_first_embedding_moves_no_text(spark, tmp_path):
+    house = Warehouse(spark, str(tmp_path))
+    rows = spark.range(50).select("id", F.lit("text").alias("text"))
+    todo = rows.join(house.embeddings("candidates").select("id"), "id", "left_anti")
+    plan = todo._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and todo.count() == 50
+    tables.bucketed(spark, house.root, "candidates").clear()
+    assert house.embed_candidates() == 0 and house.embed_candidates() == 0
+    assert house.job_timings().agg(F.sum("n_rows")).first()[0] == 0
