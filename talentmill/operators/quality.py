@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import TABLES, Table
 from ..session import materialise
@@ -25,10 +26,11 @@ class _Rule:
 
 
 class _Compiled:
-    """The rules of some tables, as the stacked rows (space, key, slot) that each table contributes.
+    """The rules of some tables, as the stacked rows (space, key, text, slot) that each table contributes.
 
-    Three kinds of space: the broken rows of a table (no key, one slot per rule), the values of a unique
-    column (slot 0), and of an id that others link to (slot 0 own rows, then one slot per link).
+    Three kinds of space: the rows that break a rule (no key), the values of a unique column (slot 0), and of an id
+    that others link to (slot 0 own rows, then one slot per link). Every value carries a count per slot, so there are only as many
+    slots as an id has links; whole numbers stay numbers, and all other values are text.
     """
 
     def __init__(self, tables: Mapping[str, DataFrame]) -> None:
@@ -38,14 +40,17 @@ class _Compiled:
         spaces: dict[tuple[str, str], int] = {}
         used: dict[int, int] = {}
 
+        # An id and all columns that link to it are compared alike.
+        texts = {parent for name, df in tables.items() for c, parent in [("id", name), *TABLES[name].links.items()]
+                 if c in df.columns and not isinstance(df.schema[c].dataType, T.IntegralType)}
+
         def space_of(table: str, column: str) -> int:
             if (table, column) not in spaces:
                 number = spaces[table, column] = len(spaces)
-                used[number] = 0
+                used[number] = 1
                 if column in tables[table].columns:
-                    self._emit(table, number, 0, F.col(column).cast("string"), F.col(column).isNotNull())
-                if column:
-                    used[number] = 1
+                    number_like = column == "id" and table not in texts
+                    self._emit(table, number, 0, F.col(column), F.col(column).isNotNull(), number_like)
             return spaces[table, column]
 
         def slot_of(space: int) -> int:
@@ -53,12 +58,12 @@ class _Compiled:
             return used[space] - 1
 
         for name, df in tables.items():
-            table, own = TABLES[name], space_of(name, "")
-            self.row_spaces.add(own)
+            table = TABLES[name]
             for _, rule, bad in _broken_rules(name, df.columns):
-                slot = slot_of(own)
-                self.rules.append(_Rule(name, rule, own, slot))
-                self._emit(name, own, slot, F.lit(None).cast("string"), bad)
+                own = space_of(name, f"rule: {rule}")
+                self.row_spaces.add(own)
+                self.rules.append(_Rule(name, rule, own, 0))
+                self._emit(name, own, 0, F.lit(None), bad, True)
             for c in table.unique:
                 if c in df.columns:
                     self.rules.append(_Rule(name, f"{c} unique", space_of(name, c), 0))
@@ -67,11 +72,13 @@ class _Compiled:
                     ids = space_of(parent, "id")
                     slot = slot_of(ids)
                     self.rules.append(_Rule(name, f"{c} in {parent}", ids, slot))
-                    self._emit(name, ids, slot, F.col(c).cast("string"), F.col(c).isNotNull())
+                    self._emit(name, ids, slot, F.col(c), F.col(c).isNotNull(), parent not in texts)
         self.slots = max(used.values(), default=0)
 
-    def _emit(self, table: str, space: int, slot: int, key: Column, present: Column) -> None:
-        entry = F.struct(F.lit(space).alias("space"), key.alias("key"), F.lit(slot).alias("slot"))
+    def _emit(self, table: str, space: int, slot: int, key: Column, present: Column, number_like: bool) -> None:
+        number, text = (key, F.lit(None)) if number_like else (F.lit(None), key)
+        entry = F.struct(
+            F.lit(space).alias("space"), number.cast("long").alias("key"), text.cast("string").alias("text"), F.lit(slot).alias("slot"))
         self.stacked[table].append(F.when(present, entry))
 
 
@@ -84,12 +91,12 @@ def contract_violations(tables: Mapping[str, DataFrame]) -> DataFrame:
     side, so a value in most rows costs one row per task, holds both sides of every link; no table is joined.
     """
     rules = _Compiled(tables)
-    # A table without any rule is not read.
+    # A table without any rule is not read. Absent entries are dropped after the arrays are unfolded: a filter of arrays is not compiled.
     parts = [
-        df.select(F.inline(F.array_compact(F.array(*rules.stacked[name])))) for name, df in tables.items() if rules.stacked[name]
+        df.select(F.inline(F.array(*rules.stacked[name]))).where("space is not null") for name, df in tables.items() if rules.stacked[name]
     ]
     slots = range(rules.slots)
-    per_key = reduce(DataFrame.union, parts).groupBy("space", "key").agg(
+    per_key = reduce(DataFrame.union, parts).groupBy("space", "key", "text").agg(
         *[F.count_if(F.col("slot") == i).alias(f"_{i}") for i in slots])
     of_rows, orphan = F.col("space").isin(*sorted(rules.row_spaces)), F.col("_0") == 0
     excess = F.when(of_rows, F.col("_0")).otherwise(F.greatest(F.col("_0") - 1, F.lit(0)))

@@ -241,3 +241,18 @@ def test_first_embedding_moves_no_text(spark, tmp_path):
     tables.bucketed(spark, house.root, "candidates").clear()
     assert house.embed_candidates() == 0 and house.embed_candidates() == 0
     assert house.job_timings().agg(F.sum("n_rows")).first()[0] == 0
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "int"])
+def test_contract_keys_of_any_type_meet_and_are_counted_in_compiled_code(spark, kind):
+    stored = {
+        "clients": spark.createDataFrame([(1, "a"), (2, None), (2, "c")], "id long, name string"),
+        "jobs": spark.createDataFrame([(1, "t", 1), (2, None, 9), (3, "u", None)], "id long, title string, client_id long").withColumn(
+            "client_id", F.col("client_id").cast(kind)),
+    }
+    report = contract_violations(stored)
+    assert "ArrayFilter" not in report._jdf.queryExecution().optimizedPlan().toString() and "filter(array" not in report._jdf.queryExecution().toString()
+    got = {(r["table"], r["rule"]): r["violations"] for r in report.collect()}
+    assert got["clients", "id unique"] == 1 and got["clients", "name not null"] == 1
+    assert got["jobs", "client_id in clients"] == 1 and got["jobs", "client_id not null"] == 1 and got["jobs", "title not null"] == 1
+    assert got["jobs", "id unique"] == 0
