@@ -158,7 +158,8 @@ def robust_findings(timesheets: DataFrame, limit: float = 3.5) -> DataFrame:
 
     def middle(rows: DataFrame, value: str, name: str) -> DataFrame:
         found = nth_value(rows, "contractor_id", value, lambda n: F.floor((n + 1) / 2), near=0.5)
-        return counts.join(found.withColumnRenamed("nth_value", name), "contractor_id")
+        # Stored, so that its size is known when it meets the sheets: a small one is broadcast, and no sheet moves.
+        return materialise(counts.join(found.withColumnRenamed("nth_value", name), "contractor_id"), f"{name}-per-contractor")
 
     placed = join_per_key(sheets, middle(sheets, "hours", "median"), "contractor_id", "n").drop("n")
     placed = materialise(placed.withColumn("away", F.abs(F.col("hours") - F.col("median"))), "sheets-from-median")

@@ -149,3 +149,14 @@ def test_leakage_groups_its_inputs_once(spark, small_dir):
     plan = aggregates.margin_leakage(pay, v.candidates(spark, small_dir), placed, v.clients(spark, small_dir), 99)
     files = plan.inputFiles()
     assert files and not set(files) & {*pay.inputFiles(), *placed.inputFiles()}
+
+
+def test_robust_findings_move_no_sheets_to_few_contractors(spark):
+    sheets = spark.range(4000).select("id", (F.col("id") % 40).alias("contractor_id"), (F.col("id") * 7919 % 61).cast("double").alias("hours"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10k")
+    try:
+        found = insights.robust_findings(sheets, 1.0)
+        assert "SortMergeJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+        assert found.count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
