@@ -114,10 +114,11 @@ def flag_anomalies(timesheets: DataFrame, findings: DataFrame) -> DataFrame:
     more than one, change nothing: rejected_findings returns them.
     """
     best = findings.groupBy("id").agg(F.max(F.struct("score", "reason")).alias("_f"))
-    best = best.join(_targets(timesheets).where("_rows = 1"), "id", "left_semi")
-    hit = F.col("_f").isNotNull()
+    # The join has the rows of an id together and in order, so they are counted there.
+    hit = F.col("_f").isNotNull() & (F.col("_rows") == 1)
     return (
         timesheets.join(best, "id", "left")
+        .withColumn("_rows", F.count("*").over(Window.partitionBy("id")))
         .withColumns({
             "anomaly_flag": F.when(hit, F.lit(True)).otherwise(F.col("anomaly_flag")),
             "anomaly_score": F.when(hit, F.col("_f.score")).otherwise(F.col("anomaly_score")),

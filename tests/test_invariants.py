@@ -160,3 +160,15 @@ def test_robust_findings_move_no_sheets_to_few_contractors(spark):
         assert found.count() > 0
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_flags_read_the_sheets_once_and_count_ids_where_they_join(spark):
+    sheets = spark.createDataFrame(
+        [(1, "approved", None, None, None), (2, "approved", None, None, None), (2, "approved", False, 0.5, "old"), (None, "approved", None, None, None)],
+        "id long, status string, anomaly_flag boolean, anomaly_score double, anomaly_reason string")
+    findings = spark.createDataFrame(
+        [(1, 2.0, "a"), (1, 3.0, "b"), (2, 9.0, "c"), (None, 9.0, "d"), (7, 9.0, "e")], "id long, score double, reason string")
+    flagged = writes.flag_anomalies(sheets, findings)
+    assert flagged._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1 and flagged.columns == sheets.columns
+    assert sorted(map(tuple, flagged.collect()), key=str) == sorted([
+        (1, "flagged", True, 3.0, "b"), (2, "approved", None, None, None), (2, "approved", False, 0.5, "old"), (None, "approved", None, None, None)], key=str)
