@@ -113,19 +113,25 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """Columns a, a_n, b, b_n: every pair of words (word, n) that differ by one code point, a before b, once."""
+    """Columns a, a_n, b, b_n: every pair of words (word, n) that differ by one code point, a before b, once.
+
+    A word has 28 signatures, which Spark's size of the words does not count, so sides are merged and never broadcast.
+    """
     bounded_batches(words.sparkSession)
     posted = words.select("word", "n").mapInArrow(_signatures, "signature long, word string, n long")
     a, b = posted.toDF("signature", "a", "a_n"), posted.toDF("signature", "b", "b_n")
-    return a.join(b, "signature").where("a < b and levenshtein(a, b, 1) = 1").select("a", "a_n", "b", "b_n").distinct()
+    return a.join(b.hint("merge"), "signature").where("a < b and levenshtein(a, b, 1) = 1").select("a", "a_n", "b", "b_n").distinct()
 
 
 def _roots(links: DataFrame) -> DataFrame:
-    """Follow links (word, root) to their ends by doubling: counts at least double at each, so chains are short and without loops."""
+    """Follow links (word, root) to their ends by doubling: counts at least double at each, so chains are short and without loops.
+
+    The links grow with the vocabulary and lie in files much smaller than their rows in memory, so they are merged, too.
+    """
     links = stored(links, "spelling-links")
     while True:
         on = links.select(F.col("word").alias("via"), F.col("root").alias("end"))
-        links = stored(links.select("word", "root").join(on, F.col("root") == F.col("via"), "left").select(
+        links = stored(links.select("word", "root").join(on.hint("merge"), F.col("root") == F.col("via"), "left").select(
             "word", F.coalesce("end", "root").alias("root"), F.col("end").isNotNull().alias("moved")), "spelling-links")
         if links.where("moved").isEmpty():
             return links.select("word", "root")
@@ -155,4 +161,4 @@ def spelling_variants(docs: DataFrame, key: str = "doc_id", text: str = "text",
     best = stored(best.withColumn("near", F.when(-F.col("near.least") >= ratio * F.col("n"), F.col("near"))).select(
         "word", "n", "n_near", "near.form", (-F.col("near.least")).alias("form_n")), "spelling-forms")
     roots = _roots(best.where("form is not null").select("word", F.col("form").alias("root")))
-    return best.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return best.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -154,6 +154,25 @@ def test_variants_of_an_empty_table(spark):
     assert spelling_variants(table(spark, [])).collect() == []
 
 
+def test_signatures_and_links_are_never_broadcast(spark):
+    # Small tables, which Spark broadcasts by their size unless it is told not to.
+    words = spark.createDataFrame([("letters", 9), ("lettres", 3), ("leters", 3)], "word string, n long")
+    links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "word string, root string")
+    docs = table(spark, [(1, WORDS * 3, "en", "a")])
+    for found, rows in ((near_words(words), 1), (spelling._roots(links), 3), (spelling_variants(docs), None)):
+        assert len(found.collect()) == rows or rows is None
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    written = []
+    keep, spelling.stored = spelling.stored, lambda df, purpose: (written.append(df), keep(df, purpose))[1]
+    try:
+        spelling_variants(docs).collect()
+    finally:
+        spelling.stored = keep
+    for df in written:
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 # --- language -------------------------------------------------------------------------------
 
 def plain_languages(rows):
