@@ -63,8 +63,8 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new path in the cluster's shared folder (spark.checkpoint.dir), until drop_intermediates.
+def shared_root(spark: SparkSession) -> str:
+    """The cluster's shared folder (spark.checkpoint.dir).
 
     Only a local session without the setting gets one: on a cluster a folder of this machine
     would be invisible to the others.
@@ -75,7 +75,12 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), "talentmill-shared")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def shared_dir(spark: SparkSession, purpose: str) -> str:
+    """A new path in the cluster's shared folder, until drop_intermediates."""
+    path = f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
     _intermediates.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 

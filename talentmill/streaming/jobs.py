@@ -5,6 +5,7 @@ The transformations run unchanged on batch frames; that is how they are tested.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -187,12 +188,16 @@ def ingest_file_stream(
         }).drop("_failure")
         rows.write.mode("overwrite").partitionBy("status").parquet(f"{store}/batch={number}")
 
-    query = (
-        files.writeStream.foreachBatch(load)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return query
+    while True:
+        query = (
+            files.writeStream.foreachBatch(load)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        # A run takes one batch of a source in Python; the source says whether its limit has left files for another.
+        last = query.lastProgress
+        if not last or not any(re.search(r"(?i)\bmore\W+true\b", str(s["endOffset"])) for s in last["sources"]):
+            return query
 
 
 def read_ingested(spark: SparkSession, store: str, quarantined: bool = False) -> DataFrame:

@@ -119,6 +119,54 @@ def test_file_stream_resumes_and_keeps_failures_apart(spark, tmp_path):
     assert run() == [[("a b.pdf", "parsed"), ("new.docx", "parsed")], [("bad.doc", "failed"), ("blank.PDF", "rejected")]]
 
 
+def test_file_stream_keeps_no_names_in_the_driver(spark, tmp_path, monkeypatch):
+    """Offsets count chunks of a listing: a driver that holds a status of each file fails at some millions of them."""
+    box = tmp_path / "box"
+    box.mkdir()
+    for i in range(25):
+        (box / f"cv {i}.pdf").write_bytes(b"Jane Doe\nPython")
+    for name in ("note.txt", "_hidden.pdf", ".hidden.pdf"):
+        (box / name).write_bytes(b"no")
+    (box / "empty.pdf").touch()
+    monkeypatch.setattr(files, "CHUNK_FILES", 4)
+
+    def run(check):
+        rows = files.stream_resume_files(spark, str(box))
+        jobs.ingest_file_stream(rows, f"{tmp_path}/store-{check}", f"{tmp_path}/{check}", {"pdf": bytes.decode}, 2026)
+        return sorted(r["path"].rsplit("/", 1)[1] for r in jobs.read_ingested(spark, f"{tmp_path}/store-{check}").collect())
+
+    want = sorted(f"cv {i}.pdf" for i in range(25))
+    assert run("check") == want
+    (box / "cv 3.pdf").write_bytes(b"Again\nGo")
+    (box / "cv 25.pdf").write_bytes(b"Omar Khan\nGo")
+    assert run("check") == sorted([*want, "cv 25.pdf"])
+    (box / "cv 7.pdf").unlink()
+    assert run("fresh") == sorted({*want, "cv 25.pdf"} - {"cv 7.pdf"})
+    assert not any(b"cv " in p.read_bytes() for p in (tmp_path / "check").rglob("*") if p.is_file())
+
+
+def test_files_per_trigger_and_a_lost_listing(tmp_path, monkeypatch):
+    box = tmp_path / "box"
+    box.mkdir()
+    for i in range(5):
+        (box / f"{i}.pdf").write_bytes(b"x")
+
+    def reader():
+        return files._Arrivals(f"file:{box}", f"{tmp_path}/listing", 2)
+
+    monkeypatch.setattr(files, "COMPARED", 3)
+    first, offsets = reader(), []
+    offsets = [first.latestOffset(), first.latestOffset(), reader().latestOffset(), reader().latestOffset()]
+    assert [(o["chunks"], o["more"]) for o in offsets] == [(1, True), (2, True), (3, False), (3, False)]
+    parts = reader().partitions(first.initialOffset(), offsets[-1])
+    read = [r["path"] for p in parts for batch in reader().read(p) for r in batch.to_pylist()]
+    assert sorted(read) == [f"file:{box}/{i}.pdf" for i in range(5)]
+    assert reader().partitions(offsets[1], offsets[2])[0].value == 2
+    shutil.rmtree(tmp_path / "listing")
+    with pytest.raises(ValueError, match="listing"):
+        reader().partitions(offsets[0], reader().latestOffset())
+
+
 @pytest.mark.parametrize("parts", [0, 3])
 def test_a_table_of_one_file_or_many_is_streamed_whole(spark, tmp_path, small_dir, parts):
     docs = spark.read.parquet(f"{small_dir}/documents.parquet")
